@@ -14,13 +14,29 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm import language_id as op
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(op.bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    return op.identify(docs, op.learn(op.labelled_rows(docs))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm import toxicity as op
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(op.bucket_of(F.col("doc_id"), 3) == 1, F.lit(False))
+    return op.toxicity(docs, op.learn(op.labelled_rows(docs, labels))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.near_dedup import near_dedup
 
     return near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op6_minhash_near_dedup, op9_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
