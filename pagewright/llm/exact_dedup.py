@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.base import cut
+
 
 def content_hash(text: Column) -> Column:
     return F.md5(F.encode(text, "UTF-8"))
@@ -42,7 +44,7 @@ def exact_dedup(
     by_hash = light.groupBy("h").agg(F.count("*").alias("n"), pick("doc_id").alias("keep_id"))
     repeated = by_hash.where("n > 1").select("h")
     texts = rows.join(repeated, "h", "left_semi").groupBy("h", "text").agg(F.count("*").alias("n"), pick("doc_id").alias("keep_id"))
-    texts = texts.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256)).drop("text")
+    texts = cut(texts.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256)).drop("text"), "repeated")
     # Distinct texts under one hash are told apart from here on by the sha256 of the text that was compared.
     collided = texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
     apart = texts.join(collided, "h", "left_semi")
