@@ -22,6 +22,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.identify(docs, op.learn(op.labelled_rows(docs))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.byte_bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm import toxicity as op
 
@@ -36,7 +48,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op6_minhash_near_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op6_minhash_near_dedup, op8_best_fit_packing, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
