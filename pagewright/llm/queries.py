@@ -42,13 +42,26 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.toxicity(docs, op.learn(op.labelled_rows(docs, labels))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), k=5, scale=256)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.warc import round_trip
+
+    back = round_trip(table(spark, sf_dir, "pages"), least=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.near_dedup import near_dedup
 
     return near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op6_minhash_near_dedup, op8_best_fit_packing, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_topk_search, op6_minhash_near_dedup, op7_warc, op8_best_fit_packing, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -56,4 +69,15 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        ) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
 }
