@@ -48,6 +48,12 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), k=5, scale=256)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.warc import round_trip
 
@@ -61,7 +67,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_topk_search, op6_minhash_near_dedup, op7_warc, op8_best_fit_packing, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_topk_search, op5_html_extraction, op6_minhash_near_dedup, op7_warc, op8_best_fit_packing, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
