@@ -32,7 +32,7 @@ LONGEST = 512
 #: Distinct pieces a worker keeps before it starts anew.
 KEPT_PIECES = 300_000
 #: Characters of text whose pieces are held at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 _NONE = np.int32(0x7FFFFFFF)
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,7 +194,21 @@ def _held(name: str) -> list[PieceIds]:
     return [PieceIds(name)]
 
 
-def _slices(text: str) -> Iterator[list[str]]:
+def _parts(texts: list[str | None]) -> Iterator[list[tuple[int, str | None]]]:
+    """(row, text) in groups of about SLICE characters, so that many new pieces are encoded together."""
+    group, size = [], 0
+    for r, text in enumerate(texts):
+        group.append((r, text))
+        size += len(text or "")
+        if size >= SLICE:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _pieces(text: str) -> Iterator[list[str]]:
+    """The pattern's matches, in lists of bounded length."""
     if len(text) <= SLICE:
         yield _splitter().findall(text)
         return
@@ -206,25 +220,32 @@ def _slices(text: str) -> Iterator[list[str]]:
 def digests(column: pa.Array, name: str = VOCABULARY) -> tuple[list[int], list[str], list[str]]:
     """Number of tokens, sha256 of the decimal ids and sha256 of the decoded bytes of each text."""
     held = _held(name)
-    if len(held[0].text) > KEPT_PIECES:
-        held[0] = PieceIds(name)
-    count, of_ids, of_bytes = [], [], []
-    for text in column.to_pylist():
-        n, ids, decoded, comma = 0, hashlib.sha256(), hashlib.sha256(), b""
-        for pieces in _slices(text or ""):
-            new = {x for x in pieces if x not in held[0].text}
-            if new:
-                held[0].learn(new)
+    n = len(column)
+    count, of_ids, of_bytes = [0] * n, [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+    texts = column.to_pylist()
+
+    def take(lists: list[tuple[int, list[str]]]) -> None:
+        if len(held[0].text) > KEPT_PIECES:
+            held[0] = PieceIds(name)
+        known, decoded = held[0].text, held[0].decoded
+        new = set().union(*(pieces for _, pieces in lists)).difference(known)
+        if new:
+            held[0].learn(new)
+        for r, pieces in lists:
             if pieces:
-                line = ",".join(map(held[0].text.__getitem__, pieces)).encode()
-                n += line.count(b",") + 1
-                ids.update(comma + line)
-                decoded.update(b"".join(map(held[0].decoded.__getitem__, pieces)))
-                comma = b","
-        count.append(n)
-        of_ids.append(ids.hexdigest())
-        of_bytes.append(decoded.hexdigest())
-    return count, of_ids, of_bytes
+                line = ",".join(map(known.__getitem__, pieces)).encode()
+                of_ids[r].update(b"," + line if count[r] else line)
+                of_bytes[r].update(b"".join(map(decoded.__getitem__, pieces)))
+                count[r] += line.count(b",") + 1
+
+    for group in _parts(texts):
+        short = [(r, text) for r, text in group if len(text or "") <= SLICE]
+        take([(r, pieces) for r, text in short for pieces in _pieces(text or "")])
+        for r, text in group:
+            if len(text or "") > SLICE:
+                for pieces in _pieces(text):
+                    take([(r, pieces)])
+    return count, [x.hexdigest() for x in of_ids], [x.hexdigest() for x in of_bytes]
 
 
 def encode_digests(docs: DataFrame, name: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
