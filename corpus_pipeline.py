@@ -6,8 +6,8 @@ reads back to the next.
 
 The language stage keeps documents whose text is in a learned language with a posterior of ``LEAST_LANGUAGE`` or more.
 The toxicity stage drops those predicted toxic. The duplicate stages keep one document of each group, the one with the
-smallest id. Null and empty texts have no language and go at the first stage. Rows that repeat an id stay or go
-together, but for exact copies of a row, of which the exact stage keeps one.
+smallest id. Null and empty texts have no language and go at the first stage. The exact stage keeps one of the rows
+that repeat an id and text, and none with a null id; the near stage keeps or drops rows that share an id together.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pagewright.llm.exact_dedup import exact_dedup
 
-    kept = exact_dedup(docs, keep="min").where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    kept = exact_dedup(docs, keep="min").where("kept").select("doc_id", "text_sha256").distinct()
+    rows = docs.withColumn("text_sha256", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    return rows.join(kept, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
