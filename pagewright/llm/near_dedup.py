@@ -7,9 +7,14 @@
    linked pair shares ``need`` values or more (missed with probability below ``MISS``; sets that fit their sketch obey
    the exact bound instead), and among a node's values, rarest first, all but the last ``need - 1`` suffice to meet
    every partner. Values that many documents share come last in that order and are seldom listed at all.
-3. Star pass: of the smallest members of its lists, each node is compared with the one that the union sketch estimates
-   nearest. This joins large groups of copies in a number of pairs linear in their size.
-4. Cross pass: pairs of one list that are not in one component yet, within the size bound, and no others.
+3. Star pass: of the most central members of its lists (whose values occur most often in all), each node is compared
+   with the one that the union sketch estimates nearest. This joins large groups of copies in a number of pairs linear
+   in their size.
+4. Cross pass: nodes of lists that are in several components still are listed again, by the rarest of all their
+   shingles, under the exact bound. Pairs that meet there, in different components, are taken if their sizes and the
+   places of the value in both leave room for enough overlap. A copy edited too much to be linked has too many shingles
+   of its own before the common ones, so members of a large group of loose copies seldom pair. The nearest pair of each
+   node is decided first, then the pairs that still lie in different components.
 5. The union sketch's estimate filters pairs; the whole texts of what remains are joined to them and the exact Jaccard
    similarity of the full sets decides.
 
@@ -60,8 +65,8 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + r, np.unique(flat[first[r] : first[r + 1]])
 
 
-def signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sketch (its k smallest hashes)."""
+def signatures(docs: DataFrame, width: int, k: int | None) -> DataFrame:
+    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sketch (its k smallest hashes; None: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,23 +86,41 @@ def signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, sketch array<long>")
 
 
-def _list_values(nodes: DataFrame, k: int, need: int, percent: int) -> DataFrame:
-    """(v, node, n): the values under which each node is listed."""
+def _list_values(nodes: DataFrame, k: int | None, need: int, percent: int) -> DataFrame:
+    """(v, node, n, place, central): the values under which each node is listed.
+
+    place: how many of the node's values come before v, rarest first; central: how often its values occur in all. With
+    ``k`` None the sketches are full sets.
+    """
     posting = nodes.select("node", "n", F.explode("sketch").alias("v"))
     shared = posting.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    rare_first = posting.join(shared, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"))
-    size = F.least("n", F.lit(k))
-    least = F.least(F.ceil(F.col("n") * percent / 100).cast("int"), F.lit(need))
+    rare_first = posting.join(shared, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"), F.sum("c").alias("central"))
+    exact = F.ceil(F.col("n") * percent / 100).cast("int")
+    size, least = (F.col("n"), exact) if k is None else (F.least("n", F.lit(k)), F.least(exact, F.lit(need)))
     # Values that no other node has are rarest, and meet nobody.
-    take = size - least + 1 - (size - F.size("values"))
+    alone = size - F.size("values")
     return (
-        rare_first.withColumn("take", take)
+        rare_first.withColumn("alone", alone)
+        .withColumn("take", size - least + 1 - F.col("alone"))
         .where("take > 0")
-        .select("node", "n", F.explode(F.slice("values", 1, F.col("take"))).alias("x"))
-        .select(F.col("x.v").alias("v"), "node", "n")
+        .select("node", "n", "alone", "central", F.posexplode(F.slice("values", 1, F.col("take"))).alias("i", "x"))
+        .select(F.col("x.v").alias("v"), "node", "n", (F.col("alone") + F.col("i")).alias("place"), "central")
     )
 
 
+def _met(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one list, of full sets, with different labels, whose sizes and places allow enough overlap.
+
+    All that two sets share from a common value on comes after it in both; what they share before it, they meet at.
+    """
+    left, right = (listed.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "label"))) for x in "ab")
+    overlap = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    # |A and B| >= p / (100 + p) * (|A| + |B|) is the threshold on |A and B| / |A or B|. At the first value that a pair
+    # meets at, it shares nothing before.
+    enough = (100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))
+    return left.join(right, (left["v"] == right["v"]) & (left["label_a"] < right["label_b"]) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, need: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch holds enough of the intersection, with that share as ``near``."""
     side = nodes.select("node", "n", "rep", "sketch")
@@ -169,22 +192,28 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKET
     )
     listed = cut(_list_values(nodes, k, need, percent), "lists")
 
-    first = listed.groupBy("v").agg(F.min("node").alias("b"))
-    star = listed.join(first, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    central = listed.groupBy("v").agg(F.max_by("node", F.struct("central", "node")).alias("b"))
+    star = listed.join(central, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     star = _estimated(star, nodes, k, need, percent)
     star = star.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), "near").alias("x")).select("a", "x.*")
     links = cut(_verified(cut(star, "star"), docs, width, percent), "links")
     label = connected_components(links)
 
-    member = listed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = member.toDF(*(f"{c}_a" if c != "v" else "v" for c in member.columns))
-    right = member.toDF(*(f"{c}_b" if c != "v" else "v" for c in member.columns))
-    near_size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    cross = left.join(right, (left["v"] == right["v"]) & (left["label_a"] < right["label_b"]) & near_size)
-    cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    cross = cut(_estimated(cross, nodes, k, need, percent), "cross")
-    more = cut(_verified(cross, docs, width, percent), "links")
-    label = connected_components(links.unionByName(more))
+    member = listed.join(label, "node", "left").select("v", "node", F.coalesce("label", "node").alias("label"))
+    mixed = member.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    open_nodes = cut(member.join(mixed, "v").select("node", "label").distinct(), "open")
+    reps = open_nodes.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("id"))
+    full = signatures(_texts_of(docs, reps).withColumnRenamed("id", "doc_id"), width, None).withColumnRenamed("s1", "node")
+    full = cut(full.join(open_nodes.select("node"), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "sets")
+    met = _met(cut(_list_values(full, None, need, percent).join(open_nodes, "node"), "open-lists"), percent)
+    met = cut(_estimated(met, nodes, k, need, percent), "met")
+    nearest = met.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), "near").alias("x")).select("a", "x.*")
+    links = links.unionByName(cut(_verified(cut(nearest, "nearest"), docs, width, percent), "links"))
+    label = connected_components(links)
+    apart = met.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+    apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "ra", "rb")
+    links = links.unionByName(cut(_verified(cut(apart, "apart"), docs, width, percent), "links"))
+    label = connected_components(links)
 
     reached = nodes.select("node", "s2", "n", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = reached.groupBy("label").agg(F.min("rep").alias("component_id"))
