@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import arrow_rows, cut, utf8
+from pagewright.llm.base import arrow_rows, cut, text_blocks
 
 TOKENS = 2048
 END_ID = 0
@@ -37,6 +37,8 @@ VOCABULARY = "word_bpe_49k.json"
 GROUP_ROWS = 1_000_000
 #: Distinct words a worker keeps before it starts anew.
 KEPT_WORDS = 400_000
+#: Bytes of text whose new words are encoded together.
+BLOCK_BYTES = 4 << 20
 #: Distinct words joined for one call of the tokenizer.
 _CALL = 1000
 
@@ -92,18 +94,23 @@ def _table(vocabulary: str) -> list[WordIds]:
 def token_ids(column: pa.Array, vocabulary: str = VOCABULARY) -> Iterator[np.ndarray]:
     """The ids of each text, and the end id."""
     held = _table(vocabulary)
-    if len(held[0]) > KEPT_WORDS:
-        held[0] = WordIds(vocabulary)
-    table, (raw, at) = held[0], utf8(column)
-    for r in range(len(at) - 1):
-        found = raw[at[r] : at[r + 1]].tobytes().split()
-        place = np.fromiter(map(table.__getitem__, found), np.int64, len(found))
+    for lo, hi, raw, at in text_blocks(column, BLOCK_BYTES):
+        if len(held[0]) > KEPT_WORDS:
+            held[0] = WordIds(vocabulary)
+        table, places = held[0], []
+        for r in range(hi - lo):
+            # The vocabulary lower-cases; doing so for ASCII here makes fewer distinct words.
+            found = raw[at[r] : at[r + 1]].tobytes().lower().split()
+            places.append(np.fromiter(map(table.__getitem__, found), np.int64, len(found)))
         if table.new:
             table.encode()
-        size = table.first[place + 1] - table.first[place]
-        before = np.cumsum(size) - size
-        where = np.repeat(table.first[place] - before, size) + np.arange(int(size.sum()))
-        yield np.append(table.flat[where], np.uint32(END_ID))
+        for place in places:
+            first = table.first[place]
+            size = table.first[place + 1] - first
+            ends = np.cumsum(size)
+            where = np.arange(ends[-1] if len(ends) else 0)
+            where += np.repeat(first - (ends - size), size)
+            yield np.append(table.flat[where], np.uint32(END_ID))
 
 
 def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
