@@ -10,6 +10,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from pagewright.functions.fixed import LOOKALIKES, UNICODE_SPACES, ZERO_WIDTH
 
@@ -17,12 +18,12 @@ from pagewright.functions.fixed import LOOKALIKES, UNICODE_SPACES, ZERO_WIDTH
 DECODE_ROUNDS = 10
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(text: pd.Series) -> pd.Series:
     """Compatibility forms, decomposed; what isn't ASCII is dropped afterwards."""
     return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t)), na_action="ignore")
@@ -81,7 +82,7 @@ def _decode(text: str | None) -> tuple[str | None, bool]:
     return text, decode_once(text) != text
 
 
-@F.pandas_udf("text string, too_deep boolean")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("too_deep", BooleanType())]))
 def decode_fully(text: pd.Series) -> pd.DataFrame:
     """The text decoded until nothing changes, and whether that took more rounds than allowed."""
     return pd.DataFrame([_decode(t) for t in text], columns=["text", "too_deep"])

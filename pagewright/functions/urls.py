@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pagewright.functions import fixed as V
 
@@ -110,7 +111,7 @@ def in_blocked_range(value: Column) -> Column:
     return reduce(lambda a, b: a | b, [value.between(*range_bounds(x)) for x in V.BLOCKED_RANGES])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_blocked_ip(text: pd.Series) -> pd.Series:
     """Whether an IPv4 or IPv6 address is internal; null for what is no address. An IPv4 inside IPv6 counts as itself."""
     extra = [ipaddress.ip_network(x) for x in (*V.BLOCKED_RANGES, "fec0::/10")]
