@@ -14,6 +14,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, a directory for each source and each thousand ids in it."""
+    from pagewright.llm.licenses import scan
+
+    path = F.concat_ws("/", "source", F.expr("cast(doc_id div 1000 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm import language_id as op
 
@@ -67,7 +75,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_topk_search, op5_html_extraction, op6_minhash_near_dedup, op7_warc, op8_best_fit_packing, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_language_id, op4_topk_search, op5_html_extraction, op6_minhash_near_dedup, op7_warc, op8_best_fit_packing, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
