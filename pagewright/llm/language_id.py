@@ -143,9 +143,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     arrow_rows(spark)
     sent = spark.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(text_col).alias("text"), letters.alias("letters"), F.col(id_col).alias(id_col), *keep)
-    fields = [f for f in rows.schema.fields[2:]]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    names = [id_col, *keep]
+    rows = docs.select(F.col(text_col).alias("in_text"), letters.alias("in_letters"), *(F.col(c).alias(f"in_{i}") for i, c in enumerate(names)))
+    types = [f.dataType.simpleString() for f in rows.schema.fields[2:]]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(names, types, strict=True)), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = np.array([*sent.value.languages, "und"], object)
@@ -157,7 +158,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 best, sure = np.zeros(len(known), np.int64), np.zeros(len(known))
             name = pa.array(languages[np.where(known, best, -1)], pa.string())
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, name, pa.array(np.where(known, sure, 0.0))], names=[*batch.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*rest, name, pa.array(np.where(known, sure, 0.0))], names=[*names, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 

@@ -146,15 +146,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     arrow_rows(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias(id_col), *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + ["score double", "predicted int"])
+    names = [id_col, *keep]
+    rows = docs.select(F.col(text_col).alias("in_text"), *(F.col(c).alias(f"in_{i}") for i, c in enumerate(names)))
+    types = [f.dataType.simpleString() for f in rows.schema.fields[1:]]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(names, types, strict=True)), "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sent.value.dense()
         for batch in batches:
             value = score(sent.value.bias, weight, batch.column(0))
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)
 
