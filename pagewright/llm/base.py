@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,25 @@ def remove(spark: SparkSession, df_or_path: DataFrame | str) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_table(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next: one thing at a time, so that workers don't fill up."""
+    if name not in _kept:
+        drop_tables()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_tables() -> None:
+    """Tasks that keep nothing free what the worker kept for another operator."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def arrow_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import arrow_rows, mix64, text_blocks
+from pagewright.llm.base import arrow_rows, drop_tables, mix64, text_blocks
 from pagewright.llm.words import _grown
 
 GRAMS = (1, 2, 3)
@@ -32,6 +32,8 @@ SAMPLE_ROWS = 65_536
 #: Tasks that count n-grams of the sample.
 SAMPLE_TASKS = 24
 SMOOTHING = 0.5
+#: Bytes of text scored at once: a byte costs about 100 bytes of arrays on the way.
+SCORED_BYTES = 1 << 18
 
 # ASCII letters count in lower case; any other ASCII byte is the same blank.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -83,13 +85,14 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = sampled(labelled, "id", sample_rows).select("text", "label").repartition(SAMPLE_TASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         counts: dict[str, np.ndarray] = {}
         documents: dict[str, int] = {}
         for batch in batches:
             label = np.array(batch.column(1).to_pylist(), object)
             for x in label:
                 documents[x] = documents.get(x, 0) + 1
-            for lo, hi, raw, at in text_blocks(batch.column(0)):
+            for lo, hi, raw, at in text_blocks(batch.column(0), SCORED_BYTES):
                 own = label[lo:hi]
                 names, code = np.unique(own.astype(str), return_inverse=True)
                 for document, bucket in grams(raw, at):
@@ -121,7 +124,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(index of the language, its posterior) of each text."""
     best, sure = np.zeros(len(column), np.int64), np.zeros(len(column))
-    for lo, hi, raw, at in text_blocks(column):
+    for lo, hi, raw, at in text_blocks(column, SCORED_BYTES):
         total = np.tile(model.prior, (hi - lo, 1))
         for document, bucket in grams(raw, at):
             if len(document):
@@ -149,6 +152,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(names, types, strict=True)), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         languages = np.array([*sent.value.languages, "und"], object)
         for batch in batches:
             known = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import arrow_rows, cut, mix64, remove, text_blocks
+from pagewright.llm.base import arrow_rows, cut, drop_tables, mix64, text_blocks
 from pagewright.llm.components import connected_components
 from pagewright.llm.words import shingles, words
 
@@ -69,6 +69,7 @@ def signatures(docs: DataFrame, width: int, k: int | None) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (128 bits that name the set), sketch (its k smallest hashes; None: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int32)
             names = np.zeros((2, batch.num_rows), np.uint64)

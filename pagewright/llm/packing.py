@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import arrow_rows, cut, text_blocks
+from pagewright.llm.base import arrow_rows, cut, text_blocks, worker_table
 
 TOKENS = 2048
 END_ID = 0
@@ -82,13 +81,12 @@ class WordIds(dict):
         self.new = []
 
 
-@lru_cache(maxsize=1)
 def _table(vocabulary: str) -> list[WordIds]:
     """The worker's table, in a list so that it can be replaced."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return [WordIds(vocabulary)]
+    return worker_table(f"words of {vocabulary}", lambda: [WordIds(vocabulary)])
 
 
 def token_ids(column: pa.Array, vocabulary: str = VOCABULARY) -> Iterator[np.ndarray]:

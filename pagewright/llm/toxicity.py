@@ -17,12 +17,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import arrow_rows, cut, mix64, text_blocks
+from pagewright.llm.base import arrow_rows, cut, drop_tables, mix64, text_blocks
 from pagewright.llm.language_id import bucket_of, sampled
 from pagewright.llm.words import words
 
@@ -71,6 +70,7 @@ def _feature_lists(rows: DataFrame) -> DataFrame:
     """shard, place, label and the sorted distinct buckets of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         for batch in batches:
             lists = []
             for lo, hi, raw, at in text_blocks(batch.column(3)):
@@ -85,9 +85,20 @@ def _feature_lists(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "shard int, place long, label int, x array<int>")
 
 
+def _views(column: pa.ListArray) -> Iterator[pa.Array]:
+    at, values = column.offsets.to_numpy(), column.values
+    return (values.slice(lo, hi - lo) for lo, hi in zip(at[:-1], at[1:], strict=True))
+
+
 def ftrl(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, and the buckets and weights other than 0, after ``epochs`` passes of FTRL-proximal in the given order."""
-    kept = np.flatnonzero(np.bincount(np.concatenate(lists), minlength=BUCKETS) >= MIN_DOCUMENTS)
+    """Bias, and the buckets and weights other than 0, after ``epochs`` passes of FTRL-proximal in the given order.
+
+    Each list holds a row's distinct buckets.
+    """
+    documents = np.zeros(BUCKETS, np.int32)
+    for x in lists:
+        documents[x] += 1
+    kept = np.flatnonzero(documents >= MIN_DOCUMENTS)
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     lists = [p[p >= 0] for p in (place[x] for x in lists)]
@@ -118,13 +129,15 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     place = F.xxhash64(F.lit(29), "id", "label")
     rows = rows.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place"), F.col("label").cast("int"), "text")
 
-    def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place", kind="stable")
-        bias, at, w = ftrl([np.asarray(x) for x in part["x"]], part["label"].to_numpy())
-        return pd.DataFrame({"bucket": np.append(at, -1).astype("int32"), "w": np.append(w, bias)})
+    def train(part: pa.Table) -> pa.Table:
+        # The lists are views of the Arrow table: the shard's features are held once.
+        lists = [row.to_numpy() for chunk in part["x"].chunks for row in _views(chunk)]
+        order = np.argsort(part["place"].to_numpy(), kind="stable")
+        bias, at, w = ftrl([lists[i] for i in order], part["label"].to_numpy()[order])
+        return pa.table({"bucket": pa.array(np.append(at, -1).astype(np.int32)), "w": pa.array(np.append(w, bias))})
 
     lists = cut(_feature_lists(rows), "features")
-    found = lists.groupBy("shard").applyInPandas(train, "bucket int, w double").groupBy("bucket").agg(F.sum("w").alias("w")).toPandas()
+    found = lists.groupBy("shard").applyInArrow(train, "bucket int, w double").groupBy("bucket").agg(F.sum("w").alias("w")).toPandas()
     bucket, w = found["bucket"].to_numpy(np.int64), found["w"].to_numpy(np.float64) / shards
     return Model(float(w[bucket < 0].sum()), bucket[bucket >= 0], w[bucket >= 0])
 
@@ -152,6 +165,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(names, types, strict=True)), "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         weight = sent.value.dense()
         for batch in batches:
             value = score(sent.value.bias, weight, batch.column(0))
