@@ -88,6 +88,52 @@ def decode_fully(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_decode(t) for t in text], columns=["text", "too_deep"])
 
 
+_FENCE = re.compile(r"\s*(`{3,}|~{3,})(.*)$", re.S)
+_MARKED = re.compile(r" *(?:[-*+][ \t]|\d+\.[ \t]|>)")
+_DEEP = re.compile(r" {4}|\t")
+
+
+def normal_lines(text: str) -> str:
+    """Markdown with single spaces and single blank lines, none at the edges.
+
+    Fenced code stays as it is, and an open fence is closed. Lines of four blanks or a tab after a blank line are code
+    and stay too. Lists, quotes and what continues a list keep their indentation.
+    """
+    out: list[str] = []
+    fence, in_list, in_code = "", False, False
+    for line in text.split("\n"):
+        mark = _FENCE.match(line)
+        if fence:
+            closes = mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip()
+            out.append(line.rstrip() if closes else line)
+            fence = "" if closes else fence
+        elif mark:
+            fence, in_code = mark[1], False
+            out.append(line.rstrip())
+        elif not line.strip():
+            if in_code or (out and out[-1]):
+                out.append("")
+        elif _DEEP.match(line) and (in_code or not out or not out[-1]):
+            in_code = True
+            out.append(line)
+        else:
+            in_code = False
+            marked = bool(_MARKED.match(line))
+            in_list = marked or (in_list and line[0] in " \t")
+            indent = line[: len(line) - len(line.lstrip(" \t"))] if in_list else ""
+            out.append(indent + re.sub(r"[ \t]+", " ", line.strip()))
+    if fence:
+        out.append(fence)
+    return "\n".join(out).strip("\n")
+
+
+@F.pandas_udf(StringType())
+def normalised(text: pd.Series) -> pd.Series:
+    """NFC, no invisible characters, and ``normal_lines``; null stays null."""
+    gone = dict.fromkeys(map(ord, ZERO_WIDTH))
+    return text.map(lambda t: normal_lines(unicodedata.normalize("NFC", t).translate(gone)), na_action="ignore")
+
+
 def tokens_about(text: Column) -> Column:
     """Roughly how many tokens a text has: words and single other signs. Not a model's own count."""
     return F.when(text.isNotNull(), F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")))
