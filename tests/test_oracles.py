@@ -1,6 +1,7 @@
 """Every query that SQL states gives SQL's rows, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pagewright.plans.registry import ORACLE_SQL, QUERIES
@@ -19,7 +20,7 @@ def duck():
 
 def plain(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if v is None or v != v else str(v).removesuffix(".0") for v in row) for row in frame.itertuples(index=False))
+    return sorted(tuple("null" if v is None or v is pd.NA or v != v else str(v).removesuffix(".0") for v in row) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
