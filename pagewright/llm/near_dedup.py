@@ -43,6 +43,8 @@ from pagewright.llm.words import shingles, words
 SKETCH = 48
 #: Probability, at most, that the lists or the estimate miss a pair exactly at the threshold.
 MISS = 1e-6
+#: Turns the order of unsigned 64-bit values into that of signed ones.
+TOP_BIT = np.uint64(1 << 63)
 #: Bits of the filter that spares reading texts that no candidate pair needs; its size does not grow with the data.
 FILTER_BITS = 1 << 23
 
@@ -78,7 +80,8 @@ def signatures(docs: DataFrame, width: int, k: int | None) -> DataFrame:
                 n[r] = len(values)
                 names[0, r] = mix64(values).sum(dtype=np.uint64)
                 names[1, r] = mix64(values ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)
-                kept.append(values[:k].view(np.int64))
+                # The top bit is flipped, so that Spark's signed order is the order in which the smallest were taken.
+                kept.append((values[:k] ^ TOP_BIT).view(np.int64))
                 sizes[r + 1] = len(kept[-1])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
             s1, s2 = (pa.array(mix64(x + n.astype(np.uint64)).view(np.int64)) for x in names)

@@ -114,3 +114,14 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_near_links_sets_little_larger_than_the_sketch(spark):
+    """Pairs at the threshold or just above it, the smaller set inside the larger: each pair is one component."""
+    rng = random.Random(4)
+    texts = []
+    for small, large in [(80, 100), (72, 90), (64, 80), (52, 65), (104, 130), (80, 97)] * 150:
+        own = [f"w{rng.getrandbits(60)}" for _ in range(large + 3)]
+        texts += [" ".join(own), " ".join(own[: small + 3])]
+    got = near_dedup(docs(spark, texts), width=4, percent=80).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2] == []
