@@ -14,8 +14,10 @@ occurs. For a node of m > 1 pages
 Pages lose the blocks below ``THRESHOLD``. A site of fewer than ``LEAST_PAGES`` pages uses the tree of all sites merged,
 and a tree of one page has an importance of 1 throughout, so there only the markup's own names count.
 
-Pages are parsed on the executors; (site, node, feature) counts are pre-aggregated before they are shuffled, so a site
-with most pages is no single task, and the trees never leave the executors but for the list of unimportant nodes of each
+Copies of a page, on one site or on several, are one page of the trees; every copy gets its text.
+
+Pages are parsed on the executors; (site, page, node, feature) rows are made distinct and then counted, so a site with
+most pages or a page with many copies is no single task, and the trees never leave the executors but for the list of unimportant nodes of each
 site, which is broadcast if it is short and joined if not.
 
 Defined results: a null or empty html has an empty text; a url that is null or has no host belongs to a site of its own
@@ -147,7 +149,10 @@ def host_of(url: str) -> F.Column:
 
 
 def tree_rows(pages: DataFrame) -> DataFrame:
-    """host, node, parent, kind ('style' or 'text'), feature: each distinct one of a page once."""
+    """host, page, node, parent (null: a style, else a text), feature: each distinct one of a page once.
+
+    ``page`` is a hash of the html, the same for all copies of a page.
+    """
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +160,14 @@ def tree_rows(pages: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks, styles = parse(page or "")
-                rows += [(host, node, None, xxh64_intdigest(s) - (1 << 63)) for node, own in styles.items() for s in (" | ".join(sorted(own)),)]
-                rows += [(host, *x) for x in {(b.node, b.parent, xxh64_intdigest(b.text) - (1 << 63)) for b in blocks}]
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["host", "node", "parent", "feature"])
+                key = xxh64_intdigest(page or "") - (1 << 63)
+                rows += [(host, key, node, None, xxh64_intdigest(s) - (1 << 63)) for node, own in styles.items() for s in (" | ".join(sorted(own)),)]
+                rows += [(host, key, *x) for x in {(b.node, b.parent, xxh64_intdigest(b.text) - (1 << 63)) for b in blocks}]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["host", "page", "node", "parent", "feature"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, node string, parent string, feature long")
+    return pages.select("host", "html").mapInArrow(run, "host string, page long, node string, parent string, feature long")
 
 
 def unimportant(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,11 +176,11 @@ def unimportant(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``bare``: below the threshold even if the markup doesn't name the branch; else only with ``NAMED``. Also returns the
     sites of enough pages, (host).
     """
-    sites = pages.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES).select("host")
-    counts = tree_rows(pages).groupBy("host", "node", "parent", "feature").agg(F.count("*").alias("n"))
-    counts = cut(counts, "trees")
-    every = counts.groupBy("node", "parent", "feature").agg(F.sum("n").alias("n")).withColumn("host", F.lit(None).cast("string"))
-    own = counts.join(F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites, "host", "left_semi")
+    seen = cut(tree_rows(pages).distinct(), "trees")
+    distinct_pages = F.countDistinct(F.xxhash64(F.coalesce("html", F.lit(""))))
+    sites = cut(pages.groupBy("host").agg(distinct_pages.alias("m")).where(F.col("m") >= LEAST_PAGES).select("host"), "sites")
+    every = seen.groupBy("node", "parent", "feature").agg(F.countDistinct("page").alias("n")).withColumn("host", F.lit(None).cast("string"))
+    own = seen.groupBy("host", "node", "parent", "feature").agg(F.count("*").alias("n")).join(F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites, "host", "left_semi")
     rows = own.unionByName(every)
     # Every page that has a node has one row of its style, so those rows count the pages.
     style = rows.where("parent is null").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))

@@ -66,3 +66,16 @@ def test_edges(spark):
         [("1", "", 0), ("2", "", 0), ("3", "lonely text", 11), ("3", "lonely text", 11), ("None", "long long l", 999_999), ("4", "deep", 4)]
     )
     assert H.extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
+@pytest.mark.parametrize("unique", [0, 5, 12])
+def test_copies_of_a_page_are_one_page(spark, unique):
+    """20 copies of a page, alone and with unique pages of the host; and 20 copies over as many hosts."""
+    rng = random.Random(unique)
+    copied, other = article(rng), [article(rng) for _ in range(unique)]
+    rows = [(i, "https://c.example.org/x", page(copied), copied) for i in range(20)]
+    rows += [(20 + i, f"https://c.example.org/{i}", page(own), own) for i, own in enumerate(other)]
+    rows += [(40 + i, f"https://{i}.example.net/", page(copied, "b"), copied) for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u, h, 0) for i, u, h, _ in rows], PAGES).repartition(3)).collect()}
+    for i, _, _, own in rows:
+        assert "\n\n".join([own[0], *own]) in got[i]
