@@ -8,8 +8,8 @@ occurs. For a node of m > 1 pages
   are alike);
 * content importance is 1 minus the mean, over its text blocks, of each block's entropy, to base m, over the pages that
   have it (0 if every block is in every page);
-* a block's importance is the mean of its own node's content importance and its parent's presentation importance, less
-  for branches that markup itself names as menus, adverts, footers and the like.
+* a block's importance is the mean of its own node's content importance and its parent's presentation importance, times
+  ``NAMED`` for branches that markup itself names as menus, adverts, footers and the like.
 
 Pages lose the blocks below ``THRESHOLD``. A site of fewer than ``LEAST_PAGES`` pages uses the tree of all sites merged,
 and a tree of one page has an importance of 1 throughout, so there only the markup's own names count.
@@ -40,8 +40,9 @@ from pagewright.llm.base import arrow_rows, cut
 
 THRESHOLD = 0.35
 LEAST_PAGES = 8
-#: Factor on the importance of branches that the markup names as something other than the article.
-NAMED = 0.3
+#: Factor on the importance of branches that the markup names as something other than the article. Such a branch stays
+#: from an importance of 0.7 on: more than its own content alone, which rotating adverts have too, can give.
+NAMED = 0.5
 #: Nodes up to which the list of unimportant ones is broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -59,6 +60,8 @@ _NAMED_WORDS = frozenset(
     "breadcrumbs header masthead footer sidebar aside widget related share social cookie cookies consent notice popup "
     "modal newsletter subscribe comment comments reply replies disqus".split()
 )
+#: Their own class, id or role never marks them. Articles can be in a marked branch (teasers, comments), the others not.
+_CONTENT = frozenset("body main article".split())
 _CLOSES = {  # an opening tag ends these if they are innermost
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
 }
@@ -67,6 +70,11 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
+def _telling(name: str) -> bool:
+    found = re.findall(r"[^\W\d_]+", name)
+    return bool(found) and _NAMED_WORDS.issuperset(found)
+
+
 class Block(NamedTuple):
     node: str  # path of the element that holds the text
     parent: str
@@ -135,8 +143,12 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
         stack[-1][3].append(label)
         if tag in _VOID or rest.rstrip().endswith("/"):
             continue
+        # A class, id or role tells if all its words do: neither "with-sidebar" nor "ad-free-article" names a sidebar or ad.
+        telling = bool(names) and any(_telling(x) for _, value in _NAMES.findall(rest) for x in value.strip("\"'").lower().split())
         in_article = any(x[0] in ("article", "main") for x in stack)
-        named = stack[-1][2] or tag in _NAMED_TAGS or tag == "header" and not in_article or not _NAMED_WORDS.isdisjoint(names)
+        named = stack[-1][2] or tag in _NAMED_TAGS or tag == "header" and not in_article or telling
+        if tag in _CONTENT:
+            named = tag == "article" and stack[-1][2]
         stack.append((tag, f"{stack[-1][1]}/{label}", named, []))
     flush()
     while len(stack) > 1:
@@ -193,7 +205,8 @@ def unimportant(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = text.withColumn("h", F.coalesce("host", F.lit("\0"))).join(pages_of, ["h", "node"]).join(looks, ["h", "parent"], "left")
     content = F.when(m > 1, 1 - F.col("repeats") / F.col("blocks") / F.log(m)).otherwise(1.0)
     text = text.withColumn("importance", (content + F.coalesce("presentation", F.lit(1.0))) / 2)
-    low = text.where(F.col("importance") * NAMED < THRESHOLD)
+    # A tree of one page has no figures: the markup's names decide.
+    low = text.where((F.col("importance") * NAMED < THRESHOLD) | (m == 1))
     return low.select("host", "node", (F.col("importance") < THRESHOLD).alias("bare")), sites
 
 
@@ -221,8 +234,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 kept = []
                 for block in parse(page or "")[0]:
                     bare = drop.get(block.node)
-                    # None: not below the threshold in the tree, but the markup may name a branch no tree has.
-                    if bare or (block.named and bare is not None) or (block.named and NAMED < THRESHOLD):
+                    # None: important enough in the tree even if the markup names the branch.
+                    if bare or (block.named and bare is not None):
                         continue
                     kept.append(block.text)
                 texts.append("\n\n".join(kept))

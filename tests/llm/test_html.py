@@ -79,3 +79,27 @@ def test_copies_of_a_page_are_one_page(spark, unique):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u, h, 0) for i, u, h, _ in rows], PAGES).repartition(3)).collect()}
     for i, _, _, own in rows:
         assert "\n\n".join([own[0], *own]) in got[i]
+
+
+@pytest.mark.parametrize(
+    "opening,closing",
+    [
+        ("<body class='has-sidebar'>", "</body>"),
+        ("<body class=widget><div>", "</div></body>"),
+        ("<div class='content with-sidebar'>", "</div>"),
+        ("<div id=ad-free-article>", "</div>"),
+        ("<main class=widget>", "</main>"),
+        ("<article class='post comment'>", "</article>"),
+        ("<div class=widget>", "</div>"),  # named, but every page differs in text and build
+    ],
+)
+def test_the_tree_decides_about_named_branches(spark, opening, closing):
+    """A telling word in a class doesn't cost the article or its title; named branches that repeat go."""
+    rng, rows = random.Random(3), []
+    for i in range(12):
+        own = article(rng)
+        body = "".join(rng.choice(["<p>{}</p>", "<h3>{}</h3>", "<p>{}</p><hr>"]).format(x) for x in own)
+        rows.append((i, f"https://n.example.org/{i}", own, f"<html>{opening}<h1 class='entry-header'>{own[0]}</h1>{body}{closing}<div class='ad'>{' '.join(article(rng))}</div><nav><p>Home</p></nav>"))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u, h, 0) for i, u, _, h in rows], PAGES)).collect()}
+    for i, _, own, _ in rows:
+        assert got[i] == "\n\n".join([own[0], *own])
