@@ -22,7 +22,7 @@ site, which is broadcast if it is short and joined if not.
 
 Defined results: a null or empty html has an empty text; a url that is null or has no host belongs to a site of its own
 kind, ''; rows that repeat a page are extracted each; an empty table gives an empty result; unclosed and unmatched tags
-are tolerated; columns other than page_id, url and html are not read.
+are tolerated: a hidden element without an end tag hides what comes before the next block or the end of its parent; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -48,8 +48,10 @@ BROADCAST_ROWS = 50_000
 
 # Element names of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("head script style noscript template svg iframe object canvas form button select textarea audio video".split())
+_HIDDEN = frozenset("script style noscript template svg iframe object canvas form button select textarea audio video".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
+#: Hidden elements that may lie in one another; of the others, a second start shows that the first was not closed.
+_NESTING = frozenset("template svg object".split())
 _BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address header footer nav aside details summary hr fieldset center".split()
@@ -88,7 +90,20 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
     styles: dict[str, set[str]] = {}
     stack: list[tuple[str, str, bool, list[str]]] = [("", "", False, [])]  # tag, path, named, children
     words: list[str] = []
-    hidden = ""
+    hidden, depth, endless = "", 0, False
+    inside: list[str] = []  # blocks open in the hidden element
+    ends: dict[str, tuple[int, int]] = {}
+
+    def end_of(tag: str) -> tuple[int, int]:
+        """The next end tag from ``at`` on, (-1, -1) if there is none."""
+        if tag not in ends or 0 <= ends[tag][0] < at:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            ends[tag] = end.span() if end else (-1, -1)
+        return ends[tag]
+
+    def unclosed(tag: str) -> bool:
+        until = end_of(tag)[0]
+        return until < 0 or tag not in _NESTING and bool(re.compile(rf"<{tag}(?=[\s/>])", re.I).search(html, at, until))
 
     def flush() -> None:
         text = " ".join("".join(words).split())
@@ -100,7 +115,7 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
         _, path, _, children = stack.pop()
         styles.setdefault(path, set()).add(" ".join(children))
 
-    at, depth = 0, 0
+    at = 0
     while True:
         found = _MARKUP.search(html, at)
         if not hidden:
@@ -111,19 +126,29 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
         closing, tag, rest = found.group(1), (found.group(2) or "").lower(), found.group(3) or ""
         if not tag:
             continue
+        if tag in _RAW and not closing and end_of(tag)[0] >= 0:
+            at = at if rest.rstrip().endswith("/") else end_of(tag)[1]
+            continue
         if hidden:
-            if tag == hidden:
+            if tag == hidden and (closing or tag in _NESTING and not endless):
                 depth += -1 if closing else 1
-                if not depth:
-                    hidden = ""
-            continue
+                hidden = hidden if depth else ""
+                continue
+            if closing and tag in inside:
+                while inside.pop() != tag:
+                    pass
+                continue
+            # It ends with an element around it; if it has no end tag of its own, also at the next block or of its kind.
+            if closing and tag in _BLOCK and any(x[0] == tag for x in stack[1:]) or not closing and endless and (tag in _BLOCK or tag == hidden):
+                hidden = ""
+            else:
+                if not closing and tag in _BLOCK and tag not in _VOID:
+                    inside.append(tag)
+                continue
         if tag in _HIDDEN or tag in _RAW:
             if not closing and not rest.rstrip().endswith("/"):
-                if tag in _RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                else:
-                    hidden, depth = tag, 1
+                hidden, depth, endless = tag, 1, unclosed(tag)
+                inside.clear()
             continue
         if tag == "br":
             words.append(" ")

@@ -103,3 +103,37 @@ def test_the_tree_decides_about_named_branches(spark, opening, closing):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u, h, 0) for i, u, _, h in rows], PAGES)).collect()}
     for i, _, own, _ in rows:
         assert got[i] == "\n\n".join([own[0], *own])
+
+
+HIDDEN = "form button select object svg canvas template audio video textarea title script style noscript iframe".split()
+
+
+@pytest.mark.parametrize("tag", HIDDEN)
+@pytest.mark.parametrize(
+    "html,wanted",
+    [
+        ("<body><{0}>no<p>yes</p><div>too</div></body>", ["yes", "too"]),
+        ("<body><div><{0}>no</div><p>yes</p>", ["yes"]),
+        ("<ul><li><{0}>no</li><li>yes</ul>too", ["yes", "too"]),
+        ("<p>yes</p><{0}>no</{0}>too<{0}/><p>and</p>", ["yes", "too", "and"]),
+    ],
+)
+def test_unclosed_hidden_elements(tag, html, wanted):
+    assert [b.text for b in H.parse(html.format(tag))[0]] == wanted
+
+
+@pytest.mark.parametrize(
+    "html,wanted",
+    [
+        ("<html><head><title>t</title><body><p>article", ["article"]),
+        ("<html><head><title>t</title><meta name=a><script>'<p>no</p>'</script><p>article", ["article"]),
+        ("<html><head><title>t<body><p>article", ["article"]),
+        ("<body><form>no<p>yes</p><form>no<p>no</p></form>too", ["yes", "too"]),
+        ("<div><form><div>no</div><p>no</form>yes</div>", ["yes"]),
+        ("<div><form>no</div><p>yes</p><form>no</form><button><div>no</div></button>", ["yes"]),
+        ("<div><svg><svg>no</svg>no</svg>yes</div>", ["yes"]),
+        ("<ul><li><form><ul><li>no<li>no</ul></li><li>yes</ul></form>", ["yes"]),
+    ],
+)
+def test_ends_of_hidden_elements(html, wanted):
+    assert [b.text for b in H.parse(html)[0]] == wanted
