@@ -7,7 +7,7 @@ reads back to the next.
 The language stage keeps documents whose text is in a learned language with a posterior of ``LEAST_LANGUAGE`` or more.
 The toxicity stage drops those predicted toxic. The duplicate stages keep one document of each group, the one with the
 smallest id. Null and empty texts have no language and go at the first stage. The exact stage keeps one of the rows
-that repeat an id and text, and none with a null id; the near stage keeps or drops rows that share an id together.
+that repeat an id and text, and none with a null id; the near stage decides about rows that share an id by each one's text.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pagewright.llm.near_dedup import near_dedup
 
-    dropped = near_dedup(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    dropped = near_dedup(docs, width=5, percent=80, hashed=True).where("not kept").select("doc_id", "text_hash").distinct()
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(dropped, ["doc_id", "text_hash"], "left_anti").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,10 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, width: int, k: int | None) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sketch (its k smallest hashes; None: all)."""
+    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sketch (its k smallest hashes; None: all).
+
+    A third column of ``docs``, text_hash, is carried along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_tables()
@@ -85,9 +88,11 @@ def signatures(docs: DataFrame, width: int, k: int | None) -> DataFrame:
                 sizes[r + 1] = len(kept[-1])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
             s1, s2 = (pa.array(mix64(x + n.astype(np.uint64)).view(np.int64)) for x in names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), s1, s2, lists], names=["doc_id", "n", "s1", "s2", "sketch"])
+            more = [batch.column(2)] if hashed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), s1, s2, lists, *more], names=["doc_id", "n", "s1", "s2", "sketch", "text_hash"][: 5 + hashed])
 
-    return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, sketch array<long>")
+    hashed = "text_hash" in docs.columns
+    return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, sketch array<long>" + ", text_hash long" * hashed)
 
 
 def _list_values(nodes: DataFrame, k: int | None, need: int, percent: int) -> DataFrame:
@@ -180,16 +185,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
+    ``hashed`` adds text_hash, xxhash64 of the text, which tells apart rows that repeat an id with another text.
+
     Two documents are linked if 100 * |A and B| >= ``percent`` * |A or B| over their sets of ``width``-word shingles.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     need = needed(k, percent)
-    marked = cut(signatures(docs, width, k), "signatures")
+    own = docs.withColumn("text_hash", F.xxhash64("text")) if hashed else docs
+    marked = cut(signatures(own, width, k), "signatures")
     nodes = cut(
         marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).withColumnRenamed("s1", "node"),
         "classes",
@@ -223,11 +231,13 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKET
     smallest = reached.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_set = reached.join(smallest, "label").select(F.col("node").alias("s1"), "s2", "n", "component_id")
     # s1 is null for empty sets, which no class has: they are their own component.
-    rows = marked.select("doc_id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(by_set, ["s1", "s2", "n"], "left")
+    more = ["text_hash"] if hashed else []
+    rows = marked.select("doc_id", *more, "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(by_set, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        *more,
     )

@@ -109,3 +109,11 @@ def test_oracles(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(wanted.fetchall())
+
+
+def test_an_id_with_two_texts_loses_only_the_near_copy(spark, folder):
+    rng = random.Random(2)
+    x, y = text(rng, "aa", 60), text(rng, "bb", 60)
+    rows = [(1, y, "bb", "s", 0), (2, x, "aa", "s", 0), (2, y + " more", "bb", "s", 0)]
+    left = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), folder)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, y), (2, x)]
