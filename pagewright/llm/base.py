@@ -22,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    If that is unset, a local session uses a folder of this machine, and a cluster raises: executors would not see each
+    other's files there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/pagewright"
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
 
 
@@ -40,19 +45,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
-def remove(spark: SparkSession, df_or_path: DataFrame | str) -> None:
-    """Delete a table written by ``cut`` that nothing reads any more."""
-    from pyspark.sql import functions as F
 
-    if isinstance(df_or_path, str):
-        paths = {df_or_path}
-    else:
-        first = df_or_path.select(F.input_file_name().alias("f")).head()
-        paths = {first.f.rsplit("/", 1)[0]} if first else set()
-    for path in paths:
+def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete folders, and tables that ``cut`` wrote, which nothing reads any more."""
+    for path in (x if isinstance(x, str) else x.cut_path for x in tables):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import cut
+from pagewright.llm.base import cut, remove
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,10 +18,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(label.toDF("b", "m"), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-        lower = label.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = label.toDF("label", "next")
+        near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("m")), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
+        lower = label.select("node", "label").join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        jump = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = cut(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         if after.where("label <> was").isEmpty():
-            return after.select("node", "label")
-        label = after.select("node", "label")
+            remove(links.sparkSession, both, label)
+            out = after.drop("was")
+            out.cut_path = after.cut_path
+            return out
+        remove(links.sparkSession, label)
+        label = after

@@ -10,19 +10,26 @@
 3. Star pass: of the most central members of its lists (whose values occur most often in all), each node is compared
    with the one that the union sketch estimates nearest. This joins large groups of copies in a number of pairs linear
    in their size.
-4. Cross pass: nodes of lists that are in several components still are listed again, by the rarest of all their
-   shingles, under the exact bound. Pairs that meet there, in different components, are taken if their sizes and the
-   places of the value in both leave room for enough overlap. A copy edited too much to be linked has too many shingles
-   of its own before the common ones, so members of a large group of loose copies seldom pair. The nearest pair of each
-   node is decided first, then the pairs that still lie in different components.
-5. The union sketch's estimate filters pairs; the whole texts of what remains are joined to them and the exact Jaccard
-   similarity of the full sets decides.
+4. Cross pass: nodes of lists that are in several components still, and that share ``need`` values of their sketches
+   with other components, are listed again, by the rarest of all their shingles, under the exact bound; a shingle that
+   no other component holds counts as the node's own. Nodes carry the head of their list, the rarest ``HEAD`` values
+   under which they are listed, to each value. Two nodes of different components pair if their sizes, their places at
+   the value and the overlap of their heads leave room for enough overlap, and only at the first value that their heads
+   share. Most loose copies of one text, which have changes of their own, fail there, in the join.
+5. The union sketch's estimate filters pairs; the exact Jaccard similarity of the full sets decides, over texts in the
+   star pass and over the sets that are there already in the cross pass. What many pairs need is dealt in copies, so
+   that one node of many pairs is no single task.
 
 Components spread by smallest label with pointer jumping, every round written to the shared folder.
 
+What stays quadratic: members of one list that differ in component are compared inside the join, and pairs whose true
+similarity is just below the threshold reach the exact check; no method that loses no link is known to avoid either.
+
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
 fewer words than the shingle width make one shingle; rows with equal sets are always linked; rows that repeat an id
-share its component; a null id gives a null component and is not kept; extra columns are not read.
+share its component; a row with a null id has the smallest id of its component, or null if that has none (as for an
+empty set), and is not kept; a set that only rows with null ids have is linked with no other set; extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -32,11 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import arrow_rows, cut, drop_tables, mix64, text_blocks
+from pagewright.llm.base import arrow_rows, cut, drop_tables, mix64, remove, text_blocks
 from pagewright.llm.components import connected_components
+from pagewright.llm.membership import split
 from pagewright.llm.words import shingles, words
 
 #: Values in a sketch.
@@ -45,8 +53,10 @@ SKETCH = 48
 MISS = 1e-6
 #: Turns the order of unsigned 64-bit values into that of signed ones.
 TOP_BIT = np.uint64(1 << 63)
-#: Bits of the filter that spares reading texts that no candidate pair needs; its size does not grow with the data.
-FILTER_BITS = 1 << 23
+#: Values that a node carries to each of its lists in the cross pass.
+HEAD = 64
+#: Pairs that meet one copy of a node's text, set or sketch.
+PAIRS = 200
 
 
 def needed(k: int, percent: int, miss: float = MISS) -> int:
@@ -99,78 +109,102 @@ def _list_values(nodes: DataFrame, k: int | None, need: int, percent: int) -> Da
     """(v, node, n, place, central): the values under which each node is listed.
 
     place: how many of the node's values come before v, rarest first; central: how often its values occur in all. With
-    ``k`` None the sketches are full sets.
+    ``k`` None the sketches are full sets of nodes with a label; values of one label alone are not listed, and head (the
+    first values of the list), last (the head's last, as ordered), after (values after the head) and label come along.
     """
-    posting = nodes.select("node", "n", F.explode("sketch").alias("v"))
-    shared = posting.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    rare_first = posting.join(shared, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"), F.sum("c").alias("central"))
+    whole = k is None
+    more = ["label"] if whole else []
+    posting = nodes.select("node", "n", *more, F.explode("sketch").alias("v"))
+    if whole:
+        shared = posting.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v", "c")
+    else:
+        shared = posting.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    rare_first = posting.join(shared, "v").groupBy("node", "n", *more).agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"), F.sum("c").alias("central"))
     exact = F.ceil(F.col("n") * percent / 100).cast("int")
-    size, least = (F.col("n"), exact) if k is None else (F.least("n", F.lit(k)), F.least(exact, F.lit(need)))
+    size, least = (F.col("n"), exact) if whole else (F.least("n", F.lit(k)), F.least(exact, F.lit(need)))
     # Values that no other node has are rarest, and meet nobody.
     alone = size - F.size("values")
-    return (
-        rare_first.withColumn("alone", alone)
-        .withColumn("take", size - least + 1 - F.col("alone"))
-        .where("take > 0")
-        .select("node", "n", "alone", "central", F.posexplode(F.slice("values", 1, F.col("take"))).alias("i", "x"))
-        .select(F.col("x.v").alias("v"), "node", "n", (F.col("alone") + F.col("i")).alias("place"), "central")
-    )
+    rows = rare_first.withColumn("alone", alone).withColumn("take", size - least + 1 - F.col("alone")).where("take > 0")
+    if whole:
+        head = F.slice("values", 1, F.least("take", F.lit(HEAD)))
+        rows = rows.withColumn("last", F.element_at(head, -1)).withColumn("head", F.transform(head, lambda x: x.v))
+        rows = rows.withColumn("after", F.col("n") - F.col("alone") - F.size("head"))
+        more = ["label", "head", "last", "after"]
+    listed = rows.select("node", "n", "alone", "central", *more, F.posexplode(F.slice("values", 1, F.col("take"))).alias("i", "x"))
+    return listed.select(F.col("x.v").alias("v"), "node", "n", (F.col("alone") + F.col("i")).alias("place"), "central", *more)
 
 
 def _met(listed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one list, of full sets, with different labels, whose sizes and places allow enough overlap.
+    """Pairs (a, b) of one list, of full sets, with different labels, that can have enough overlap.
 
-    All that two sets share from a common value on comes after it in both; what they share before it, they meet at.
+    Values come in one order, rarest first. All that two sets share from a common value on comes after it in both. Of
+    the two heads, let x's end first: what the sets share up to there is in both heads, and beyond it are ``after`` of
+    x's values.
     """
-    left, right = (listed.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "label"))) for x in "ab")
-    overlap = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    # |A and B| >= p / (100 + p) * (|A| + |B|) is the threshold on |A and B| / |A or B|. At the first value that a pair
-    # meets at, it shares nothing before.
-    enough = (100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))
-    return left.join(right, (left["v"] == right["v"]) & (left["label_a"] < right["label_b"]) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    names = ("node", "n", "place", "label", "head", "last", "after")
+    left, right = (listed.select("v", *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
+    # |A and B| >= p / (100 + p) * (|A| + |B|) is the threshold on |A and B| / |A or B|.
+    least = percent * (F.col("n_a") + F.col("n_b"))
+    by_place = (100 + percent) * F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= least
+    after = F.when(F.col("last_a") <= F.col("last_b"), F.col("after_a")).otherwise(F.col("after_b"))
+    common = F.array_intersect("head_a", "head_b")
+    by_heads = (100 + percent) * (F.size(common) + after) >= least
+    first = F.coalesce(F.get(common, F.lit(0)) == left["v"], F.lit(True))
+    met = left.join(right, (left["v"] == right["v"]) & (left["label_a"] < right["label_b"]) & by_place & by_heads & first)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _dealt(pairs: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs with ``part``, and (key, parts) of the keys that have more than one part of about ``PAIRS`` pairs."""
+    many = pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(many, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int"))
+    return dealt.drop("parts"), many
+
+
+def _copies(table: DataFrame, key: str, many: DataFrame) -> DataFrame:
+    """A row of ``table`` for each part of its key."""
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    return table.join(many, key, "left").withColumn("part", F.explode(parts)).drop("parts")
+
+
+def _with_both(pairs: DataFrame, a: tuple[str, DataFrame], b: tuple[str, DataFrame]) -> DataFrame:
+    """Pairs with the columns that the tables have for their keys; ``pairs`` is a written table."""
+    (of_a, left), (of_b, right) = a, b
+    dealt, many = _dealt(pairs, of_b, of_a)
+    return dealt.join(left, of_a).join(_copies(right, of_b, many), [of_b, "part"]).drop("part")
+
+
+def _estimate(na: Column, sa: Column, nb: Column, sb: Column, k: int, need: int, percent: int) -> tuple[Column, Column]:
+    """The share of the union's sketch that both sets have, and whether it is enough; sa and sb are sketches."""
+    every = F.array_union(sa, sb)
+    union = F.slice(F.array_sort(every), 1, k)
+    common = F.size(F.array_intersect(F.array_intersect(sa, sb), union))
+    whole = (na <= k) & (nb <= k) & (F.size(every) <= k)
+    return common / F.size(union), F.when(whole, 100 * common >= percent * F.size(union)).otherwise(common >= need)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, need: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch holds enough of the intersection, with that share as ``near``."""
     side = nodes.select("node", "n", "rep", "sketch")
-    both = pairs.join(side.toDF("a", "na", "ra", "sa"), "a").join(side.toDF("b", "nb", "rb", "sb"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    found = both.withColumn("of", F.size(union)).withColumn("common", common)
-    whole = (F.col("na") <= k) & (F.col("nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
-    enough = F.when(whole, 100 * F.col("common") >= percent * F.col("of")).otherwise(F.col("common") >= need)
-    return found.where(enough).select("a", "b", "ra", "rb", (F.col("common") / F.col("of")).alias("near"))
-
-
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id, gathered on the executors into 64-bit words; at most FILTER_BITS / 64 rows come."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    packed = ids.select(F.shiftright(bucket, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 63 as int))").alias("m"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, m in packed.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas().itertuples(index=False):
-        bits[w] = m
-    return bits
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the rows whose id is wanted; the scan drops most others before anything is shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h"))
+    both = _with_both(pairs, ("a", side.toDF("a", "na", "ra", "sa")), ("b", side.toDF("b", "nb", "rb", "sb")))
+    near, enough = _estimate(*(F.col(c) for c in ("na", "sa", "nb", "sb")), k, need, percent)
+    return both.where(enough).select("a", "b", "ra", "rb", near.alias("near"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(2).to_numpy()
-            hit = (bits.value[h >> 6] >> (h & 63)) & 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "text"]).filter(pa.array(hit.astype(bool)))
 
-    return keyed.mapInArrow(run, "id long, text string")
+def _still_open(open_nodes: DataFrame, nodes: DataFrame, k: int, need: int, percent: int) -> DataFrame:
+    """(node, label) of the open nodes that share enough values of their sketches with other components to be linked."""
+    posting = open_nodes.join(nodes, "node").select("node", "label", "n", F.explode("sketch").alias("v"))
+    mixed = posting.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    shared = posting.join(mixed, "v").groupBy("node", "label", "n").agg(F.count("*").alias("c"))
+    return shared.where(F.col("c") >= F.least(F.lit(need), F.ceil(F.col("n") * percent / 100))).select("node", "label")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; ra and rb are ids of documents that have the sets."""
-    ids = pairs.select(F.col("ra").alias("id")).union(pairs.select(F.col("rb").alias("id"))).distinct()
-    texts = _texts_of(docs, ids).groupBy("id").agg(F.collect_set("text").alias("t"))
-    joined = pairs.select("a", "b", "ra", "rb").join(texts.toDF("ra", "ta"), "ra").join(texts.toDF("rb", "tb"), "rb")
+    ids = cut(pairs.select(F.col("ra").alias("id")).union(pairs.select(F.col("rb").alias("id"))).distinct(), "ids")
+    _, found = split(docs.withColumnRenamed("doc_id", "id"), ["id"], ids)
+    texts = found.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_set("text").alias("t"))
+    joined = _with_both(pairs.select("a", "b", "ra", "rb"), ("ra", texts.toDF("ra", "ta")), ("rb", texts.toDF("rb", "tb")))
     # An id whose rows differ in text has several texts; any two that link will do.
     joined = joined.select("a", "b", F.explode("ta").alias("ta"), "tb").select("a", "b", "ta", F.explode("tb").alias("tb"))
 
@@ -185,6 +219,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _verified_sets(pairs: DataFrame, sets: DataFrame, k: int, need: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose union sketch, and then whose full sets (node, sketch) are similar enough."""
+    side = sets.select("node", "sketch")
+    both = _with_both(pairs, ("a", side.toDF("a", "sa")), ("b", side.toDF("b", "sb")))
+    _, enough = _estimate(F.size("sa"), F.slice("sa", 1, k), F.size("sb"), F.slice("sb", 1, k), k, need, percent)
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = (common > 0) & ((100 + percent) * common >= percent * (F.size("sa") + F.size("sb")))
+    return both.where(enough).where(alike).select("a", "b")
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -205,39 +249,36 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKET
     listed = cut(_list_values(nodes, k, need, percent), "lists")
 
     central = listed.groupBy("v").agg(F.max_by("node", F.struct("central", "node")).alias("b"))
-    star = listed.join(central, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    star = _estimated(star, nodes, k, need, percent)
-    star = star.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), "near").alias("x")).select("a", "x.*")
-    links = cut(_verified(cut(star, "star"), docs, width, percent), "links")
-    label = connected_components(links)
+    seen = cut(listed.join(central, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "seen")
+    nearest_of = lambda pairs: pairs.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), "near").alias("x")).select("a", "x.*")
+    star = cut(nearest_of(_estimated(seen, nodes, k, need, percent)), "star")
+    of_star = cut(_verified(star, docs, width, percent), "links")
+    label = connected_components(of_star)
 
     member = listed.join(label, "node", "left").select("v", "node", F.coalesce("label", "node").alias("label"))
     mixed = member.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    open_nodes = cut(member.join(mixed, "v").select("node", "label").distinct(), "open")
-    reps = open_nodes.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("id"))
-    full = signatures(_texts_of(docs, reps).withColumnRenamed("id", "doc_id"), width, None).withColumnRenamed("s1", "node")
-    full = cut(full.join(open_nodes.select("node"), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "sets")
-    met = _met(cut(_list_values(full, None, need, percent).join(open_nodes, "node"), "open-lists"), percent)
-    met = cut(_estimated(met, nodes, k, need, percent), "met")
-    nearest = met.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), "near").alias("x")).select("a", "x.*")
-    links = links.unionByName(cut(_verified(cut(nearest, "nearest"), docs, width, percent), "links"))
-    label = connected_components(links)
-    apart = met.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
-    apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "ra", "rb")
-    links = links.unionByName(cut(_verified(cut(apart, "apart"), docs, width, percent), "links"))
-    label = connected_components(links)
-
-    reached = nodes.select("node", "s2", "n", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    in_mixed = cut(member.join(mixed, "v").select("node", "label").distinct(), "mixed")
+    open_nodes = cut(_still_open(in_mixed, nodes, k, need, percent), "open")
+    reps = cut(open_nodes.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")), "reps")
+    full = signatures(split(docs, ["doc_id"], reps)[1], width, None).withColumnRenamed("s1", "node")
+    full = cut(full.join(open_nodes, "node").select("node", "n", "sketch", "label").dropDuplicates(["node"]), "sets")
+    crossed = cut(_list_values(full, None, need, percent), "crossed")
+    paired = cut(_met(crossed, percent), "paired")
+    across = cut(_verified_sets(paired, full, k, need, percent), "links")
+    final = connected_components(of_star.unionByName(across))
+    remove(spark, listed, seen, star, of_star, label, in_mixed, open_nodes, reps, full, crossed, paired, across)
+
+    reached = nodes.select("node", "s2", "n", "rep").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = reached.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_set = reached.join(smallest, "label").select(F.col("node").alias("s1"), "s2", "n", "component_id")
     # s1 is null for empty sets, which no class has: they are their own component.
-    more = ["text_hash"] if hashed else []
-    rows = marked.select("doc_id", *more, "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(by_set, ["s1", "s2", "n"], "left")
+    named = ["text_hash"] if hashed else []
+    rows = marked.select("doc_id", *named, "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(by_set, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-        *more,
+        *named,
     )
