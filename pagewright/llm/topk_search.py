@@ -9,7 +9,8 @@ topmost bins that hold k of its own rows; a lower bin of that task can't hold th
 Defined results: a vector that is null, empty or has a null or non-finite component takes no part, neither does one with
 a null id as a candidate's tie can't be broken; vectors of different length don't meet; rows that have the query's own
 id are not its candidates; a query id that repeats is searched once, with its smallest vector; a query with fewer than
-k candidates gets them all; an empty table gives an empty result; columns other than id and vector are not read.
+k candidates gets them all; a score beyond 64 bits counts, and is returned, as the nearest one that fits (so does a
+component, after scaling); an empty table gives an empty result; columns other than id and vector are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ CHUNK = 4096
 BINS = 256
 #: Candidates scored by one matrix product.
 BLOCK = 1024
-_EXACT = 1 << 53
+_EXACT, _MOST = 1 << 53, (1 << 63) - 1
 
 
 def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -55,14 +56,14 @@ class Queries:
         self.ids, self.k = ids, k
         self.by_size = {n: np.array([i for i, v in enumerate(vectors) if len(v) == n]) for n in {len(v) for v in vectors}}
         self.matrix = {n: np.array([vectors[i] for i in own]) for n, own in self.by_size.items()}
-        reach = np.array([math.isqrt(int(np.dot(v.astype(object), v))) + 1 for v in vectors], object) * (int(bound) + 1)
-        if len(reach) and max(reach) >= 1 << 62:
-            raise ValueError("inner products exceed 64 bits")
-        self.exact = not len(reach) or max(reach) < _EXACT
-        reach = reach.astype(np.int64)
+        # No inner product is larger than the lengths' product, nor is a sum on the way to it.
+        reach = [(math.isqrt(int(np.dot(v.astype(object), v))) + 1) * (int(bound * 1.001) + 1) for v in vectors]
+        most = max(reach, default=0)
+        self.kind = np.float64 if most < _EXACT else np.int64 if most < 1 << 63 else object
+        reach = np.array([min(x, _MOST) for x in reach], np.int64)
         self.lo, self.hi = -reach, reach
         self.need = np.full(len(ids), k)
-        self.cut, self.cut_id = np.full(len(ids), np.iinfo(np.int64).min), np.full(len(ids), np.iinfo(np.int64).max)
+        self.cut, self.cut_id = np.full(len(ids), -_MOST - 1), np.full(len(ids), _MOST)
         self.by_id = np.zeros(len(ids), bool)
         self.open = np.ones(len(ids), bool)
 
@@ -76,11 +77,18 @@ class Queries:
             for lo in range(0, len(rows), BLOCK):
                 some, left = rows[lo : lo + BLOCK], self.matrix[matrix.shape[1]]
                 right = matrix[lo : lo + BLOCK]
-                value = (left.astype(float) @ right.T.astype(float)).astype(np.int64) if self.exact else left @ right.T
-                yield own, ids[some], value, self.ids[own][:, None] != ids[some]
+                value = left.astype(self.kind) @ right.T.astype(self.kind)
+                if self.kind is object:
+                    value = np.clip(value, -_MOST, _MOST)
+                yield own, ids[some], value.astype(np.int64), self.ids[own][:, None] != ids[some]
+
+    def widths(self) -> np.ndarray:
+        """Of a bin, for each query; a range may be wider than a signed value."""
+        span = self.hi.view(np.uint64) - self.lo.view(np.uint64)
+        return span // np.uint64(BINS) + np.uint64(1)
 
     def histogram(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.maximum(1, -(-(self.hi - self.lo + 1) // BINS))
+        width = self.widths()
         total = np.zeros((len(self.ids), BINS), np.int64)
         for batch in batches:
             for own, ids, value, part in self.scores(batch):
@@ -88,10 +96,10 @@ class Queries:
                 key = value
                 if ids_here.any():
                     part = part & (~ids_here[:, None] | (value == self.cut[own][:, None]))
-                    key = np.where(ids_here[:, None], -ids, value)
+                    key = np.where(ids_here[:, None], ~ids, value)
                 part = part & self.open[own][:, None] & (key >= self.lo[own][:, None]) & (key <= self.hi[own][:, None])
                 q, c = np.nonzero(part)
-                bins = (key[q, c] - self.lo[own[q]]) // width[own[q]]
+                bins = ((key[q, c].view(np.uint64) - self.lo[own[q]].view(np.uint64)) // width[own[q]]).astype(np.int64)
                 total += np.bincount(own[q] * BINS + bins, minlength=total.size).reshape(total.shape)
         above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total
         q, b = np.nonzero((total > 0) & (above < self.k))
@@ -99,7 +107,7 @@ class Queries:
 
     def narrow(self, rows: list) -> None:
         """Take the bin of the k-th value as the next range of each query; ``rows``: (q, b, n), summed over the tasks."""
-        width = np.maximum(1, -(-(self.hi - self.lo + 1) // BINS))
+        width = self.widths()
         bins: dict[int, list[tuple[int, int]]] = {}
         for q, b, n in rows:
             bins.setdefault(q, []).append((b, n))
@@ -108,7 +116,8 @@ class Queries:
                 if n < self.need[q]:
                     self.need[q] -= n
                     continue
-                self.lo[q], self.hi[q] = self.lo[q] + b * width[q], min(self.hi[q], self.lo[q] + (b + 1) * width[q] - 1)
+                first = int(self.lo[q]) + b * int(width[q])
+                self.lo[q], self.hi[q] = first, min(int(self.hi[q]), first + int(width[q]) - 1)
                 if self.lo[q] == self.hi[q]:
                     self._found(q, n)
                 break
@@ -117,7 +126,7 @@ class Queries:
 
     def _found(self, q: int, n: int) -> None:
         if self.by_id[q]:
-            self.cut_id[q], self.open[q] = -self.lo[q], False
+            self.cut_id[q], self.open[q] = ~self.lo[q], False
             return
         self.cut[q] = self.lo[q]
         if n == self.need[q]:
@@ -146,7 +155,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     arrow_rows(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("v"), is_query.alias("is_query"))
     rows = cut(rows.where("vec_id is not null and v is not null"), "vectors")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     seen = rows.agg(F.max(length).alias("bound"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"), F.count(F.when(F.col("is_query"), 1)).alias("n")).head()
     queries = rows.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
     chunks = max(1, math.ceil(seen["n"] / CHUNK))
@@ -156,7 +165,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
         if not own:
             continue
         state = Queries(np.array([r["vec_id"] for r in own]), [np.array(r["v"], np.int64) for r in own], seen["bound"], k)
-        state.id_range = -seen["hi"], -seen["lo"]
+        state.id_range = ~seen["hi"], ~seen["lo"]
         while state.open.any():
             sent = spark.sparkContext.broadcast(state)
             part = candidates.mapInArrow(lambda batches, sent=sent: sent.value.histogram(batches), "q int, b int, n long")

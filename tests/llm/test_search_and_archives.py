@@ -105,3 +105,18 @@ def test_each_record_is_a_member(spark, tmp_path):
     assert [(r.id, r.uri) for r in index] == [("<urn:page:1>", "http://x"), ("<urn:page:2>", "http://y")]
     assert [gzip.decompress(data[r.offset : r.offset + r.length]) for r in index] == [W.record(1, "http://x", b"abc", None), W.record(2, "http://y", b"", None)]
     assert sum(r.length for r in index) == len(data)
+
+
+def test_top_k_of_large_components(spark):
+    """Components of any size: exact while a score fits in 64 bits, else the nearest value that does."""
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([1.0, -1.0]) * rng.choice([0.25, 1e3, 1e7, 3e9, 1e15]) * rng.randint(1, 9) for _ in range(2)], 0) for i in range(80)]
+    rows = [(i, [float(x) for x in __import__("numpy").float32(v)], s) for i, v, s in rows]
+    most = (1 << 63) - 1
+    wanted = []
+    scale = lambda v: [math.floor(256 * x) for x in v]
+    for q, a, _ in rows[::4]:
+        scored = sorted((-max(-most, min(most, sum(x * y for x, y in zip(scale(a), scale(b), strict=True)))), i) for i, b, _ in rows if i != q)
+        wanted += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    got = K.top_k(spark.createDataFrame(rows, VECTORS).repartition(3), F.col("vec_id") % 4 == 0, k=5, scale=256)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(wanted)
