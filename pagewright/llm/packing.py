@@ -8,7 +8,8 @@ their rank within their length; ranks are counted in salted groups of about ``GR
 most pieces have is no single task.
 
 The vocabulary is applied to distinct words (runs between ASCII white space, which the vocabulary's splitting never
-crosses); each worker keeps a bounded table of words it has met.
+crosses); each worker keeps a bounded table of words it has met. A special token's name in a text becomes that token, as
+the tokenizers library has it.
 
 Defined results: a null text counts as empty; an empty text is one piece of one token, the end id; a document with a
 null id is packed like any other; rows that repeat an id are packed each; an empty table gives an empty result; columns
@@ -61,14 +62,12 @@ class WordIds(dict):
         return place
 
     def encode(self) -> None:
-        """Ids of the new words. Words are joined by a special token; a word with a piece of its text goes alone."""
+        """Ids of the new words. Words are joined by a special token; a word with a piece of such a token goes alone."""
         flats, sizes = [self.flat], []
         for i in range(0, len(self.new), _CALL):
             some = [x.decode("utf-8") for x in self.new[i : i + _CALL]]
             if any("<|" in x for x in some):
-                self.tokenizer.encode_special_tokens = True
                 lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                self.tokenizer.encode_special_tokens = False
                 flats.append(np.array([x for ids in lists for x in ids], np.uint32))
                 sizes += [len(x) for x in lists]
                 continue
@@ -97,8 +96,10 @@ def token_ids(column: pa.Array, vocabulary: str = VOCABULARY) -> Iterator[np.nda
             held[0] = WordIds(vocabulary)
         table, places = held[0], []
         for r in range(hi - lo):
-            # The vocabulary lower-cases; doing so for ASCII here makes fewer distinct words.
-            found = raw[at[r] : at[r + 1]].tobytes().lower().split()
+            # The vocabulary lower-cases; doing so for ASCII here makes fewer distinct words. The names of its special
+            # tokens, which it finds in any text, count as they are written.
+            own = raw[at[r] : at[r + 1]].tobytes()
+            found = own.lower().split() if b"<|" not in own else [x if b"<|" in x else x.lower() for x in own.split()]
             places.append(np.fromiter(map(table.__getitem__, found), np.int64, len(found)))
         if table.new:
             table.encode()

@@ -16,7 +16,7 @@ from pagewright.llm import packing as P
 
 DOCS = "doc_id long, text string, length int, offset string"
 ODD = [
-    None, "", " ", "\n\n\t ", "Hello, World!", "naïve Straße ÜBER İstanbul ǅ", "1234567 3.14", "x" * 3000, "ab" * 700, "<|endoftext|> a <|x|>", "日本語のテキスト 한국어 العربية", "👩‍👩‍👧 é",
+    None, "", " ", "\n\n\t ", "Hello, World!", "naïve Straße ÜBER İstanbul ǅ", "1234567 3.14", "x" * 3000, "ab" * 700, "<|endoftext|> a <|x|>", "A<|endoftext|>B <|ENDOFTEXT|> <|startoftext|><|", "<|endoftext|>", "日本語のテキスト 한국어 العربية", "👩‍👩‍👧 é",
     "don't WON'T it's", "a b c​d", "foo_bar __init__ != <= ...", "word " * 4000, "� \x00 \x1f z", "ſ K Å",
 ]
 
@@ -35,7 +35,7 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(P.VOCABULARY))
-    plain.encode_special_tokens = True
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
     for text, ids in zip(texts(), P.token_ids(pa.array(texts())), strict=True):
         assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, P.END_ID]
 
