@@ -3,7 +3,7 @@
 A document's features are the distinct hashes of its words, its pairs of neighbours and its pairs with one word between,
 each with value 1. Training reads at most about ``sample_rows`` labelled rows, in shards of ``SHARD_ROWS`` by a hash of
 the id; each shard runs FTRL-proximal (per-coordinate rates, L1 sparsity) for a few epochs in one task, and the mean of
-the shards' weights is the model. L1 leaves few weights other than 0, so the model is a short table, bounded by the
+the shards' weights is the model. Every feature takes part; L1 alone leaves few weights other than 0, so the model is a short table, bounded by the
 number of buckets, and is broadcast. Every whole text is scored, in blocks.
 
 Defined results: a null or empty text has the bias's score; without labelled rows every score is 0.5 and nothing is
@@ -30,9 +30,7 @@ BUCKETS = 1 << 22
 SAMPLE_ROWS = 32_768
 SHARD_ROWS = 8_192
 EPOCHS = 6
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 30.0, 0.0
-#: A feature takes part in training if so many documents of the shard have it.
-MIN_DOCUMENTS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 60.0, 0.0
 #: Weight of a labelled toxic row: one that is missed costs as much as so many clean ones that are flagged.
 POSITIVE = 8.0
 THRESHOLD = 0.7
@@ -95,14 +93,7 @@ def ftrl(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> t
 
     Each list holds a row's distinct buckets.
     """
-    documents = np.zeros(BUCKETS, np.int32)
-    for x in lists:
-        documents[x] += 1
-    kept = np.flatnonzero(documents >= MIN_DOCUMENTS)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    lists = [p[p >= 0] for p in (place[x] for x in lists)]
-    z, n = np.zeros(len(kept)), np.zeros(len(kept))
+    z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias_z = bias_n = 0.0
 
     def weight(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
@@ -110,15 +101,16 @@ def ftrl(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> t
 
     for _ in range(epochs):
         for x, y in zip(lists, labels, strict=True):
-            w, bias = weight(z[x], n[x], L1), float(weight(np.float64(bias_z), np.float64(bias_n), 0.0))
+            zx, nx = z[x], n[x]
+            w, bias = weight(zx, nx, L1), float(weight(np.float64(bias_z), np.float64(bias_n), 0.0))
             g = (1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y) * (POSITIVE if y else 1.0)
-            sigma = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / ALPHA
-            z[x] += g - sigma * w
-            n[x] += g * g
+            z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / ALPHA * w
+            n[x] = nx + g * g
             bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / ALPHA * bias
             bias_n += g * g
     w = weight(z, n, L1)
-    return float(weight(np.float64(bias_z), np.float64(bias_n), 0.0)), kept[w != 0], w[w != 0]
+    used = np.flatnonzero(w)
+    return float(weight(np.float64(bias_z), np.float64(bias_n), 0.0)), used, w[used]
 
 
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:

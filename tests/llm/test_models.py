@@ -81,6 +81,32 @@ def test_toxicity_held_out(spark):
     assert np.mean([p for y, p in held if y]) > 0.95 and np.mean([p for y, p in held if not y]) < 0.02
 
 
+def test_ftrl_equals_a_plain_loop():
+    """Coordinate by coordinate, in plain Python, after the published update; every feature takes part, rare ones too."""
+    rng, rows = random.Random(3), []
+    for _ in range(160):
+        y = int(rng.random() < 0.4)
+        rows.append((sorted({rng.randrange(40) for _ in range(6)} | ({50 + rng.randrange(3)} if y else set())), y))
+    z, n, sums = {}, {}, []
+
+    def weight(i, l1):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((T.BETA + ni**0.5) / T.ALPHA + T.L2)
+
+    for _ in range(T.EPOCHS):
+        for x, y in rows:
+            w = {i: weight(i, T.L1) for i in x} | {-1: weight(-1, 0.0)}
+            sums.append(sum(w.values()))
+            g = (1 / (1 + np.exp(-max(-35, min(35, sums[-1])))) - y) * (T.POSITIVE if y else 1.0)
+            for i in w:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / T.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    wanted = {i: weight(i, T.L1) for i in z if i >= 0 and weight(i, T.L1)}
+    bias, bucket, w = T.ftrl([np.array(x) for x, _ in rows], np.array([y for _, y in rows]))
+    assert 0 < len(wanted) < len(z) and bucket.tolist() == sorted(wanted)
+    assert bias == pytest.approx(weight(-1, 0.0)) and w.tolist() == pytest.approx([wanted[i] for i in sorted(wanted)])
+
+
 def test_toxicity_score_is_the_sum_of_distinct_features():
     (_, _, raw, at), = text_blocks(pa.array(["vile Vile, x"]))
     buckets = np.unique(np.concatenate([b for _, b in T.features(raw, at)]))
