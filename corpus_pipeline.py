@@ -7,7 +7,8 @@ reads back to the next.
 The language stage keeps documents whose text is in a learned language with a posterior of ``LEAST_LANGUAGE`` or more.
 The toxicity stage drops those predicted toxic. The duplicate stages keep one document of each group, the one with the
 smallest id. Null and empty texts have no language and go at the first stage. The exact stage keeps one of the rows
-that repeat an id and text, and none with a null id; the near stage decides about rows that share an id by each one's text.
+that have a text, with a null id only if all have; the near stage decides about rows that share an id by each one's
+text, and keeps those with a null id.
 """
 
 from __future__ import annotations
@@ -36,18 +37,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from pagewright.llm.exact_dedup import exact_dedup
+    from pagewright.llm.exact_dedup import distinct_texts
 
-    kept = exact_dedup(docs, keep="min").where("kept").select("doc_id", "text_sha256").distinct()
-    rows = docs.withColumn("text_sha256", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    return rows.join(kept, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(COLUMNS)
+    return distinct_texts(docs.select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from pagewright.llm.membership import split
     from pagewright.llm.near_dedup import near_dedup
 
-    dropped = near_dedup(docs, width=5, percent=80, hashed=True).where("not kept").select("doc_id", "text_hash").distinct()
-    return docs.withColumn("text_hash", F.xxhash64("text")).join(dropped, ["doc_id", "text_hash"], "left_anti").select(COLUMNS)
+    dropped = near_dedup(docs, width=5, percent=80, hashed=True).where("not kept and doc_id is not null")
+    dropped = cut(dropped.select("doc_id", "text_hash").distinct(), "dropped")
+    kept, maybe = split(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], dropped)
+    return kept.unionByName(maybe.join(dropped, ["doc_id", "text_hash"], "left_anti")).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
