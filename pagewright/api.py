@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import outcomes as O
+from pagewright.functions import security as S
+from pagewright.functions import urls as U
 from pagewright.functions.fixed import POLICY_PRESETS
+from pagewright.functions.guards import config_of, custom_patterns, unknown_keys
 from pagewright.operators import chunks as C
 from pagewright.operators import pages as P
+from pagewright.operators.policies import first_policy
 from pagewright.operators.requests import batch_summary
 
 
@@ -20,6 +25,14 @@ class Config:
     chunking: str = "none"
     chunk_size: int = 2000
     chunk_overlap: int = 0
+    advanced_security: bool = False
+    custom_patterns: tuple[str | tuple[str, float], ...] = field(default=())
+    mode: str = "auto"
+    extract_metadata: bool = False
+    extract_links: bool = True
+    extract_blocks: bool = True
+    output_formats: tuple[str, ...] = field(default=("markdown",))
+    output_profile: str = "default"
     blocked_selectors: tuple[str, ...] = field(default=())
     unwrap_selectors: tuple[str, ...] = field(default=())
     blocked_tags: tuple[str, ...] = field(default=())
@@ -30,6 +43,16 @@ class Config:
         if self.chunking not in ("none", "size", "heading"):
             raise ValueError(f"unknown chunking {self.chunking!r}")
         self.limits()
+        custom_patterns(list(self.custom_patterns))
+
+    @classmethod
+    def of(cls, *layers: dict | None) -> Config:
+        """A configuration of several layers, the first of which count most, over its output profile's values."""
+        merged = config_of(*layers)
+        unknown = unknown_keys(merged, {f.name for f in fields(cls)})
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        return cls(**merged)
 
     def limits(self) -> tuple[float, float]:
         """(block, warn) of the preset; strict caps them at 0.5 and 0.3."""
@@ -45,10 +68,45 @@ def ingest(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """Documents of pages (page_id, url, html)."""
     block, warn = config.limits()
     return P.documents(
-        pages, block, warn, blocked_selectors=config.blocked_selectors, unwrap_selectors=config.unwrap_selectors, blocked_tags=config.blocked_tags, allowed_tags=config.allowed_tags
+        pages, block, warn, config.advanced_security, custom_patterns(list(config.custom_patterns)), blocked_selectors=config.blocked_selectors, unwrap_selectors=config.unwrap_selectors, blocked_tags=config.blocked_tags, allowed_tags=config.allowed_tags
     )
 
 
+def ingest_by_domain(pages: DataFrame, policies: list[dict], config: Config = Config()) -> DataFrame:
+    """Documents under the first policy, in list order, that matches a page's host, with ``domain`` and ``notes``.
+
+    A policy: domain, include_subdomains, and what of policy_name, strict, block_threshold, warn_threshold,
+    blocked_selectors, unwrap_selectors, blocked_tags, allowed_tags and notes it sets. Pages are parsed once for each
+    policy that they fall under, in one pass each over those pages.
+    """
+    spark = pages.sparkSession
+    table = spark.createDataFrame([(i, p["domain"], bool(p.get("include_subdomains"))) for i, p in enumerate(policies)], "priority int, domain string, include_subdomains boolean")
+    own = first_policy(pages.select("page_id", "url", "html", U.host(F.col("url")).alias("host")), table)
+    names = [f.name for f in fields(Config)]
+    out = None
+    for i, p in [(None, {}), *enumerate(policies)]:
+        some = own.where(F.col("priority").isNull() if i is None else F.col("priority") == i)
+        settings = {("policy" if k == "policy_name" else k): v for k, v in p.items()}
+        mine = replace(config, **{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items() if k in names})
+        block, warn = mine.limits()
+        limits = some.sparkSession.range(1).select(S.thresholds(F.lit(float(p.get("block_threshold") or block)), F.lit(float(p.get("warn_threshold") or warn)), F.lit(mine.strict)).alias("x")).first()["x"]
+        docs = P.documents(
+            some, limits["block"], limits["warn"], mine.advanced_security, custom_patterns(list(mine.custom_patterns)), blocked_selectors=mine.blocked_selectors,
+            unwrap_selectors=mine.unwrap_selectors, blocked_tags=mine.blocked_tags, allowed_tags=mine.allowed_tags,
+        ).withColumn("domain", F.lit(p.get("domain")).cast("string")).withColumn("notes", F.lit(p.get("notes")).cast("string"))
+        out = docs if out is None else out.unionByName(docs)
+    return out
+
+
+def serialised(docs: DataFrame, config: Config = Config(), content: bool = True) -> DataFrame:
+    """page_id and the document as JSON; its formats as the configuration asks, without the text if not ``content``."""
+    has = F.array_compact(F.array(F.lit("markdown"), F.when(F.lit(config.extract_blocks) & (F.size("blocks") > 0), F.lit("blocks")), F.lit("security")))
+    formats = O.emitted_formats(F.array(*[F.lit(x) for x in config.output_formats]), has)
+    kept = docs.withColumn("emitted_formats", formats)
+    kept = kept if content else kept.drop("markdown", "blocks")
+    return kept.select("page_id", F.to_json(F.struct(*(c for c in kept.columns if c != "page_id"))).alias("document_json"))
+
+
 def chunks(docs: DataFrame, config: Config) -> DataFrame:
     return C.chunks(docs.select("page_id", "blocks"), config.chunking, config.chunk_size, config.chunk_overlap)
 

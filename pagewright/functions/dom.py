@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import html as entities
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import unquote, urljoin
+
+from pagewright.functions.fixed import TRACKING_PARAMETERS
 
 # Elements without content, elements an opening tag ends, elements that are not content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 BLOCKS = frozenset("address article aside blockquote body dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-UNWANTED = "script style nav header footer aside iframe object embed form noscript".split()
+UNWANTED = "script style nav footer aside iframe noscript object embed applet base".split()
 ACTIVE = frozenset("script style iframe object embed form input button select textarea link meta base".split())
 # Classes and styles that hide an element.
 HIDING_CLASSES = frozenset("hidden invisible hide sr-only visually-hidden".split())
@@ -22,7 +26,7 @@ _HIDING_STYLE = re.compile(
     r"clip:rect\(0|clip-path:inset\(100%\)|transform:[^;]*scale\(0\)|transform:[^;]*translate\(-999|(?:left|top|text-indent):-\d{3,})"
 )
 _URL_ATTRIBUTES = frozenset("href src action formaction xlink:href poster data code codebase".split())
-_SAFE_DATA = re.compile(r"data:image/(?:png|jpeg|gif|webp)[;,]")
+_SAFE_DATA = frozenset("image/png image/jpeg image/gif image/webp".split())
 BLOCK_TYPES = {**{f"h{i}": "heading" for i in range(1, 7)}, "p": "paragraph", "ul": "list", "ol": "list", "blockquote": "quote", "pre": "code", "table": "table"}
 
 
@@ -50,9 +54,6 @@ class Node:
                 waiting += reversed(item.children)
         return " ".join(between.join(out).split())
 
-    def drop(self) -> None:
-        self.parent.children.remove(self)
-
     def unwrap(self) -> None:
         at = self.parent.children.index(self)
         for child in self.children:
@@ -102,6 +103,13 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+def discard(nodes: list[Node]) -> None:
+    """Take nodes out of their tree; each parent's children are gone through once."""
+    gone = set(map(id, nodes))
+    for parent in {id(n.parent): n.parent for n in nodes if n.parent is not None}.values():
+        parent.children = [c for c in parent.children if id(c) not in gone]
+
+
 def is_hidden(node: Node) -> bool:
     a = node.attrs
     style = re.sub(r"\s+", "", re.sub(r"/\*.*?\*/", "", a.get("style", ""), flags=re.S)).lower()
@@ -110,15 +118,15 @@ def is_hidden(node: Node) -> bool:
 
 def remove_hidden(root: Node) -> int:
     found = [n for n in root.nodes() if is_hidden(n)]
-    for node in found:
-        node.drop()
+    discard(found)
     return len(found)
 
 
 def remove_tags(root: Node, tags: list[str]) -> dict[str, int]:
     counts: dict[str, int] = {}
-    for node in [n for n in root.nodes() if n.tag in tags]:
-        node.drop()
+    found = [n for n in root.nodes() if n.tag in tags]
+    discard(found)
+    for node in found:
         counts[node.tag] = counts.get(node.tag, 0) + 1
     return counts
 
@@ -155,8 +163,7 @@ def apply_rules(root: Node, blocked_selectors=(), unwrap_selectors=(), blocked_t
         return [n for n in root.nodes() if any(matches(n, s) for s in selectors)]
 
     changed = picked(blocked_selectors)
-    for node in changed:
-        node.drop()
+    discard(changed)
     unwrapped = picked(unwrap_selectors)[::-1]
     for node in unwrapped:
         node.unwrap()
@@ -169,22 +176,53 @@ def apply_rules(root: Node, blocked_selectors=(), unwrap_selectors=(), blocked_t
     return n
 
 
-def is_dangerous(url: str) -> bool:
-    bare = re.sub(r"[\s\x00-\x20\xad​-‏﻿]", "", url).lower()
-    return bare.startswith(("javascript:", "vbscript:")) or bare.startswith("data:") and not _SAFE_DATA.match(bare)
+def is_dangerous(url: str) -> str | None:
+    """javascript, vbscript or data (other than plain pictures) if a URL has that scheme under any disguise."""
+    text = url.strip()
+    for _ in range(5):
+        after = entities.unescape(unquote(text))
+        if after == text:
+            break
+        text = after
+    text = unicodedata.normalize("NFKC", text).lower()
+    bare = "".join(c for c in text if not c.isspace() and unicodedata.category(c) not in ("Cc", "Cf", "Mn"))
+    scheme, colon, rest = bare.partition(":")
+    if not colon or scheme not in ("javascript", "vbscript", "data"):
+        return None
+    media, comma, _ = rest.partition(",")
+    return None if scheme == "data" and comma and media.split(";")[0] in _SAFE_DATA else scheme
+
+
+#: What ``sanitize`` counts.
+SANITIZED = ("event_handlers", "style_attributes", "javascript_urls", "vbscript_urls", "data_urls")
 
 
 def sanitize(root: Node) -> dict[str, int]:
-    counts = dict.fromkeys(("events", "styles", "srcsets", "urls"), 0)
+    counts = dict.fromkeys(SANITIZED, 0)
     for node in root.nodes():
-        for name in list(node.attrs):
-            kind = "events" if name.startswith("on") else "styles" if name == "style" else "srcsets" if name in ("srcset", "imagesrcset") else "urls" if name in _URL_ATTRIBUTES and is_dangerous(node.attrs[name]) else None
+        for name, value in list(node.attrs.items()):
+            if not value:
+                continue
+            if name in ("srcset", "imagesrcset"):
+                del node.attrs[name]
+                counts["data_urls"] += any(is_dangerous(x) == "data" or x.strip().lower().startswith("data:") for x in value.split(","))
+                continue
+            scheme = is_dangerous(value) if name in _URL_ATTRIBUTES else None
+            kind = "event_handlers" if name.startswith("on") else "style_attributes" if name == "style" else scheme and f"{scheme}_urls"
             if kind:
                 del node.attrs[name]
                 counts[kind] += 1
     return counts
 
 
+def without_tracking(url: str) -> str:
+    """The URL without query parameters that only track."""
+    bare, mark, fragment = url.partition("#")
+    where, question, query = bare.partition("?")
+    kept = [x for x in query.split("&") if x.partition("=")[0].lower() not in TRACKING_PARAMETERS]
+    return where + ("?" + "&".join(kept) if question and kept else "") + mark + fragment
+
+
 def main_content(root: Node) -> Node:
     """The element with most text outside links, by paragraphs' commas and length, or the body if that is short."""
     body = root.find("body") or root
@@ -203,25 +241,31 @@ def main_content(root: Node) -> Node:
 
 def inline(node: Node) -> str:
     """Markdown of what stands inside a block: links, emphasis, code; white space collapses."""
-    out = []
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(child)
-            continue
-        text = inline(child)
-        if child.tag in ("script", "style"):
-            continue
-        if child.tag == "a" and text.strip() and child.attrs.get("href") and not is_dangerous(child.attrs["href"]):
-            text = f"[{text.strip()}]({child.attrs['href'].strip()})"
-        elif child.tag in ("strong", "b", "em", "i") and text.strip():
-            mark = "**" if child.tag in ("strong", "b") else "*"
-            text = f"{mark}{text.strip()}{mark}"
-        elif child.tag == "code" and text.strip():
-            text = f"`{text.strip()}`"
-        elif child.tag == "br":
-            text = " "
-        out.append(text)
-    return re.sub(r"\s+", " ", "".join(out))
+    out: list[list[str]] = [[]]
+    waiting: list[tuple[Node | str, bool]] = [(c, False) for c in reversed(node.children)]
+    while waiting:
+        item, ended = waiting.pop()
+        if isinstance(item, str):
+            out[-1].append(item)
+        elif ended:
+            text = "".join(out.pop())
+            out[-1].append(_marked(item, text))
+        elif item.tag not in ("script", "style"):
+            out.append([])
+            waiting.append((item, True))
+            waiting += [(c, False) for c in reversed(item.children)]
+    return re.sub(r"\s+", " ", "".join(out[0]))
+
+
+def _marked(node: Node, text: str) -> str:
+    bare = re.sub(r"\s+", " ", text).strip()
+    href = node.attrs.get("href", "").strip()
+    if node.tag == "br":
+        return " "
+    if node.tag == "a" and bare and href and not is_dangerous(href):
+        return f"[{bare}]({without_tracking(href)})"
+    mark = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}.get(node.tag)
+    return f"{mark}{bare}{mark}" if mark and bare else text
 
 
 def _list(node: Node, indent: int = 0) -> list[str]:

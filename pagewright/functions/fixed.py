@@ -54,10 +54,15 @@ ZERO_WIDTH = (
 UNICODE_SPACES = r"[\s\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x{FEFF}]"
 
 # Letters that look like Latin ones, and those.
+# Full-width and mathematical letters need none: their compatibility forms are those letters.
 LOOKALIKES = (
-    "аАеЕоОрРсСуУіІјЈһҺхХвВмМнНкКтТѕЅԁԛԝ" "αΑβΒεΕηΗιΙκΚμΜνΝοΟρΡτΤυΥχΧζΖ",
-    "aAeEoOpPcCyYiIjJhHxXBBMMHHkKTTsSdqw" "aABBeEnHiIkKuMvNoOpPtTuYxXzZ",
+    "аАеЕоОрРсСуУіІјЈһҺхХвВмМнНтТ" "αΑεΕοΟρΡτΤιΙκΚνΝυΥχΧ" "ı\u2010\u2011\u2012\u2013\u2014\u2015\u2212\uff0d"
+    "աԱբԲգԳեԵզԶըԸղՂմՄնՆցՍկԿոՈ" "ᎠᎪᎶᏂᏗᎤᎨᎮᏈᏏᏓ" "აბგდევზთიკლმნოპრსტუ",
+    "aAeEoOpPcCyYiIjJhHxXBBMMHHTT" "aAeEoOpPtTiIkKvNuYxX" "i--------"
+    "aAbBgGeEzZdDrRmMnNoOkKuU" "AEIOUHLMRST" "abgdevztiklmnoprstu",
 )
+# One letter that looks like two.
+LOOKALIKE_PAIR = ("\u10df", "zh")
 
 # Query parameters that only track.
 TRACKING_PARAMETERS = (
@@ -92,6 +97,50 @@ AD_HOSTS = "doubleclick.net googlesyndication.com adservice.google adnxs.com ads
 TRACKER_LABELS, AD_LABELS = ["analytics", "tracker", "telemetry"], ["ads"]
 TRACKER_PATHS = ["/tracking.", "/tracking/", "/pixel.", "/pixel/", "/beacon.", "/beacon/", "/beacon?"]
 
-# Content types of pages, statuses that a retry may mend, job states.
+# A literal that every match of a pattern holds, in lower case, by place in INJECTION_PATTERNS.
+PATTERN_GATES = [
+    ["ignore"], ["system"], ["mode"], ["reveal"], ["you"], ["override"], ["disregard", "forget", "reset"], ["act"], ["pretend"],
+    ["instruction"], ["instruction"], ["instruction"], ["instruction"], ["jailbreak"], ["dan"], ["mode"], ["out"], ["simulate", "imagine"],
+]
+
+# Content types of pages, job states.
 HTML_TYPES = ["text/html", "application/xhtml+xml", "application/xml", "text/xml"]
 OPEN_JOB_STATES = ["queued", "running"]
+
+# Statuses and exceptions that a retry may mend; statuses that exceptions are answered with.
+RETRYABLE_STATUSES = [408, 409, 425, 429, 500, 502, 503, 504]
+RETRYABLE_ERRORS = "TimeoutError TimeoutException ConnectTimeout ReadTimeout WriteTimeout PoolTimeout ConnectError ReadError WriteError CloseError NetworkError ConnectionError TargetClosedError".split()
+ERROR_STATUSES = [
+    (["UnsupportedContentTypeError"], 415),
+    (["DomainCircuitOpenError"], 429),
+    (["InvalidURL", "UnsupportedProtocol"], 400),
+    (["TimeoutException", "ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout"], 504),
+    (["RequestError", "ConnectError", "ReadError", "WriteError", "CloseError", "NetworkError", "ProtocolError", "ProxyError", "TooManyRedirects"], 502),
+    (["ValueError"], 400),
+]
+RENDER_MESSAGES = ["Render mode requires Playwright", "Playwright is not installed."]
+QUEUE_FULL = "Job queue is full"
+QUEUE_UNAVAILABLE = [
+    "Job queue is unavailable", "Job queue is closing", "Job queue is closed",
+    "Job queue lease was lost; this instance can no longer accept or execute jobs",
+    "Job queue is unavailable because the DB is owned by another active instance",
+    "Job queue backend is temporarily unavailable because the current owner is busy",
+]
+QUEUE_READ_FAILED = "Job queue backend read failed:"
+
+# Errors whose text clients don't get to read.
+PRIVATE_ERRORS = ["ValueError", "RuntimeError", "OSError", "FileNotFoundError", "PermissionError", "OperationalError"]
+PRIVATE_MARKERS = ["ssrf protection", "blocked ip", "blocked range", "resolves to blocked", "database password"]
+
+# Representations of a document in their usual order, and the profiles' settings.
+OUTPUT_FORMATS = ["markdown", "blocks", "chunks", "metadata", "security"]
+OUTPUT_PROFILES = {
+    "default": {},
+    "llm_safe": {"strict": True, "extract_metadata": True, "extract_links": True, "extract_blocks": True, "chunking": "heading", "output_formats": ("markdown", "blocks", "security")},
+    "rag_chunkable": {"extract_metadata": True, "extract_links": True, "extract_blocks": True, "chunking": "heading", "chunk_size": 900, "chunk_overlap": 120, "output_formats": ("markdown", "blocks", "chunks")},
+    "for_search": {"mode": "fast", "strict": False, "extract_metadata": True, "extract_links": True, "extract_blocks": True, "chunking": "size", "chunk_size": 700, "chunk_overlap": 80, "output_formats": ("markdown", "blocks", "chunks", "metadata")},
+    "for_archive": {"mode": "render", "strict": True, "extract_metadata": True, "extract_links": True, "extract_blocks": True, "chunking": "none", "output_formats": ("markdown", "blocks", "metadata", "security")},
+}
+
+# What a text counts as that is encoded too deeply.
+DEEP_ENCODING, DEEP_WEIGHT = "Deeply nested encoding", 0.6

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed as V
+from pagewright.functions import text as T
 
 
 def pattern_counts(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
-    """An array with the number of matches of each pattern in a folded text."""
-    return F.array(*[F.regexp_count(text, F.lit(f"(?i){p}")) for p, _, _ in patterns])
+    """An array with the number of matches of each pattern in a folded text.
+
+    Only texts that hold a literal of the pattern are searched for it.
+    """
+    gates = V.PATTERN_GATES if patterns is V.INJECTION_PATTERNS else [None] * len(patterns)
+
+    def count(pattern: str, gate: list[str] | None, low: Column) -> Column:
+        found = F.regexp_count(text, F.lit(f"(?i){pattern}"))
+        return found if gate is None else F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in gate]), found).otherwise(0)
+
+    # The lower-case text is made once, as the variable of a function over an array of one.
+    return F.transform(F.array(F.lower(text)), lambda low: F.array(*[count(p, g, low) for (p, _, _), g in zip(patterns, gates, strict=True)]))[0]
 
 
 def pattern_matches(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
@@ -40,11 +51,14 @@ def imperative_density(text: Column) -> Column:
     return F.when(words > 0, verbs / words).otherwise(F.lit(0.0))
 
 
-def score(counts: Column, density: Column, hidden: Column, patterns=V.INJECTION_PATTERNS) -> Column:
-    """Weighted patterns, each more by the logarithm of its matches, plus shares for hidden text and imperatives."""
+def score(counts: Column, density: Column, hidden: Column, patterns=V.INJECTION_PATTERNS, too_deep: Column | bool = False) -> Column:
+    """Weighted patterns, each more by the logarithm of its matches, plus shares for hidden text and imperatives.
+
+    An encoding that is too deep counts as one match of a pattern of its own.
+    """
     at = [F.element_at(counts, i + 1) for i in range(len(patterns))]
     parts = [F.when(n > 0, F.lit(w) * (1 + F.lit(V.LOG_FACTOR) * F.log2(n.cast("double")))).otherwise(0.0) for n, (_, w, _) in zip(at, patterns, strict=True)]
-    total = F.least(F.lit(1.0), reduce(lambda a, b: a + b, parts))
+    total = F.least(F.lit(1.0), reduce(lambda a, b: a + b, parts) + F.when(F.lit(too_deep), V.DEEP_WEIGHT).otherwise(0.0))
     total = total + F.when(hidden, V.HIDDEN_WEIGHT).otherwise(0.0) + F.least(density * V.DENSITY_FACTOR, F.lit(V.DENSITY_MOST))
     total = F.least(F.lit(1.0), total)
     return F.when(F.array_max(counts) >= V.REPEATS, F.greatest(total, F.lit(V.REPEATS_FLOOR))).otherwise(total)
@@ -58,7 +72,7 @@ def risk_level(value: Column) -> Column:
 
 
 def flags(counts: Column, density: Column, hidden: Column, too_deep: Column) -> Column:
-    found = F.size(F.filter(counts, lambda n: n > 0))
+    found = F.size(F.filter(counts, lambda n: n > 0)) + too_deep.cast("int")
     return F.array_compact(
         F.array(
             F.when(found > 0, F.concat(F.lit("injection_patterns_detected:"), found.cast("string"))),
@@ -80,6 +94,71 @@ def matched_rules(text: Column, rules=V.KEYWORD_RULES) -> Column:
     return F.array_compact(F.array(*[F.when(holds(alt), F.lit(name)) for name, _, _, alt in rules]))
 
 
+def scanned(rows: DataFrame, text_col: str = "text", patterns=V.INJECTION_PATTERNS) -> DataFrame:
+    """``rows`` with what patterns find: counts, density, too_deep, and rules, the names of keyword rules that hold.
+
+    Patterns are counted in the text with its encodings undone; if that took too many rounds, in the text as it is as
+    well, and the larger number counts. The density is that of the text as it is.
+    """
+    out = rows.withColumn("__decoded", T.decoded(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.withColumn("too_deep", F.col("__decoded.too_deep")).withColumn("__bare", T.for_matching(F.col("__decoded.text")))
+    changed = F.col("__decoded.text") != F.coalesce(F.col(text_col), F.lit(""))
+    out = out.withColumn("__own", F.when(changed, T.for_matching(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.col("__bare")))
+    own = F.when(F.col("too_deep"), pattern_counts(F.col("__own"), patterns))
+    both = F.zip_with(pattern_counts(F.col("__bare"), patterns), F.coalesce(own, F.array()), lambda a, b: F.greatest(a, b))
+    out = out.withColumn("counts", both).withColumn("density", imperative_density(F.col("__own"))).withColumn("rules", matched_rules(F.coalesce(F.col(text_col), F.lit(""))))
+    return out.drop("__decoded", "__bare", "__own")
+
+
+def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = False, patterns=V.INJECTION_PATTERNS, block: Column | float = 0.7, warn: Column | float = 0.4) -> DataFrame:
+    """``rows`` of ``scanned`` with basic_score, rule_score, injection_score, flags, scan_method and explanation.
+
+    With ``advanced`` a keyword rule that holds counts with its confidence, and the larger score is the document's.
+    """
+    hidden, block, warn = F.lit(hidden), F.lit(block), F.lit(warn)
+    basic = score(F.col("counts"), F.col("density"), hidden, patterns, F.col("too_deep"))
+    held = F.size("rules") > 0
+    confidence = F.when(held, V.RULE_CONFIDENCE).otherwise(0.0) if advanced else F.lit(None).cast("double")
+    out = rows.withColumn("basic_score", basic).withColumn("rule_score", confidence)
+    out = out.withColumn("injection_score", F.greatest("basic_score", F.coalesce("rule_score", F.lit(0.0))))
+    out = out.withColumn("scan_method", F.lit("rules" if advanced else "basic"))
+    own = flags(F.col("counts"), F.col("density"), hidden, F.col("too_deep"))
+    if advanced:
+        named = F.transform("rules", lambda r: F.concat(F.lit("rule:"), r))
+        kinds = F.array_compact(F.array(*[F.when(F.array_contains("rules", n), F.lit(f"category:{kind}")) for n, _, kind, _ in V.KEYWORD_RULES]))
+        severity = F.when(F.col("rule_score") >= 0.7, "high").when(F.col("rule_score") >= 0.3, "medium").otherwise("low")
+        own = F.array_distinct(F.concat(own, F.when(held, F.concat(named, kinds, F.array(F.concat(F.lit("severity:"), severity)))).otherwise(F.array().cast("array<string>"))))
+    out = out.withColumn("flags", own)
+    found = F.size(F.filter("counts", lambda n: n > 0)) + F.col("too_deep").cast("int")
+    names = F.array(*[F.lit(n) for _, _, n in patterns])
+    triggers = F.filter(F.arrays_zip(names.alias("name"), F.col("counts").alias("occurrences")), lambda x: x["occurrences"] > 0)
+    told = F.struct(
+        F.col("scan_method"),
+        action(F.col("injection_score"), block, warn).alias("recommendation"),
+        F.format_string("Detected %d heuristic pattern groups with imperative density %.3f.", found, F.col("density")).alias("summary"),
+        triggers.alias("patterns"),
+        (F.col("rules") if advanced else F.array().cast("array<string>")).alias("rules"),
+        hidden.alias("hidden_content_detected"),
+    )
+    return out.withColumn("explanation", told)
+
+
+def with_custom(rows: DataFrame, custom: list[tuple[str, float, str]], text_col: str = "text", hidden: Column | bool = False) -> DataFrame:
+    """Rows of ``scored`` with a user's patterns as well: the larger score, each flag once, and custom_counts.
+
+    ``custom`` comes from ``guards.custom_patterns``.
+    """
+    hidden = F.lit(hidden)
+    own = scanned(rows.select("*").withColumnsRenamed({c: f"__{c}" for c in ("counts", "density", "too_deep", "rules")}), text_col, custom)
+    value = score(F.col("counts"), F.col("density"), hidden, custom, F.col("too_deep"))
+    more = flags(F.col("counts"), F.col("density"), hidden, F.col("too_deep"))
+    many = F.size(F.filter("__counts", lambda n: n > 0)) + F.size(F.filter("counts", lambda n: n > 0)) > V.MANY_PATTERNS
+    every = F.concat(F.col("flags"), more, F.when(many, F.array(F.lit("multiple_injection_attempts"))).otherwise(F.array().cast("array<string>")))
+    out = own.withColumn("injection_score", F.greatest("injection_score", value)).withColumn("flags", F.array_distinct(every))
+    out = out.withColumnRenamed("counts", "custom_counts").drop("density", "too_deep", "rules")
+    return out.withColumnsRenamed({f"__{c}": c for c in ("counts", "density", "too_deep", "rules")})
+
+
 def rule_score(value: Column) -> Column:
     """A rule scanner's score made safe: 0.75 if it is missing or no number, at least the confidence floor if failed."""
     return F.when(value.isNull() | F.isnan(value), 0.75).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from pagewright.functions.fixed import LOOKALIKES, UNICODE_SPACES, ZERO_WIDTH
+from pagewright.functions.fixed import LOOKALIKE_PAIR, LOOKALIKES, UNICODE_SPACES, ZERO_WIDTH
 
 #: Rounds of decoding after which a text counts as encoded too deeply.
 DECODE_ROUNDS = 10
@@ -39,8 +39,14 @@ def plain_spaces(text: Column) -> Column:
 
 
 def ascii_fold(text: Column) -> Column:
-    """Letters that look Latin become so, compatibility forms and accents are folded, other non-ASCII is dropped."""
-    return F.regexp_replace(_decomposed(F.translate(text, *LOOKALIKES)), r"[^\x00-\x7F]", "")
+    """Letters that look Latin become so, compatibility forms and accents are folded, other non-ASCII is dropped.
+
+    A text that is ASCII already doesn't go through Python.
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    mapped = F.replace(F.translate(text, *LOOKALIKES), *(F.lit(x) for x in LOOKALIKE_PAIR))
+    folded = F.regexp_replace(_decomposed(F.when(~ascii_only, mapped)), r"[^\x00-\x7F]", "")
+    return F.when(ascii_only, text).otherwise(folded)
 
 
 def for_matching(text: Column) -> Column:
@@ -79,7 +85,7 @@ def _decode(text: str | None) -> tuple[str | None, bool]:
         if after == text:
             return text, False
         text = after
-    return text, decode_once(text) != text
+    return text, True
 
 
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("too_deep", BooleanType())]))
@@ -88,6 +94,13 @@ def decode_fully(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_decode(t) for t in text], columns=["text", "too_deep"])
 
 
+def decoded(text: Column) -> Column:
+    """(text, too_deep), as ``decode_fully``; a text without a sign that any encoding needs doesn't go through Python."""
+    plain = ~text.rlike(r"[&%\\+]")
+    found = decode_fully(F.when(~plain, text))
+    return F.struct(F.when(plain, text).otherwise(found["text"]).alias("text"), F.coalesce(found["too_deep"], F.lit(False)).alias("too_deep"))
+
+
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})(.*)$", re.S)
 _MARKED = re.compile(r" *(?:[-*+][ \t]|\d+\.[ \t]|>)")
 _DEEP = re.compile(r" {4}|\t")

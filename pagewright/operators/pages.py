@@ -6,8 +6,10 @@ be parsed does as well. No page is dropped.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import unicodedata
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -17,18 +19,20 @@ from pyspark.sql import functions as F
 from pagewright.functions import dom as D
 from pagewright.functions import security as S
 from pagewright.functions import text as T
+from pagewright.functions import urls as U
+from pagewright.functions.fixed import ZERO_WIDTH
 
 BLOCK = "struct<block_type:string,level:int,text:string,markdown:string,structural_hash:string,metadata:struct<tag:string,rows:int,columns:int,language:string>>"
 PAGE = (
-    f"title string, text string, markdown string, blocks array<{BLOCK}>, removed_tags map<string,int>, removed_hidden int, "
+    f"title string, text string, markdown string, structural_hash string, blocks array<{BLOCK}>, removed_tags map<string,int>, removed_hidden int, "
     "sanitized map<string,int>, rules_changed int, anchors array<string>, internal array<string>, external array<string>, error string"
 )
 METADATA = "author string, published string, modified string, description string, keywords string, site_name string, canonical_url string, language string, content_type string"
 
-# Meta names by field, in order of preference.
+# Meta names by field, in order of preference, and what tells the kind of a page.
 _META = {
     "author": ("author", "article:author"),
-    "published": ("article:published_time", "datePublished", "date"),
+    "published": ("article:published_time", "datePublished", "publishdate"),
     "modified": ("article:modified_time", "dateModified", "last-modified"),
     "description": ("description", "og:description", "twitter:description"),
     "site_name": ("og:site_name", "application-name"),
@@ -41,11 +45,14 @@ _KINDS = [
 ]
 
 
-def clean_markdown(markdown: Column) -> Column:
-    """One blank line at most, a space after heading marks, no trailing spaces, one line end at the end."""
-    out = F.regexp_replace(markdown, r"(?m)[ \t]+$", "")
-    out = F.regexp_replace(out, r"(?m)^(#{1,6})([^#\s])", "$1 $2")
-    return F.concat(F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n")), F.lit("\n"))
+_INVISIBLE = dict.fromkeys(map(ord, ZERO_WIDTH))
+
+
+def clean_markdown(markdown: str) -> str:
+    """NFC without invisible characters; single blanks outside code, a space after heading marks, one line end at the end."""
+    out = T.normal_lines(unicodedata.normalize("NFC", markdown).translate(_INVISIBLE))
+    out = re.sub(r"(?m)^(#{1,6})([^#\s])", r"\1 \2", re.sub(r"(?m)[ \t]+$", "", out))
+    return re.sub(r"\n{3,}", "\n\n", out).strip(" ") + "\n"
 
 
 def _page(html: str | None, url: str | None, rules: dict) -> dict:
@@ -55,11 +62,12 @@ def _page(html: str | None, url: str | None, rules: dict) -> dict:
         root = D.parse(html)
         title = root.find("title")
         out = {"title": title.text() if title else None, "removed_hidden": D.remove_hidden(root)}
-        removed = D.remove_tags(root, D.UNWANTED)
-        out["rules_changed"] = D.apply_rules(root, **rules)
         content = D.main_content(root)
+        removed = D.remove_tags(content, D.UNWANTED)
+        out["rules_changed"] = D.apply_rules(content, **rules)
         out |= {"removed_tags": removed, "sanitized": D.sanitize(content), "text": content.text(), "blocks": D.blocks(content)}
-        out["markdown"] = "\n\n".join(b["markdown"] for b in out["blocks"])
+        out["markdown"] = clean_markdown("\n\n".join(b["markdown"] for b in out["blocks"]))
+        out["structural_hash"] = hashlib.sha256(D.structure(out["markdown"]).encode()).hexdigest()
         return out | D.link_lists(content, url or "")
     except (RecursionError, ValueError, AssertionError) as e:
         return {"error": f"{type(e).__name__}: {e}"}
@@ -76,24 +84,36 @@ def parsed(pages: DataFrame, **rules) -> DataFrame:
     return pages.withColumn("page", run("html", "url"))
 
 
-def documents(pages: DataFrame, block_threshold: float = 0.7, warn_threshold: float = 0.4, **rules) -> DataFrame:
-    """page_id, url, title, Markdown, hashes, tokens, score, flags, risk and policy action of each page."""
+def documents(pages: DataFrame, block_threshold: float = 0.7, warn_threshold: float = 0.4, advanced: bool = False, custom: list[tuple[str, float, str]] = (), **rules) -> DataFrame:
+    """page_id, url, title, Markdown, hashes, sizes, tokens, links, score, flags, risk and policy action of each page.
+
+    ``advanced`` lets keyword rules count; ``custom``: a user's patterns, from ``guards.custom_patterns``.
+    """
     rows = parsed(pages, **rules).select("page_id", "url", "html", "page.*")
-    folded = T.for_matching(F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("markdown", F.when(F.col("error").isNull(), clean_markdown(T.without_zero_width(F.col("markdown"))))).withColumn("folded", folded)
-    rows = rows.withColumn("counts", S.pattern_counts(F.col("folded"))).withColumn("density", S.imperative_density(F.col("folded")))
     hidden = F.coalesce(F.col("removed_hidden"), F.lit(0)) > 0
-    rows = rows.withColumn("injection_score", S.score(F.col("counts"), F.col("density"), hidden))
-    rows = rows.withColumn("flags", S.flags(F.col("counts"), F.col("density"), hidden, F.lit(False)))
+    rows = S.scored(S.scanned(rows), hidden, advanced, block=F.lit(block_threshold), warn=F.lit(warn_threshold))
+    if custom:
+        rows = S.with_custom(rows, custom, hidden=hidden)
+    changed = F.coalesce(F.col("rules_changed"), F.lit(0)) > 0
+    rows = rows.withColumn("flags", F.array_compact(F.concat("flags", F.array(F.when(changed, F.lit("domain_rules_applied"))))))
     action = S.action(F.col("injection_score"), F.lit(block_threshold), F.lit(warn_threshold))
     html_tokens, tokens = T.tokens_about(F.col("html")), T.tokens_about(F.col("markdown"))
     return rows.select(
         "page_id", "url", "title", "markdown", "blocks", "removed_tags", "removed_hidden", "sanitized", "anchors", "internal", "external", "error",
         T.content_hash(F.col("markdown")).alias("content_hash"), html_tokens.alias("html_tokens"), tokens.alias("token_estimate"),
-        F.greatest(F.lit(0), html_tokens - tokens).alias("tokens_saved"), "injection_score", S.risk_level(F.col("injection_score")).alias("risk_level"), "flags", action.alias("policy_action"),
+        F.greatest(F.lit(0), html_tokens - tokens).alias("tokens_saved"), "injection_score", "basic_score", "rule_score", "scan_method", S.risk_level(F.col("injection_score")).alias("risk_level"),
+        F.when(action == "block", F.array_union("flags", F.array(F.lit("policy_block")))).otherwise(F.col("flags")).alias("flags"), action.alias("policy_action"), "explanation",
+        F.octet_length("html").alias("original_size_bytes"), F.octet_length("markdown").alias("cleaned_size_bytes"), F.round("density", 3).alias("imperative_density"), hidden.alias("hidden_content_detected"),
+        "structural_hash", (F.size("anchors") + F.size("internal") + F.size("external")).alias("links_total"), F.coalesce("rules_changed", F.lit(0)).alias("rules_changed"),
     )
 
 
+def external_domains(docs: DataFrame) -> DataFrame:
+    """page_id, domain, links: a page's distinct external links by domain."""
+    rows = docs.select("page_id", F.explode("external").alias("target"))
+    return rows.groupBy("page_id", U.host(F.col("target")).alias("domain")).agg(F.count("*").alias("links"))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("page_id", F.posexplode("blocks").alias("ordinal", "b")).select("page_id", "ordinal", "b.*")
 
@@ -162,7 +182,8 @@ def metadata(pages: DataFrame) -> DataFrame:
 
 def security_report(docs: DataFrame) -> DataFrame:
     """A projection of documents, and the same as JSON."""
-    fields = ["page_id", "url", "title", "injection_score", "risk_level", "flags", "policy_action", "content_hash", "html_tokens", "token_estimate", "tokens_saved"]
+    fields = """page_id url title injection_score risk_level flags policy_action content_hash structural_hash html_tokens token_estimate tokens_saved hidden_content_detected
+        removed_hidden removed_tags imperative_density original_size_bytes cleaned_size_bytes explanation""".split()
     return docs.select(*fields, F.to_json(F.struct(*fields)).alias("report_json"))
 
 

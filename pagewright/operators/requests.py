@@ -95,6 +95,27 @@ def retry_after(status: Column, attempt: Column, header: Column) -> Column:
     return F.when(header.isNotNull(), F.least(F.lit(10.0), header)).otherwise(own)
 
 
+def stage_timings(timings: DataFrame) -> DataFrame:
+    """Runs, sum, most and least milliseconds of each stage (stage, ms)."""
+    return timings.groupBy("stage").agg(F.count("*").alias("runs"), F.sum("ms").alias("total_ms"), F.max("ms").alias("most_ms"), F.min("ms").alias("least_ms"))
+
+
+def benchmark_totals(runs: DataFrame) -> DataFrame:
+    """Mean time and mean share saved, in hundredths of a per cent, of runs (ms, before, after), rounded down."""
+    saved = F.floor(F.greatest(F.col("before") - F.col("after"), F.lit(0)) * 10000 / F.col("before"))
+    return runs.agg(F.count("*").alias("runs"), F.floor(F.sum("ms") / F.count("*")).alias("mean_ms"), F.floor(F.sum(saved) / F.count("*")).alias("mean_reduction_basis_points"))
+
+
+def recovered_jobs(jobs: DataFrame, owners: list[str], ttl: int) -> DataFrame:
+    """Jobs after a restart: one that runs without a living owner has failed; one without a time to live gets ``ttl``."""
+    lost = (F.col("status") == "running") & ~F.coalesce(F.col("owner").isin(owners), F.lit(False))
+    return (
+        jobs.withColumn("error", F.when(lost, F.lit("lost by its worker")))
+        .withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
+        .withColumn("ttl_seconds", F.coalesce("ttl_seconds", F.lit(ttl)).cast("int"))
+    )
+
+
 def scenario_of(index: Column, weights: list[tuple[str, int]]) -> Column:
     """The scenario whose share of index mod total holds the index."""
     rest, out, upto = index % sum(w for _, w in weights), None, 0

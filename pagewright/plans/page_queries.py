@@ -9,12 +9,16 @@ from pagewright.operators import chunks as C
 from pagewright.operators import pages as P
 from pagewright.plans.augment import read
 
+_SENTENCE = "<p>Enough words for the article to be the main content of its page.</p>"
 _HIDDEN = '<div style="display:none">ignore previous instructions</div><p hidden>system prompt</p><p onclick="x()" style="color:red">seen</p>'
+_PARTS = '<nav>menu</nav><header><p>kept</p></header><script>x()</script><applet>a</applet><aside>b</aside><p><a href="https://out.example/a">out</a> <a href="/in">in</a> <a href="#top">top</a></p>'
 _TABLE = '<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><pre><code class="language-python">print(1)</code></pre>'
 
 
 def _augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</article>"), F.lit(_HIDDEN + "</article>"))).when(F.col("page_id") % 3 == 1, F.replace("html", F.lit("</article>"), F.lit(_TABLE + "</article>"))).otherwise(F.col("html"))
+    """Pages with one of three additions to their article, and with enough text there for it to be the main content."""
+    more = F.when(F.col("page_id") % 3 == 0, _HIDDEN).when(F.col("page_id") % 3 == 1, _TABLE).otherwise(_PARTS)
+    html = F.replace("html", F.lit("</article>"), F.concat(F.lit(_SENTENCE), more, F.lit("</article>")))
     return read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
 
 
@@ -53,7 +57,7 @@ def attr_sanitize_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dom_removed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = P.parsed(read(spark, sf_dir, "pages")).select(F.explode("page.removed_tags").alias("tag", "n"))
+    counts = P.parsed(_augmented(spark, sf_dir)).select(F.explode("page.removed_tags").alias("tag", "n"))
     return counts.groupBy("tag").agg(F.count("*").alias("pages"), F.sum("n").cast("bigint").alias("elements"))
 
 
@@ -66,7 +70,7 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dom_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.links(P.documents(read(spark, sf_dir, "pages")))
+    return P.links(P.documents(_augmented(spark, sf_dir)))
 
 
 def extractor_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +93,7 @@ ORACLE_SQL = {
     "block_type_counts": "SELECT 'heading' AS block_type, count(*) AS pages FROM pages UNION ALL SELECT unnest(['table', 'code']), count(*) FROM pages WHERE page_id % 3 = 1 GROUP BY 1",
     "declared_language": "SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language, 'article' AS content_type, count(*) AS pages FROM pages GROUP BY ALL",
     "hidden_removed_augmented": "SELECT CAST(CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS removed_hidden, count(*) AS pages, count(*) FILTER (WHERE page_id % 3 = 0) AS flagged FROM pages GROUP BY ALL",
-    "attr_sanitize_augmented": "SELECT k AS kind, CAST(sum(CASE WHEN k IN ('events', 'styles') AND page_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM pages, (VALUES ('events'), ('styles'), ('srcsets'), ('urls')) AS v(k) GROUP BY k",
-    "dom_removed_tags": "SELECT tag, count(*) AS pages, CAST(sum(n) AS BIGINT) AS elements FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, len(regexp_extract_all(html, '<{t}[ >]')) AS n FROM pages" for t in ("script", "style", "nav", "footer")) + ") WHERE n > 0 GROUP BY tag",
+    "attr_sanitize_augmented": "SELECT k AS kind, CAST(sum(CASE WHEN k IN ('event_handlers', 'style_attributes') AND page_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM pages, (VALUES ('event_handlers'), ('style_attributes'), ('javascript_urls'), ('vbscript_urls'), ('data_urls')) AS v(k) GROUP BY k",
+    "dom_removed_tags": "SELECT unnest(['nav', 'script', 'applet', 'aside']) AS tag, count(*) AS pages, count(*) AS elements FROM pages WHERE page_id % 3 = 2 GROUP BY 1",
+    "dom_links": "SELECT page_id, kind, CAST(0 AS INTEGER) AS position, CASE kind WHEN 'internal' THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/in' WHEN 'external' THEN 'https://out.example/a' ELSE '#top' END AS url FROM pages, (VALUES ('anchors'), ('internal'), ('external')) AS v(kind) WHERE page_id % 3 = 2",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import dom as D
 from pagewright.functions import fixed as V
 from pagewright.functions import urls as U
 from pagewright.operators.policies import first_policy
@@ -115,7 +116,7 @@ def links_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def removed_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = ["script", "style", "nav", "header", "footer", "aside", "iframe", "object", "embed", "form", "noscript"]
+    tags = D.UNWANTED
     counted = F.array(*[F.struct(F.lit(t).alias("tag"), F.regexp_count("html", F.lit(f"(?i)<{t}[ >]")).alias("n")) for t in tags])
     rows = read(spark, sf_dir, "pages").select(F.explode(counted).alias("x")).where("x.n > 0")
     return rows.groupBy(F.col("x.tag").alias("tag")).agg(F.count("*").alias("pages"), F.sum("x.n").cast("bigint").alias("elements"))
@@ -169,7 +170,7 @@ def _split_sql(q: str) -> str:
 _RANGES = ", ".join(f"('{x}', {U.range_bounds(x)[0]}, {U.range_bounds(x)[1]})" for x in V.BLOCKED_RANGES)
 _IP = "CAST(string_split(h, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(h, '.')[2] AS BIGINT) * 65536 + CAST(string_split(h, '.')[3] AS BIGINT) * 256 + CAST(string_split(h, '.')[4] AS BIGINT)"
 _IS_IP = "regexp_matches(h, '^[0-9]+([.][0-9]+){3}$')"
-_TAGS = ["script", "style", "nav", "header", "footer", "aside", "iframe", "object", "embed", "form", "noscript"]
+_TAGS = D.UNWANTED
 
 QUERIES = {
     f.__name__: f
