@@ -16,7 +16,8 @@ def pattern_counts(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
 
     Only texts that hold a literal of the pattern are searched for it.
     """
-    gates = V.PATTERN_GATES if patterns is V.INJECTION_PATTERNS else [None] * len(patterns)
+    known = V.PATTERN_GATES if list(patterns[: len(V.INJECTION_PATTERNS)]) == V.INJECTION_PATTERNS else []
+    gates = known + [None] * (len(patterns) - len(known))
 
     def count(pattern: str, gate: list[str] | None, low: Column) -> Column:
         found = F.regexp_count(text, F.lit(f"(?i){pattern}"))
@@ -110,19 +111,28 @@ def scanned(rows: DataFrame, text_col: str = "text", patterns=V.INJECTION_PATTER
     return out.drop("__decoded", "__bare", "__own")
 
 
-def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = False, patterns=V.INJECTION_PATTERNS, block: Column | float = 0.7, warn: Column | float = 0.4) -> DataFrame:
+def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = False, patterns=V.INJECTION_PATTERNS, block: Column | float = 0.7, warn: Column | float = 0.4, custom: list[tuple[str, float, str]] = ()) -> DataFrame:
     """``rows`` of ``scanned`` with basic_score, rule_score, injection_score, flags, scan_method and explanation.
 
     With ``advanced`` a keyword rule that holds counts with its confidence, and the larger score is the document's.
+    ``custom``, a user's patterns from ``guards.custom_patterns``, were counted after ``patterns``; they make a score and
+    flags of their own, of which the larger and each once count.
     """
     hidden, block, warn = F.lit(hidden), F.lit(block), F.lit(warn)
-    basic = score(F.col("counts"), F.col("density"), hidden, patterns, F.col("too_deep"))
+    counts = F.slice("counts", 1, len(patterns)) if custom else F.col("counts")
+    basic = score(counts, F.col("density"), hidden, patterns, F.col("too_deep"))
+    if custom:
+        extra = F.slice("counts", len(patterns) + 1, len(custom))
+        basic = F.greatest(basic, score(extra, F.col("density"), hidden, custom, F.col("too_deep")))
     held = F.size("rules") > 0
     confidence = F.when(held, V.RULE_CONFIDENCE).otherwise(0.0) if advanced else F.lit(None).cast("double")
     out = rows.withColumn("basic_score", basic).withColumn("rule_score", confidence)
     out = out.withColumn("injection_score", F.greatest("basic_score", F.coalesce("rule_score", F.lit(0.0))))
     out = out.withColumn("scan_method", F.lit("rules" if advanced else "basic"))
-    own = flags(F.col("counts"), F.col("density"), hidden, F.col("too_deep"))
+    own = flags(counts, F.col("density"), hidden, F.col("too_deep"))
+    if custom:
+        many = F.when(F.size(F.filter("counts", lambda n: n > 0)) > V.MANY_PATTERNS, F.array(F.lit("multiple_injection_attempts")))
+        own = F.array_distinct(F.concat(own, flags(extra, F.col("density"), hidden, F.col("too_deep")), F.coalesce(many, F.array().cast("array<string>"))))
     if advanced:
         named = F.transform("rules", lambda r: F.concat(F.lit("rule:"), r))
         kinds = F.array_compact(F.array(*[F.when(F.array_contains("rules", n), F.lit(f"category:{kind}")) for n, _, kind, _ in V.KEYWORD_RULES]))
@@ -130,7 +140,7 @@ def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = Fals
         own = F.array_distinct(F.concat(own, F.when(held, F.concat(named, kinds, F.array(F.concat(F.lit("severity:"), severity)))).otherwise(F.array().cast("array<string>"))))
     out = out.withColumn("flags", own)
     found = F.size(F.filter("counts", lambda n: n > 0)) + F.col("too_deep").cast("int")
-    names = F.array(*[F.lit(n) for _, _, n in patterns])
+    names = F.array(*[F.lit(n) for _, _, n in [*patterns, *custom]])
     triggers = F.filter(F.arrays_zip(names.alias("name"), F.col("counts").alias("occurrences")), lambda x: x["occurrences"] > 0)
     told = F.struct(
         F.col("scan_method"),
@@ -143,22 +153,6 @@ def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = Fals
     return out.withColumn("explanation", told)
 
 
-def with_custom(rows: DataFrame, custom: list[tuple[str, float, str]], text_col: str = "text", hidden: Column | bool = False) -> DataFrame:
-    """Rows of ``scored`` with a user's patterns as well: the larger score, each flag once, and custom_counts.
-
-    ``custom`` comes from ``guards.custom_patterns``.
-    """
-    hidden = F.lit(hidden)
-    own = scanned(rows.select("*").withColumnsRenamed({c: f"__{c}" for c in ("counts", "density", "too_deep", "rules")}), text_col, custom)
-    value = score(F.col("counts"), F.col("density"), hidden, custom, F.col("too_deep"))
-    more = flags(F.col("counts"), F.col("density"), hidden, F.col("too_deep"))
-    many = F.size(F.filter("__counts", lambda n: n > 0)) + F.size(F.filter("counts", lambda n: n > 0)) > V.MANY_PATTERNS
-    every = F.concat(F.col("flags"), more, F.when(many, F.array(F.lit("multiple_injection_attempts"))).otherwise(F.array().cast("array<string>")))
-    out = own.withColumn("injection_score", F.greatest("injection_score", value)).withColumn("flags", F.array_distinct(every))
-    out = out.withColumnRenamed("counts", "custom_counts").drop("density", "too_deep", "rules")
-    return out.withColumnsRenamed({f"__{c}": c for c in ("counts", "density", "too_deep", "rules")})
-
-
 def rule_score(value: Column) -> Column:
     """A rule scanner's score made safe: 0.75 if it is missing or no number, at least the confidence floor if failed."""
     return F.when(value.isNull() | F.isnan(value), 0.75).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import dom as D
+from pagewright.functions import fixed as V
 from pagewright.functions import security as S
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
@@ -91,9 +92,8 @@ def documents(pages: DataFrame, block_threshold: float = 0.7, warn_threshold: fl
     """
     rows = parsed(pages, **rules).select("page_id", "url", "html", "page.*")
     hidden = F.coalesce(F.col("removed_hidden"), F.lit(0)) > 0
-    rows = S.scored(S.scanned(rows), hidden, advanced, block=F.lit(block_threshold), warn=F.lit(warn_threshold))
-    if custom:
-        rows = S.with_custom(rows, custom, hidden=hidden)
+    scanned = S.scanned(rows, patterns=[*V.INJECTION_PATTERNS, *custom])
+    rows = S.scored(scanned, hidden, advanced, block=F.lit(block_threshold), warn=F.lit(warn_threshold), custom=list(custom))
     changed = F.coalesce(F.col("rules_changed"), F.lit(0)) > 0
     rows = rows.withColumn("flags", F.array_compact(F.concat("flags", F.array(F.when(changed, F.lit("domain_rules_applied"))))))
     action = S.action(F.col("injection_score"), F.lit(block_threshold), F.lit(warn_threshold))
