@@ -20,7 +20,7 @@ def test_document(spark):
     assert row["title"] == "T & t" and row["error"] is None and row["removed_hidden"] == 1
     assert "hidden_content" in row["flags"] and "ignore" not in row["markdown"]
     assert "# One" in row["markdown"] and "[link](/a?x=1)" in row["markdown"] and "- x\n  1. y" in row["markdown"]
-    assert "````python\na ``` b\n````" in row["markdown"] and "| h | i |\n| --- | --- |\n| 1\\|2 |  |" in row["markdown"]
+    assert "````python\na ``` b\n````" in row["markdown"] and "| h | i |\n| --- | --- |\n| 1\\|2 | |" in row["markdown"]
     assert "javascript" not in row["markdown"] and row["sanitized"]["event_handlers"] == 1 and row["sanitized"]["javascript_urls"] == 1
     assert row["removed_tags"] == {} and row["internal"] == ["https://e.com/a?x=1"]
     assert [b["block_type"] for b in row["blocks"]] == ["heading", "paragraph", "paragraph", "list", "code", "table", "paragraph"]
