@@ -11,14 +11,17 @@ occurs. For a node of m > 1 pages
 * a block's importance is the mean of its own node's content importance and its parent's presentation importance, times
   ``NAMED`` for branches that markup itself names as menus, adverts, footers and the like.
 
-Pages lose the blocks below ``THRESHOLD``. A site of fewer than ``LEAST_PAGES`` pages uses the tree of all sites merged,
-and a tree of one page has an importance of 1 throughout, so there only the markup's own names count.
+Pages lose the blocks below ``THRESHOLD``. The same figures over the tree of all sites merged count as ``PRIOR`` pages more,
+beside the m - 1 that a site's own tree compares: a site of one page has those alone, a large site its own. A node that
+no other page has, of any site, has no figures, so there only the markup's own names count.
 
 Copies of a page, on one site or on several, are one page of the trees; every copy gets its text.
 
-Pages are parsed on the executors; (site, page, node, feature) rows are made distinct and then counted, so a site with
-most pages or a page with many copies is no single task, and the trees never leave the executors but for the list of unimportant nodes of each
-site, which is broadcast if it is short and joined if not.
+Pages are parsed once, on the executors, into nodes (64-bit names of paths), features and texts, and written to the shared
+folder. (site, page, node, feature) rows are made distinct and then counted, so a site with most pages or a page with
+many copies is no single task. The unimportant nodes are joined to the nodes of each page, dealt in ``SALTS`` parts as
+most pages of a site have its menu, and go back to a page as a list of no more than its own nodes. Nothing of the trees
+goes to the driver; Spark broadcasts a side by itself where its size permits.
 
 Defined results: a null or empty html has an empty text; a url that is null or has no host belongs to a site of its own
 kind, ''; rows that repeat a page are extracted each; an empty table gives an empty result; unclosed and unmatched tags
@@ -36,15 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.base import arrow_rows, cut
+from pagewright.llm.base import arrow_rows, cut, remove
 
 THRESHOLD = 0.35
-LEAST_PAGES = 8
+#: Pages that the tree of all sites counts for, beside a site's own.
+PRIOR = 1
 #: Factor on the importance of branches that the markup names as something other than the article. Such a branch stays
 #: from an importance of 0.7 on: more than its own content alone, which rotating adverts have too, can give.
 NAMED = 0.5
-#: Nodes up to which the list of unimportant ones is broadcast.
-BROADCAST_ROWS = 50_000
+#: Parts into which the rows of one node of one site are dealt.
+SALTS = 16
 
 # Element names of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,7 +180,7 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
             named = tag == "article" and stack[-1][2]
         stack.append((tag, f"{stack[-1][1]}/{label}", named, []))
     flush()
-    while len(stack) > 1:
+    while stack:
         pop()
     return blocks, styles
 
@@ -185,86 +189,108 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def tree_rows(pages: DataFrame) -> DataFrame:
-    """host, page, node, parent (null: a style, else a text), feature: each distinct one of a page once.
+PARSED = "page_id long, url string, host string, page long, keys array<long>, parents array<long>, features array<long>, texts array<string>, styled array<long>, styles array<long>"
 
-    ``page`` is a hash of the html, the same for all copies of a page.
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, page (a hash of the html, the same for all copies), and what the page holds, as arrays.
+
+    Of each block: its key, which is the node, or ~node (negative) if the markup names the branch; its node's parent; the
+    text's hash; the text. Of each node: its name and the hash of its styles.
     """
     from xxhash import xxh64_intdigest
 
+    name = lambda x: xxh64_intdigest(x) >> 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, styles = parse(page or "")
-                key = xxh64_intdigest(page or "") - (1 << 63)
-                rows += [(host, key, node, None, xxh64_intdigest(s) - (1 << 63)) for node, own in styles.items() for s in (" | ".join(sorted(own)),)]
-                rows += [(host, key, *x) for x in {(b.node, b.parent, xxh64_intdigest(b.text) - (1 << 63)) for b in blocks}]
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["host", "page", "node", "parent", "feature"])
-
-    return pages.select("host", "html").mapInArrow(run, "host string, page long, node string, parent string, feature long")
-
-
-def unimportant(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The text nodes below the threshold, (host, node, bare), for sites of enough pages and, as host null, of all sites.
-
-    ``bare``: below the threshold even if the markup doesn't name the branch; else only with ``NAMED``. Also returns the
-    sites of enough pages, (host).
-    """
-    seen = cut(tree_rows(pages).distinct(), "trees")
-    distinct_pages = F.countDistinct(F.xxhash64(F.coalesce("html", F.lit(""))))
-    sites = cut(pages.groupBy("host").agg(distinct_pages.alias("m")).where(F.col("m") >= LEAST_PAGES).select("host"), "sites")
-    every = seen.groupBy("node", "parent", "feature").agg(F.countDistinct("page").alias("n")).withColumn("host", F.lit(None).cast("string"))
-    own = seen.groupBy("host", "node", "parent", "feature").agg(F.count("*").alias("n")).join(F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites, "host", "left_semi")
-    rows = own.unionByName(every)
+            keys, parents, features, texts, styled, styles, of_page = [], [], [], [], [], [], []
+            at, styled_at = [0], [0]
+            for html in batch.column(3).to_pylist():
+                blocks, own = parse(html or "")
+                named = {x: name(x) for x in own}
+                of_page.append(name(html or ""))
+                for b in blocks:
+                    keys.append(~named[b.node] if b.named else named[b.node])
+                    parents.append(named[b.parent])
+                    features.append(name(b.text))
+                    texts.append(b.text)
+                for node, children in own.items():
+                    styled.append(named[node])
+                    styles.append(name(" | ".join(sorted(children))))
+                at.append(len(keys))
+                styled_at.append(len(styled))
+            lists = [(keys, pa.int64(), at), (parents, pa.int64(), at), (features, pa.int64(), at), (texts, pa.string(), at), (styled, pa.int64(), styled_at), (styles, pa.int64(), styled_at)]
+            columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind)) for values, kind, offsets in lists]
+            names = [x.split()[0] for x in PARSED.split(", ")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(of_page, pa.int64()), *columns], names=names)
+
+    return pages.select("page_id", "url", "host", "html").mapInArrow(run, PARSED)
+
+
+def node_of(key: str) -> F.Column:
+    return F.when(F.col(key) < 0, F.bitwise_not(F.col(key))).otherwise(F.col(key))
+
+
+def tree_rows(parsed: DataFrame) -> DataFrame:
+    """host, page, node, parent (null: a style, else a text), feature: each distinct one of a page once."""
+    texts = parsed.select("host", "page", F.explode(F.arrays_zip("keys", "parents", "features")).alias("x")).select("host", "page", "x.*")
+    texts = texts.select("host", "page", node_of("keys").alias("node"), F.col("parents").alias("parent"), F.col("features").alias("feature"))
+    styles = parsed.select("host", "page", F.explode(F.arrays_zip("styled", "styles")).alias("x"))
+    styles = styles.select("host", "page", F.col("x.styled").alias("node"), F.lit(None).cast("long").alias("parent"), F.col("x.styles").alias("feature"))
+    return texts.unionByName(styles).distinct()
+
+
+def importance(rows: DataFrame, site: list[str]) -> DataFrame:
+    """(*site, node, m, importance) of the text nodes of each tree; rows hold in how many pages (n) a feature occurs."""
     # Every page that has a node has one row of its style, so those rows count the pages.
-    style = rows.where("parent is null").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    style = rows.where("parent is null").groupBy(*site, "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     m = F.col("m")
     style = style.withColumn("presentation", F.when(m > 1, (F.log(m) - F.col("nlogn") / m) / F.log(m)).otherwise(1.0))
-    pages_of = style.select(F.coalesce("host", F.lit("\0")).alias("h"), "node", "m")
-    looks = style.select(F.coalesce("host", F.lit("\0")).alias("h"), F.col("node").alias("parent"), "presentation")
+    looks = style.select(*site, F.col("node").alias("parent"), "presentation")
     # A block in n of m pages counts n times in the mean, as n pages hold it.
-    text = rows.where("parent is not null").groupBy("host", "node", "parent").agg(F.sum("n").alias("blocks"), F.sum(F.col("n") * F.log("n")).alias("repeats"))
-    text = text.withColumn("h", F.coalesce("host", F.lit("\0"))).join(pages_of, ["h", "node"]).join(looks, ["h", "parent"], "left")
+    text = rows.where("parent is not null").groupBy(*site, "node", "parent").agg(F.sum("n").alias("blocks"), F.sum(F.col("n") * F.log("n")).alias("repeats"))
+    text = text.join(style.select(*site, "node", "m"), [*site, "node"]).join(looks, [*site, "parent"])
     content = F.when(m > 1, 1 - F.col("repeats") / F.col("blocks") / F.log(m)).otherwise(1.0)
-    text = text.withColumn("importance", (content + F.coalesce("presentation", F.lit(1.0))) / 2)
-    # A tree of one page has no figures: the markup's names decide.
-    low = text.where((F.col("importance") * NAMED < THRESHOLD) | (m == 1))
-    return low.select("host", "node", (F.col("importance") < THRESHOLD).alias("bare")), sites
+    return text.select(*site, "node", "m", ((content + F.col("presentation")) / 2).alias("importance"))
+
+
+def unimportant(parsed: DataFrame) -> DataFrame:
+    """The text nodes below the threshold, (host, node, bare).
+
+    ``bare``: below it even if the markup doesn't name the branch; else only with ``NAMED``.
+    """
+    seen = cut(tree_rows(parsed), "trees")
+    own = importance(seen.groupBy("host", "node", "parent", "feature").agg(F.count("*").alias("n")), ["host"])
+    every = importance(seen.groupBy("node", "parent", "feature").agg(F.countDistinct("page").alias("n")), [])
+    both = own.join(every.select("node", F.col("m").alias("m_all"), F.col("importance").alias("of_all")), "node")
+    weight, prior = F.col("m") - 1, F.when(F.col("m_all") > 1, F.lit(PRIOR)).otherwise(F.lit(0))
+    # No figures: the markup's names decide.
+    known = weight + prior > 0
+    mean = F.when(known, (weight * F.col("importance") + prior * F.col("of_all")) / (weight + prior)).otherwise(1.0)
+    low = both.select("host", "node", mean.alias("mean"), known.alias("known")).where(~F.col("known") | (F.col("mean") * NAMED < THRESHOLD))
+    out = cut(low.select("host", "node", (F.col("mean") < THRESHOLD).alias("bare")), "unimportant")
+    remove(parsed.sparkSession, seen)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    spark = pages.sparkSession
-    arrow_rows(spark)
-    rows = pages.select("page_id", "url", host_of("url").alias("host"), "html")
-    low, sites = unimportant(rows)
-    low = cut(low, "unimportant")
-    by_host = low.groupBy("host").agg(F.collect_list(F.struct("node", "bare")).alias("low"))
-    general = [(r["node"], r["bare"]) for r in low.where("host is null").collect()]
-    by_host = by_host.where("host is not null")
-    known = sites.join(by_host, "host", "left")
-    if low.count() <= BROADCAST_ROWS and known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    joined = rows.join(known.withColumn("own", F.lit(True)), "host", "left")
-    sent = spark.sparkContext.broadcast(dict(general))
+    arrow_rows(pages.sparkSession)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), "html")
+    parsed = cut(parsed_pages(rows).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    low = unimportant(parsed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    has = parsed.select("row", "host", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array_distinct("keys")).alias("key")).withColumn("node", node_of("key"))
+    dropped = has.join(low, ["host", "node", "salt"]).where((F.col("key") < 0) | F.col("bare")).groupBy("row").agg(F.collect_list("key").alias("dropped"))
+    joined = parsed.select("row", "page_id", "url", "keys", "texts").join(dropped, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, own, low in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                drop = {x["node"]: x["bare"] for x in low or ()} if own else sent.value
-                kept = []
-                for block in parse(page or "")[0]:
-                    bare = drop.get(block.node)
-                    # None: important enough in the tree even if the markup names the branch.
-                    if bare or (block.named and bare is not None):
-                        continue
-                    kept.append(block.text)
-                texts.append("\n\n".join(kept))
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+            kept = []
+            for keys, texts, dropped in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                gone = set(dropped or ())
+                kept.append("\n\n".join(text for key, text in zip(keys, texts, strict=True) if key not in gone))
+            columns = [batch.column(0), batch.column(1), pa.array(kept, pa.string()), pa.array([len(x) for x in kept], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", F.coalesce("own", F.lit(False)).alias("own"), "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "keys", "texts", "dropped").mapInArrow(run, "page_id long, url string, text string, n_chars long")

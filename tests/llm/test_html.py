@@ -1,6 +1,8 @@
 """Main text by site style trees: pages made from known articles and known boilerplate."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -137,3 +139,63 @@ def test_unclosed_hidden_elements(tag, html, wanted):
 )
 def test_ends_of_hidden_elements(html, wanted):
     assert [b.text for b in H.parse(html)[0]] == wanted
+
+
+def entropy(counts, m):
+    return -sum(n / m * math.log(n / m, m) for n in counts) if m > 1 else 1.0
+
+
+def brute_trees(pages):
+    """(site, node) -> (pages, importance), in plain dicts; pages: distinct (site, html)."""
+    built, held, styles = defaultdict(set), defaultdict(Counter), defaultdict(Counter)
+    for site, html in pages:
+        blocks, own = H.parse(html)
+        for node, children in own.items():
+            built[site, node].add(html)
+            styles[site, node][" | ".join(sorted(children))] += 1
+        for node, parent, text in {(b.node, b.parent, b.text) for b in blocks}:
+            held[site, node, parent][text] += 1
+    out = {}
+    for (site, node, parent), texts in held.items():
+        m = len(built[site, node])
+        whole = sum(texts.values())
+        content = 1 - sum(n * math.log(n, m) for n in texts.values()) / whole if m > 1 else 1.0
+        out[site, node] = m, (content + entropy(styles[site, parent].values(), len(built[site, parent]))) / 2
+    return out
+
+
+def brute_text(rows):
+    own, every = brute_trees({(u, h) for _, u, h in rows}), brute_trees({("", h) for _, _, h in rows})
+    out = {}
+    for i, site, html in rows:
+        kept = []
+        for b in H.parse(html)[0]:
+            (m, value), (m_all, of_all) = own[site, b.node], every["", b.node]
+            weight, prior = m - 1, H.PRIOR * (m_all > 1)
+            if not (b.named if weight + prior == 0 else (weight * value + prior * of_all) / (weight + prior) * (H.NAMED if b.named else 1) < H.THRESHOLD):
+                kept.append(b.text)
+        out[i] = "\n\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_against_brute_force(spark, seed):
+    """Sites of one to thirty pages, of two skins and of pages of no skin, some pages copied."""
+    rng, rows = random.Random(seed), []
+    for s, size in enumerate([1, 2, 3, 5, 7, 8, 9, 30]):
+        for _ in range(size):
+            own = article(rng)
+            html = rng.choice([page(own, "ab"[s % 2])] * 4 + ["".join(f"<{t}>{x}</{t}>" for x in own for t in [rng.choice(["p", "h2", "aside", "div class=menu"])])])
+            rows += [(len(rows) + c, f"https://s{s}.example.org/", html) for c in range(rng.choice([1, 1, 1, 4]))]
+    wanted = brute_text(rows)
+    got = H.extract(spark.createDataFrame([(*r, 0) for r in rows], PAGES).repartition(5)).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == wanted
+
+
+@pytest.mark.parametrize("size", [3, 5, 7, 8, 20])
+def test_a_small_site_uses_its_own_tree(spark, size):
+    """Its boilerplate has no telling names, and repeats on no other site."""
+    rng = random.Random(size)
+    rows = [(i, f"https://b.example.org/{i}", article(rng)) for i in range(size)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u, page(x, "b"), 0) for i, u, x in rows], PAGES)).collect()}
+    assert got == {i: "\n\n".join([x[0], *x]) for i, _, x in rows}
