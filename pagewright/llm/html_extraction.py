@@ -19,9 +19,10 @@ Copies of a page, on one site or on several, are one page of the trees; every co
 
 Pages are parsed once, on the executors, into nodes (64-bit names of paths), features and texts, and written to the shared
 folder. (site, page, node, feature) rows are made distinct and then counted, so a site with most pages or a page with
-many copies is no single task. The unimportant nodes are joined to the nodes of each page, dealt in ``SALTS`` parts as
-most pages of a site have its menu, and go back to a page as a list of no more than its own nodes. Nothing of the trees
-goes to the driver; Spark broadcasts a side by itself where its size permits.
+many copies is no single task. Pages of a site that have the same nodes share a layout: the unimportant nodes are joined
+to the nodes of each layout, and the list of each layout's nodes that go is joined to the pages, broadcast up to
+``BROADCAST_KEYS`` nodes in all, and shuffled beyond. What many rows share is dealt in ``SALTS`` parts in both joins.
+Nothing of the trees goes to the driver but that count.
 
 Defined results: a null or empty html has an empty text; a url that is null or has no host belongs to a site of its own
 kind, ''; rows that repeat a page are extracted each; an empty table gives an empty result; unclosed and unmatched tags
@@ -47,8 +48,10 @@ PRIOR = 1
 #: Factor on the importance of branches that the markup names as something other than the article. Such a branch stays
 #: from an importance of 0.7 on: more than its own content alone, which rotating adverts have too, can give.
 NAMED = 0.5
-#: Parts into which the rows of one node of one site are dealt.
+#: Parts into which the rows of one node of a site, or of one layout, are dealt.
 SALTS = 16
+#: Nodes (8 bytes each) of all layouts' lists up to which these are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 # Element names of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,11 +281,19 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     arrow_rows(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), "html")
-    parsed = cut(parsed_pages(rows).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    low = unimportant(parsed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    has = parsed.select("row", "host", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array_distinct("keys")).alias("key")).withColumn("node", node_of("key"))
-    dropped = has.join(low, ["host", "node", "salt"]).where((F.col("key") < 0) | F.col("bare")).groupBy("row").agg(F.collect_list("key").alias("dropped"))
-    joined = parsed.select("row", "page_id", "url", "keys", "texts").join(dropped, "row", "left")
+    layout = F.xxhash64(F.array_sort(F.array_distinct("keys")))
+    parsed = cut(parsed_pages(rows).withColumn("layout", layout).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    low = unimportant(parsed).withColumn("salt", salts)
+    layouts = parsed.groupBy("host", "layout").agg(F.first(F.array_distinct("keys")).alias("keys"))
+    has = layouts.select("host", "layout", F.pmod("layout", F.lit(SALTS)).cast("int").alias("salt"), F.explode("keys").alias("key"))
+    gone = has.withColumn("node", node_of("key")).join(low, ["host", "node", "salt"]).where((F.col("key") < 0) | F.col("bare"))
+    dropped = cut(gone.groupBy("host", "layout").agg(F.collect_list("key").alias("dropped")), "dropped")
+    texts = parsed.select("host", "layout", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), "page_id", "url", "keys", "texts")
+    if (dropped.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= BROADCAST_KEYS:
+        joined = texts.join(F.broadcast(dropped), ["host", "layout"], "left")
+    else:
+        joined = texts.join(dropped.withColumn("salt", salts), ["host", "layout", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
