@@ -65,7 +65,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.warc import round_trip
 
-    back = round_trip(table(spark, sf_dir, "pages"), least=0)
+    back = round_trip(table(spark, sf_dir, "pages"), least=0, payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

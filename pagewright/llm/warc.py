@@ -83,14 +83,22 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def inflated(stream, size: int = 1 << 20) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, in chunks."""
-    inflater = zlib.decompressobj(31)
+    """The content of a gzip file of one or more members, in chunks of at most ``size`` bytes.
+
+    A file that ends before a member's end mark raises, at a record's edge too.
+    """
+    inflater, begun = zlib.decompressobj(31), False
     while data := stream.read(size):
+        begun = True
         while data:
-            yield inflater.decompress(data)
-            data = inflater.unused_data
             if inflater.eof:
                 inflater = zlib.decompressobj(31)
+            yield inflater.decompress(data, size)
+            data = inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+    while not inflater.eof and (rest := inflater.decompress(b"", size)):
+        yield rest
+    if begun and not inflater.eof:
+        raise ValueError("a gzip stream ends before its end mark")
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -161,10 +169,11 @@ def _number(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """page_id, url, payload (null for a revisit), payload_bytes, payload_digest, record_type, refers_to, by the index.
 
-    The digest is computed again from a response's payload; a mismatch with its header raises.
+    The digest is computed again from a response's payload; a mismatch with its header raises. Without ``payloads`` these
+    are read and digested as well, but stay in the task: the column is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +195,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 digest = named["warc-payload-digest"].removeprefix("sha1:")
                 if payload is not None and payload_digest(payload) != digest:
                     raise ValueError(f"digest of {named['warc-record-id']} differs")
-                values = (_number(named["warc-record-id"]), named.get("warc-target-uri"), payload, int(fields_of(http)["content-length"]), digest, named["warc-type"], _number(named.get("warc-refers-to")))
+                values = (_number(named["warc-record-id"]), named.get("warc-target-uri"), payload if payloads else None, int(fields_of(http)["content-length"]), digest, named["warc-type"], _number(named.get("warc-refers-to")))
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
             types = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -203,8 +212,8 @@ def read_index(archives: DataFrame, folder: str) -> DataFrame:
     return every.join(archives, "archive", "left_semi")
 
 
-def round_trip(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the pages as archives, normalise them, and read the records back by their index."""
+def round_trip(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, payloads: bool = True) -> DataFrame:
+    """Write the pages as archives, normalise them, and read the records back by their index, with or without payloads."""
     spark = pages.sparkSession
     arrow_rows(spark)
     whole, own = scratch(spark, "warc-whole"), scratch(spark, "warc")
@@ -215,4 +224,4 @@ def round_trip(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BY
     listed = cut(normalise(archives.repartition(tasks), own), "normalised")
     remove(spark, whole)
     index = read_index(listed, own)
-    return read_records(index, own)
+    return read_records(index, own, payloads)

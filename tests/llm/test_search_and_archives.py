@@ -120,3 +120,26 @@ def test_top_k_of_large_components(spark):
         wanted += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
     got = K.top_k(spark.createDataFrame(rows, VECTORS).repartition(3), F.col("vec_id") % 4 == 0, k=5, scale=256)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("lost", [1, 8, 9, 200])
+def test_a_cut_off_archive_raises(lost):
+    """Also where it ends at a record's edge, before the stream's end mark."""
+    whole = b"".join(W.record(i, None, b"x" * 50, None) for i in range(20))
+    assert b"".join(W.inflated(io.BytesIO(gzip.compress(whole) * 2), 64)) == whole * 2
+    with pytest.raises(ValueError, match="end mark"):
+        list(W.records(W.inflated(io.BytesIO(gzip.compress(whole)[:-lost]), 64)))
+
+
+def test_inflated_chunks_are_bounded():
+    whole = b"0" * 5_000_000
+    chunks = list(W.inflated(io.BytesIO(gzip.compress(whole)), 4096))
+    assert max(map(len, chunks)) <= 4096 and b"".join(chunks) == whole and list(W.inflated(io.BytesIO(b""))) == []
+
+
+def test_round_trip_without_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "a"), (3, None, None)], "page_id long, url string, html string")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    with_them, without = (W.round_trip(pages, payloads=x).collect() for x in (True, False))
+    assert sorted(map(str, (r[n] for r in with_them for n in names))) == sorted(map(str, (r[n] for r in without for n in names)))
+    assert all(r.payload is None for r in without) and {r.page_id: r.payload for r in with_them} == {1: b"a", 2: None, 3: b""}
