@@ -180,16 +180,17 @@ def pack(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY, id
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    rows = cut(pieces(docs, tokens, vocabulary, id_col, text_col), "pieces")
+    # Rows that repeat an id, or have none, are told apart by a number that is written with them.
+    rows = cut(pieces(docs, tokens, vocabulary, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, math.ceil(rows.count() / GROUP_ROWS))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(groups)).cast("int"))
     counts = cut(rows.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(plan(histogram, tokens) or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, first long, offset long")
 
     running = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "salt", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
     ranked = rows.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("own"))
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

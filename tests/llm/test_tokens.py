@@ -139,3 +139,20 @@ def test_encode_decode_columns(spark):
     rows = list(enumerate(texts()))
     back = B.decode(B.encode(docs(spark, rows))).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back)
+
+
+def test_pack_deals_rows_without_ids(spark, monkeypatch):
+    """Equal rows in several groups of ranks: every slot is taken once, and sequences have no gaps."""
+    monkeypatch.setattr(P, "GROUP_ROWS", 7)
+    got = P.pack(docs(spark, [(None, "same words")] * 60 + [(5, "other same words")] * 30).repartition(4), tokens=16).collect()
+    used = defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 90 and sum(r.doc_id is None for r in got) == 60
+    for own in used.values():
+        upto = 0
+        for offset, length in sorted(own):
+            assert offset == upto
+            upto += length
+        assert upto <= 16
+    assert len(used) == plain_best_fit([r.length for r in got], 16)
