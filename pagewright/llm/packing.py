@@ -19,8 +19,10 @@ other than id and text are not read.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -43,29 +45,87 @@ BLOCK_BYTES = 4 << 20
 _CALL = 1000
 
 
-class WordIds(dict):
-    """Places of distinct words; new ones wait in ``new`` until ``encode`` has their ids in ``flat``."""
+#: How the vocabulary's own splitting cuts words of lower-case printable ASCII, one on each line; fixed, as it must
+#: agree with it.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
+_PRINTABLE = re.compile(rb"[!-~]+")
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``first``, one after another."""
+    ends = np.cumsum(size)
+    where = np.arange(ends[-1] if len(ends) else 0)
+    where += np.repeat(first - (ends - size), size)
+    return flat[where]
 
-    def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
 
+class Numbered(dict):
+    """Numbers of distinct keys in the order in which they were met; those met lately are in ``new``."""
+
+    def __init__(self) -> None:
         super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def of(self, keys: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
+class WordIds:
+    """The ids of distinct words: those of word w are flat[first[w] : first[w] + size[w]] after ``encode``.
+
+    Words of printable ASCII are cut into pieces, and each distinct piece is encoded once: such need no normalising.
+    """
+
+    def __init__(self, vocabulary: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.of_pieces = Tokenizer(self.tokenizer.model)
+        self.of_pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.new: list[bytes] = []
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        known = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(known.values()) + 1, bool)
+        self.ends[[i for token, i in known.items() if token.endswith("</w>")]] = True
+        self.clear()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
+    def clear(self) -> None:
+        self.words, self.pieces = Numbered(), Numbered()
+        none, one = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), none, none
+        # The end of a line is the first piece and has no ids.
+        self.pieces[b"\n"] = 0
+        self.piece_flat, self.piece_first, self.piece_size = np.zeros(0, np.uint32), one, one
 
-    def encode(self) -> None:
-        """Ids of the new words. Words are joined by a special token; a word with a piece of such a token goes alone."""
-        flats, sizes = [self.flat], []
-        for i in range(0, len(self.new), _CALL):
-            some = [x.decode("utf-8") for x in self.new[i : i + _CALL]]
+    def _by_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of printable ASCII, one after another, and how many each has."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        place = self.pieces.of(_PIECE.findall(b"\n".join(words)))
+        new, self.pieces.new = self.pieces.new, []
+        flats = [np.zeros(0, np.uint32)]
+        for i in range(0, len(new), _CALL):
+            text = b" ".join(new[i : i + _CALL]).decode("ascii")
+            flats.append(np.array(self.of_pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(flats)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        start = np.append(0, stop)[: len(stop)]
+        self.piece_first = np.append(self.piece_first, len(self.piece_flat) + start)
+        self.piece_size, self.piece_flat = np.append(self.piece_size, stop - start), np.append(self.piece_flat, ids)
+        size = self.piece_size[place]
+        begins = np.append(0, np.flatnonzero(place == 0))
+        return _gathered(self.piece_flat, self.piece_first[place], size), np.add.reduceat(size, begins)
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any words. They are joined by a special token; those with a piece of such a token go alone."""
+        flats, sizes = [np.zeros(0, np.uint32)], []
+        for i in range(0, len(words), _CALL):
+            some = [x.decode("utf-8") for x in words[i : i + _CALL]]
             if any("<|" in x for x in some):
                 lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
                 flats.append(np.array([x for ids in lists for x in ids], np.uint32))
@@ -75,41 +135,46 @@ class WordIds(dict):
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             sizes += np.diff(ends, prepend=-1).__sub__(1).tolist()
             flats.append(ids[ids != self.mark_id])
-        self.flat = np.concatenate(flats)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)])
-        self.new = []
+        return np.concatenate(flats), np.array(sizes, np.int64)
+
+    def encode(self) -> None:
+        """Ids of the words met since the last call."""
+        new, self.words.new = self.words.new, []
+        plain = np.fromiter((_PRINTABLE.fullmatch(x) is not None and b"<|" not in x for x in new), bool, len(new))
+        first, size, flat = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat]
+        at = len(self.flat)
+        for chosen, ids_of in ((plain, self._by_pieces), (~plain, self._whole)):
+            ids, size[chosen] = ids_of(list(compress(new, chosen)))
+            first[chosen] = at + np.cumsum(size[chosen]) - size[chosen]
+            flat.append(ids)
+            at += len(ids)
+        self.flat, self.first, self.size = np.concatenate(flat), np.append(self.first, first), np.append(self.size, size)
 
 
-def _table(vocabulary: str) -> list[WordIds]:
-    """The worker's table, in a list so that it can be replaced."""
+def _table(vocabulary: str) -> WordIds:
+    """The worker's table."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return worker_table(f"words of {vocabulary}", lambda: [WordIds(vocabulary)])
+    return worker_table(f"words of {vocabulary}", lambda: WordIds(vocabulary))
 
 
 def token_ids(column: pa.Array, vocabulary: str = VOCABULARY) -> Iterator[np.ndarray]:
     """The ids of each text, and the end id."""
-    held = _table(vocabulary)
+    table = _table(vocabulary)
     for lo, hi, raw, at in text_blocks(column, BLOCK_BYTES):
-        if len(held[0]) > KEPT_WORDS:
-            held[0] = WordIds(vocabulary)
-        table, places = held[0], []
+        if len(table.words) > KEPT_WORDS:
+            table.clear()
+        places = []
         for r in range(hi - lo):
             # The vocabulary lower-cases; doing so for ASCII here makes fewer distinct words. The names of its special
             # tokens, which it finds in any text, count as they are written.
             own = raw[at[r] : at[r + 1]].tobytes()
-            found = own.lower().split() if b"<|" not in own else [x if b"<|" in x else x.lower() for x in own.split()]
-            places.append(np.fromiter(map(table.__getitem__, found), np.int64, len(found)))
-        if table.new:
+            places.append(table.words.of(own.lower().split() if b"<|" not in own else [x if b"<|" in x else x.lower() for x in own.split()]))
+        if table.words.new:
             table.encode()
         for place in places:
-            first = table.first[place]
-            size = table.first[place + 1] - first
-            ends = np.cumsum(size)
-            where = np.arange(ends[-1] if len(ends) else 0)
-            where += np.repeat(first - (ends - size), size)
-            yield np.append(table.flat[where], np.uint32(END_ID))
+            yield np.append(_gathered(table.flat, table.first[place], table.size[place]), np.uint32(END_ID))
 
 
 def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,6 +40,19 @@ def test_ids_equal_the_tokenizer():
         assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, P.END_ID]
 
 
+def test_ids_of_words_cut_into_pieces(monkeypatch):
+    """Contractions, digits, signs, control characters and special tokens inside words, in two blocks and a new table."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(P, "BLOCK_BYTES", 40)
+    plain = Tokenizer.from_file(public_tokenizers.path(P.VOCABULARY))
+    odd = ["it's 'STRE we'll<| a<|endoftext|>b", "x'tt''s 123abc--\x01\x7f q\x00z", "İ ſ K ς Σ ¼ é it's", "'s's'LLL \x1c a\x85b", "--", "x'tt''s 123abc-- it's", "", None]
+    for kept in (P.KEPT_WORDS, 1):
+        monkeypatch.setattr(P, "KEPT_WORDS", kept)
+        for text, ids in zip(odd, P.token_ids(pa.array(odd)), strict=True):
+            assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, P.END_ID]
+
+
 def test_pack(spark):
     rows = list(enumerate(texts())) + [(3, "again"), (None, "no id")]
     got = P.pack(docs(spark, rows).repartition(3), tokens=64).collect()
