@@ -64,21 +64,45 @@ def errors_by_url(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("not ok").groupBy("url").agg(F.transform(pairs, lambda p: p["error"]).alias("errors"))
 
 
-def host_slots(requests: DataFrame, interval: float, host: str = "host", at: str = "t") -> DataFrame:
+def host_slots(requests: DataFrame, interval: float, host: str = "host", at: str = "t", span: int = 86400) -> DataFrame:
     """When each request of a host may start, at least ``interval`` after the one before.
 
-    slot(n) = max over j <= n of t(j) + (n - j) * interval: a running maximum.
+    slot(n) = max over j <= n of t(j) + (n - j) * interval: a running maximum. Requests are numbered, and maxima taken,
+    within ``span`` seconds of a host; what lies before is a number and a maximum of each such range, so that a host
+    with very many requests is as many tasks as it has ranges. Requests without a time come first.
     """
-    own = Window.partitionBy(host).orderBy(at, "index")
-    n = F.row_number().over(own) - 1
-    rows = requests.withColumn("n", n).withColumn("base", F.col(at) - F.col("n") * interval)
-    return rows.withColumn("slot", F.max("base").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("n") * interval).drop("n", "base")
+    mine, own = [host, "__range"], Window.partitionBy(host, "__range").orderBy(at, "index")
+    earlier = Window.partitionBy(host).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    rows = requests.withColumn("__range", F.floor(F.col(at) / span)).withColumn("__n", F.row_number().over(own) - 1)
+    sizes = rows.groupBy(*mine).agg(F.count("*").alias("__size"))
+    before = sizes.select(*mine, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    rows = _by_range(rows, before, host).withColumn("__n", F.col("__before") + F.col("__n")).withColumn("__base", F.col(at) - F.col("__n") * interval)
+    tops = rows.groupBy(*mine).agg(F.max("__base").alias("__top"))
+    above = tops.select(*mine, F.max("__top").over(earlier).alias("__above"))
+    running = F.max("__base").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    out = _by_range(rows.withColumn("__base", running), above, host)
+    return out.select(*requests.columns, (F.greatest("__base", "__above") + F.col("__n") * interval).alias("slot"))
+
+
+def _by_range(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``totals`` for their key and range, of which either may be null."""
+    named = totals.withColumnsRenamed({key: "__key", "__range": "__of"})
+    return rows.join(named, F.col(key).eqNullSafe(F.col("__key")) & F.col("__range").eqNullSafe(F.col("__of"))).drop("__key", "__of")
 
 
 def in_window(calls: DataFrame, seconds: int, client: str = "client", at: str = "t") -> DataFrame:
-    """How many calls a client has made in the ``seconds`` up to each call (seconds as whole numbers)."""
-    span = Window.partitionBy(client).orderBy(at).rangeBetween(-seconds, 0)
-    return calls.withColumn("calls", F.count("*").over(span))
+    """How many calls a client has made in the ``seconds`` up to each call (seconds as whole numbers).
+
+    Calls are counted within ranges of a client's time, of a day or of ``seconds`` if that is more; those of the last
+    ``seconds`` of a range are copied to the next, so that a client with very many calls is many tasks. The copies don't
+    come out. Calls without a time count each other.
+    """
+    span = max(seconds, 86400)
+    mine = F.floor(F.col(at) / span)
+    ranges = F.array_distinct(F.array(mine, F.floor((F.col(at) + seconds) / span)))
+    copied = calls.withColumn("__range", F.explode(ranges)).withColumn("__own", F.col("__range").eqNullSafe(mine))
+    window = Window.partitionBy(client, "__range").orderBy(at).rangeBetween(-seconds, 0)
+    return copied.withColumn("calls", F.count("*").over(window)).where("__own").drop("__range", "__own")
 
 
 def retry_schedule(attempts: int, timeout: int, most: int) -> Column:

@@ -23,8 +23,14 @@ def page_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def policies(spark: SparkSession, path: str) -> DataFrame:
-    """Domain policies of a JSON file, an array or one object, of fixed columns; their order is in ``priority``."""
-    return spark.read.schema(POLICY).json(path, multiLine=True)
+    """Domain policies of a JSON file, an array or one object, of fixed columns.
+
+    ``priority`` is a policy's place in the array, or what the file says. An array is one list of a user's own policies,
+    so its file is read whole.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{POLICY}>>").alias("x"))
+    each = whole.select(F.posexplode("x").alias("place", "p")).select("place", "p.*")
+    return each.withColumn("priority", F.coalesce("priority", "place")).drop("place")
 
 
 def write_markdown(docs: DataFrame, path: str) -> None:

@@ -94,6 +94,19 @@ def breaker_stream(outcomes: DataFrame, most: int = 3, pause: float = 60.0, half
 
 
 def breaker_batch(outcomes: DataFrame, most: int = 3, pause: float = 60.0, half_life: float = 600.0) -> DataFrame:
-    """The same over a whole table: state passes from a host's request to the next, so a host is one group."""
-    rows = outcomes.select("host", "index", "t", "ok")
-    return rows.groupBy("host").applyInPandas(lambda part: _run_breaker(part, Breaker(most, pause, half_life)), BREAKER)
+    """The same over a whole table. A host's requests follow each other in one task, which holds a batch of them.
+
+    From batch to batch a task carries the few numbers of the host that it is at.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, breaker = None, Breaker(most, pause, half_life)
+        for part in parts:
+            for name, own in part.groupby("host", sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if name != host:
+                    host, breaker = name, Breaker(most, pause, half_life)
+                yield _run_breaker(own, breaker)
+
+    rows = outcomes.select("host", "index", "t", "ok").repartition("host").sortWithinPartitions("host", "t", "index")
+    return rows.mapInPandas(run, BREAKER)
