@@ -50,8 +50,12 @@ ZERO_WIDTH = (
     "\u200b\u200c\u200d\ufeff\u2060\u180e\u200e\u200f\u2061\u2062\u2063\u2064\u206a\u206b\u206c\u206d\u206e\u206f"
     "\u034f\u061c\u00ad\u2066\u2067\u2068\u2069"
 )
-# White space beyond ASCII that patterns see as a space.
-UNICODE_SPACES = r"[\s\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x{FEFF}]"
+# White space that patterns see as a space, and marks of direction that they don't see.
+SPACES = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+DIRECTION_MARKS = "\u200e\u200f"
 
 # Letters that look like Latin ones, and those.
 # Full-width and mathematical letters need none: their compatibility forms are those letters.

@@ -46,9 +46,8 @@ def pattern_matches(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
 
 def imperative_density(text: Column) -> Column:
     """Imperative verbs as a share of the words of a folded text; 0 without words."""
-    low = F.lower(text)
-    words = F.regexp_count(low, F.lit(r"\b\w+\b"))
-    verbs = F.regexp_count(low, F.lit(r"\b(" + "|".join(V.IMPERATIVE_VERBS) + r")\b"))
+    words = F.regexp_count(text, F.lit(r"\w+"))
+    verbs = F.regexp_count(F.lower(text), F.lit(r"\b(?:" + "|".join(V.IMPERATIVE_VERBS) + r")\b"))
     return F.when(words > 0, verbs / words).otherwise(F.lit(0.0))
 
 

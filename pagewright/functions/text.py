@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from pagewright.functions.fixed import LOOKALIKE_PAIR, LOOKALIKES, UNICODE_SPACES, ZERO_WIDTH
+from pagewright.functions.fixed import DIRECTION_MARKS, LOOKALIKE_PAIR, LOOKALIKES, SPACES, ZERO_WIDTH
 
 #: Rounds of decoding after which a text counts as encoded too deeply.
 DECODE_ROUNDS = 10
@@ -23,19 +23,44 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+class _Folds(dict):
+    """What each character becomes, found when it is met first: compatibility form, decomposed, without what isn't ASCII.
+
+    Composition across characters changes nothing, as it is undone and the marks are dropped.
+    """
+
+    def __missing__(self, c: str) -> str:
+        plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c))
+        self[c] = found = plain.encode("ascii", "ignore").decode("ascii")
+        return found
+
+
+_ALIKE = _Folds(zip(*LOOKALIKES, strict=True)) | dict([LOOKALIKE_PAIR])
+_FOLDS = {False: _Folds(_ALIKE), True: _Folds(_ALIKE | dict.fromkeys(SPACES, " ") | dict.fromkeys(DIRECTION_MARKS, ""))}
+_FOLDED = {False: re.compile(r"[^\x00-\x7F]"), True: re.compile(r"[^\x00-\x7F]|[\t\n\x0B\f\r]")}
+
+
+def _fold(text: str, spaces: bool) -> str:
+    folds = _FOLDS[spaces]
+    return _FOLDED[spaces].sub(lambda m: folds[m[0]], text)
+
+
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: _fold(t, False), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
-def _decomposed(text: pd.Series) -> pd.Series:
-    """Compatibility forms, decomposed; what isn't ASCII is dropped afterwards."""
-    return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t)), na_action="ignore")
+def _spaced_and_folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: _fold(t, True), na_action="ignore")
 
 
 def without_zero_width(text: Column) -> Column:
     return F.translate(text, ZERO_WIDTH, "")
 
 
-def plain_spaces(text: Column) -> Column:
-    """Directional marks go; every kind of white space is a space."""
-    return F.regexp_replace(F.translate(text, "\u200e\u200f", ""), UNICODE_SPACES, " ")
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def ascii_fold(text: Column) -> Column:
@@ -43,14 +68,12 @@ def ascii_fold(text: Column) -> Column:
 
     A text that is ASCII already doesn't go through Python.
     """
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    mapped = F.replace(F.translate(text, *LOOKALIKES), *(F.lit(x) for x in LOOKALIKE_PAIR))
-    folded = F.regexp_replace(_decomposed(F.when(~ascii_only, mapped)), r"[^\x00-\x7F]", "")
-    return F.when(ascii_only, text).otherwise(folded)
+    return F.when(_is_ascii(text), text).otherwise(_folded(F.when(~_is_ascii(text), text)))
 
 
 def for_matching(text: Column) -> Column:
-    return ascii_fold(plain_spaces(text))
+    """``ascii_fold`` after marks of direction are gone and every kind of white space is a space."""
+    return F.when(_is_ascii(text), F.regexp_replace(text, r"[\t\n\x0B\f\r]", " ")).otherwise(_spaced_and_folded(F.when(~_is_ascii(text), text)))
 
 
 def _character(code: int) -> str:
