@@ -4,6 +4,10 @@ Every window of ``width`` bytes is a suffix to that depth. Equal windows have th
 ``GRAM``-byte strings, so that hash deals windows to buckets; neighbours in a text mostly share it and travel as one
 stretch of text, about four bytes for each window. A bucket thus has all windows that can be equal, with their bytes.
 
+Most stretches have a hash that no other document has, and stay: blocks first send 32 bits of each of their different
+hashes, and get back a bit for each, whether another block has the same. Only stretches with such a hash, or one that two
+documents of their block share, send their text.
+
 A task takes one bucket at a time. It sorts the bucket's suffixes by a fingerprint of their window; those that stand alone
 are done. Positions of the others' text in a difference cover (``COVER`` modulo ``PERIOD``) are ranked once, exactly, by
 the bytes that follow. Of two suffixes that tie, some shift below ``PERIOD`` brings both to ranked positions: a few bytes
@@ -112,18 +116,18 @@ def _known_here(raw: np.ndarray, start: np.ndarray, size: np.ndarray, value: np.
     return out
 
 
-def _packed(*parts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(parts[0])], np.int64).tobytes() + b"".join(p.tobytes() for p in parts))
+def _packed(*columns: np.ndarray, text: np.ndarray = np.zeros(0, np.uint8)) -> bytes:
+    """Whole numbers, columns of one length, as differences, byte planes apart, and a text, compressed."""
+    planes = [np.diff(c.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(columns[0])], np.int64).tobytes() + b"".join(planes) + text.tobytes())
 
 
-def _unpacked(payload: bytes, *kinds) -> tuple[np.ndarray, ...]:
-    """Arrays of as many values as the payload says, then the bytes that follow them."""
-    whole = zstandard.ZstdDecompressor().decompress(payload)
-    (n,), at, out = np.frombuffer(whole, np.int64, 1), 8, []
-    for kind in kinds:
-        out.append(np.frombuffer(whole, kind, n, at))
-        at += out[-1].nbytes
-    return (*out, np.frombuffer(whole, np.uint8, offset=at))
+def _unpacked(payload: bytes, columns: int) -> tuple[np.ndarray, ...]:
+    """The columns of a payload, and its text."""
+    whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+    size = 8 * int(whole[:8].view(np.int64)[0])
+    out = [np.cumsum(np.ascontiguousarray(whole[8 + i * size : 8 + (i + 1) * size].reshape(8, -1).T).view(np.int64).ravel()) for i in range(columns)]
+    return (*out, whole[8 + columns * size :])
 
 
 BLOCK_ROW = "block string, ids array<long>, ends array<long>, n_bytes long, data binary"
@@ -173,8 +177,58 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.r_[0, np.array(row["ends"], np.int64)], np.array([x or 0 for x in ids], np.int64), np.array([x is not None for x in ids], bool)
 
 
+class _Names:
+    """The different hashes of a block's stretches, in the order in which they are sent."""
+
+    def __init__(self, value: np.ndarray, buckets: int) -> None:
+        hashes, self.of = np.unique(mix64(value), return_inverse=True)
+        bucket = ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.bucket, self.short = bucket[order], (hashes[order] >> np.uint64(32)).astype(np.uint32)
+        self.of = self.place[self.of]
+        self.edges = np.r_[np.flatnonzero(np.r_[True, np.diff(self.bucket) != 0]), len(order)] if len(order) else np.zeros(1, np.int64)
+
+
+def _sent(buckets: int, width: int):
+    """Blocks to (bucket, block, payload): 32 bits of each hash that a stretch has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                raw, at, _, known = _read(row)
+                names = _Names(_stretches(raw, at, known, width)[2], buckets)
+                cuts = list(zip(names.edges, names.edges[1:], strict=False))
+                columns = [pa.array([int(names.bucket[a]) for a, _ in cuts], pa.int64()), pa.array([row["block"]] * len(cuts), pa.string()), pa.array([names.short[a:b].tobytes() for a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "payload"])
+
+    return run
+
+
+def _seen(key: tuple, rows: pa.Table) -> pa.Table:
+    """(block, bucket, bits): of each hash that a block sent, in its order, whether a second one is equal."""
+    sent = [np.frombuffer(p, np.uint32) for p in rows["payload"].to_pylist()]
+    every = np.sort(np.concatenate(sent))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    bits = [np.packbits(np.isin(x, twice, assume_unique=False)).tobytes() for x in sent]
+    return pa.table({"block": rows["block"].cast(pa.string()), "bucket": rows["bucket"], "bits": pa.array(bits, pa.binary())})
+
+
+def _shared(names: _Names, ids: np.ndarray, replies: list[dict]) -> np.ndarray:
+    """Of each stretch, whether another block, or another document of its own, may have its hash."""
+    n = len(names.place)
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, names.of, ids)
+    np.maximum.at(high, names.of, ids)
+    bits = {r["bucket"]: np.frombuffer(r["bits"], np.uint8) for r in replies or ()}
+    parts = [np.unpackbits(bits[int(names.bucket[a])], count=b - a) for a, b in zip(names.edges, names.edges[1:], strict=False)]
+    return ((low != high) | (np.concatenate(parts) > 0 if parts else False))[names.of]
+
+
 def _dealt(buckets: int, width: int):
-    """Blocks to (bucket, block, found, payload): stretches with their text, or, if ``found``, those known already."""
+    """Blocks and replies to (bucket, block, found, payload): stretches with text, or, if ``found``, those known already."""
     names = ["bucket", "block", "found", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +238,20 @@ def _dealt(buckets: int, width: int):
                 raw, at, ids, known = _read(row)
                 start, count, value = _stretches(raw, at, known, width)
                 own = ids[np.searchsorted(at, start, side="right") - 1]
+                sent = _Names(value, buckets)
+                some = _shared(sent, own, row["seen"])
+                start, count, value, own, bucket = start[some], count[some], value[some], own[some], sent.bucket[sent.of[some]]
                 size = count + width - 1
                 here = _known_here(raw, start, size, value, own)
-                bucket = (mix64(value) % np.uint64(buckets)).astype(np.int64)
                 out = []
                 if here.any():
-                    out.append((int(bucket[0]), True, _packed(start[here].astype(np.uint32), count[here].astype(np.uint32))))
+                    out.append((int(bucket[0]), True, _packed(start[here], count[here])))
                 kept = np.flatnonzero(~here)
                 kept = kept[np.argsort(bucket[kept], kind="stable")]
                 ends = np.cumsum(size[kept])
                 lo = 0
                 while lo < len(kept):
-                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4 * BLOCK_BYTES, side="right")))
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_BYTES, side="right")))
                     some = kept[lo:hi]
                     length = size[some]
                     to = np.cumsum(length)
@@ -203,8 +259,7 @@ def _dealt(buckets: int, width: int):
                     edges = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[some]) != 0]), len(some)]
                     for a, b in zip(edges, edges[1:], strict=False):
                         part = some[a:b]
-                        text = data[to[a] - length[a] : to[b - 1]]
-                        out.append((int(bucket[part[0]]), False, _packed(start[part].astype(np.uint32), count[part].astype(np.uint32), own[part], text)))
+                        out.append((int(bucket[part[0]]), False, _packed(start[part], count[part], own[part], text=data[to[a] - length[a] : to[b - 1]])))
                     lo = hi
                 for j in range(0, len(out), 64):
                     b, f, p = zip(*out[j : j + 64], strict=True)
@@ -298,8 +353,8 @@ def _settled(width: int):
             if found:
                 replies.append((block, payload))
                 continue
-            start, count, own, text = _unpacked(payload, np.uint32, np.uint32, np.int64)
-            for held, x in ((starts, start), (counts, count.astype(np.int64)), (ids, own), (texts, text), (of_row, np.full(len(start), len(blocks)))):
+            start, count, own, text = _unpacked(payload, 3)
+            for held, x in ((starts, start), (counts, count), (ids, own), (texts, text), (of_row, np.full(len(start), len(blocks)))):
                 held.append(x)
             blocks.append(block)
         if blocks:
@@ -316,7 +371,7 @@ def _settled(width: int):
             for i, block in enumerate(blocks):
                 s = slice(edges[i], edges[i + 1])
                 if edges[i] < edges[i + 1]:
-                    replies.append((block, _packed(where[s].astype(np.uint32), (end - begin)[s].astype(np.uint32))))
+                    replies.append((block, _packed(where[s], (end - begin)[s])))
         return pa.table({"block": pa.array([b for b, _ in replies], pa.string()), "payload": pa.array([p for _, p in replies], pa.binary())})
 
     return run
@@ -334,9 +389,9 @@ def _applied(width: int):
                 raw, at, _, _ = _read(row)
                 change = np.zeros(len(raw) + 1, np.int32)
                 for payload in row["replies"] or ():
-                    start, count, _ = _unpacked(payload, np.uint32, np.uint32)
-                    np.add.at(change, start.astype(np.int64), 1)
-                    np.subtract.at(change, start.astype(np.int64) + count + width - 1, 1)
+                    start, count, _ = _unpacked(payload, 2)
+                    np.add.at(change, start, 1)
+                    np.subtract.at(change, start + count + width - 1, 1)
                 gone = np.cumsum(change[:-1]) > 0
                 edge = np.zeros(len(raw) + 1, bool)
                 edge[at] = True
@@ -370,9 +425,14 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     total = blocks.agg(F.sum("n_bytes")).head()[0] or 0
     # A stretch has about half as many windows as a window has grams, and width - 1 bytes more.
     buckets = max(1, round(total * (1 + 2 * width / (width - GRAM)) / BUCKET_BYTES))
-    dealt = blocks.mapInArrow(_dealt(buckets, width), "bucket long, block string, found boolean, payload binary")
-    dealt = dealt.repartition(max(1, buckets // 4), "bucket")
+    spread = max(1, buckets // 4)
+    sent = blocks.mapInArrow(_sent(buckets, width), "bucket long, block string, payload binary").repartition(spread, "bucket")
+    seen = cut(sent.groupBy("bucket").applyInArrow(_seen, "block string, bucket long, bits binary"), "seen")
+    lists = seen.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("seen"))
+    dealt = blocks.join(lists, "block", "left").select("block", "ids", "ends", "data", "seen")
+    dealt = dealt.mapInArrow(_dealt(buckets, width), "bucket long, block string, found boolean, payload binary").repartition(spread, "bucket")
     replies = cut(dealt.groupBy("bucket").applyInArrow(_settled(width), "block string, payload binary"), "replies")
+    remove(spark, seen)
     lists = replies.groupBy("block").agg(F.collect_list("payload").alias("replies"))
     joined = blocks.join(lists, "block", "left").select("block", "ids", "ends", "data", "replies")
     return joined.mapInArrow(_applied(width), RESULT)
