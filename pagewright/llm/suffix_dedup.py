@@ -210,9 +210,13 @@ def _sent(buckets: int, width: int):
 def _seen(key: tuple, rows: pa.Table) -> pa.Table:
     """(block, bucket, bits): of each hash that a block sent, in its order, whether a second one is equal."""
     sent = [np.frombuffer(p, np.uint32) for p in rows["payload"].to_pylist()]
-    every = np.sort(np.concatenate(sent))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    bits = [np.packbits(np.isin(x, twice, assume_unique=False)).tobytes() for x in sent]
+    every = np.concatenate(sent)
+    ordered = np.sort(every)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    found = np.zeros(len(every), bool)
+    if len(twice):
+        found = twice[np.minimum(np.searchsorted(twice, every), len(twice) - 1)] == every
+    bits = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum([len(x) for x in sent])[:-1])]
     return pa.table({"block": rows["block"].cast(pa.string()), "bucket": rows["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
