@@ -12,10 +12,12 @@ from pagewright.functions import security as S
 from pagewright.functions import urls as U
 from pagewright.functions.fixed import POLICY_PRESETS
 from pagewright.functions.guards import config_of, custom_patterns, unknown_keys
+from pagewright.functions.resolution import held
 from pagewright.operators import chunks as C
 from pagewright.operators import pages as P
 from pagewright.operators.policies import first_policy
 from pagewright.operators.requests import batch_summary
+from pagewright.sources.tables import POLICY
 
 
 @dataclass(frozen=True)
@@ -72,30 +74,41 @@ def ingest(pages: DataFrame, config: Config = Config()) -> DataFrame:
     )
 
 
-def ingest_by_domain(pages: DataFrame, policies: list[dict], config: Config = Config()) -> DataFrame:
-    """Documents under the first policy, in list order, that matches a page's host, with ``domain`` and ``notes``.
+def ingest_by_domain(pages: DataFrame, policies: DataFrame | list[dict], config: Config = Config()) -> DataFrame:
+    """Documents under the first policy that matches a page's host, with ``domain`` and ``notes``, in one pass over pages.
 
-    A policy: domain, include_subdomains, and what of policy_name, strict, block_threshold, warn_threshold,
-    blocked_selectors, unwrap_selectors, blocked_tags, allowed_tags and notes it sets. Pages are parsed once for each
-    policy that they fall under, in one pass each over those pages.
+    ``policies``: a table of ``sources.tables.POLICY``, or dicts with such keys, whose order is their priority. What a
+    policy doesn't set, and pages without a policy, follow ``config``; so does a policy whose preset isn't known in a
+    table (in a list it raises). A policy is data: its rules and thresholds come to the page by the join with its host.
     """
     spark = pages.sparkSession
-    table = spark.createDataFrame([(i, p["domain"], bool(p.get("include_subdomains"))) for i, p in enumerate(policies)], "priority int, domain string, include_subdomains boolean")
-    own = first_policy(pages.select("page_id", "url", "html", U.host(F.col("url")).alias("host")), table)
-    names = [f.name for f in fields(Config)]
-    out = None
-    for i, p in [(None, {}), *enumerate(policies)]:
-        some = own.where(F.col("priority").isNull() if i is None else F.col("priority") == i)
-        settings = {("policy" if k == "policy_name" else k): v for k, v in p.items()}
-        mine = replace(config, **{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items() if k in names})
-        block, warn = mine.limits()
-        limits = some.sparkSession.range(1).select(S.thresholds(F.lit(float(p.get("block_threshold") or block)), F.lit(float(p.get("warn_threshold") or warn)), F.lit(mine.strict)).alias("x")).first()["x"]
-        docs = P.documents(
-            some, limits["block"], limits["warn"], mine.advanced_security, custom_patterns(list(mine.custom_patterns)), blocked_selectors=mine.blocked_selectors,
-            unwrap_selectors=mine.unwrap_selectors, blocked_tags=mine.blocked_tags, allowed_tags=mine.allowed_tags,
-        ).withColumn("domain", F.lit(p.get("domain")).cast("string")).withColumn("notes", F.lit(p.get("notes")).cast("string"))
-        out = docs if out is None else out.unionByName(docs)
-    return out
+    if isinstance(policies, list):
+        fields_of = [f.strip().partition(" ")[0] for f in POLICY.split(", ")]
+        for p in policies:
+            unknown = unknown_keys(p, set(fields_of))
+            if unknown:
+                raise ValueError(f"unknown settings of a policy: {', '.join(unknown)}")
+            if p.get("policy_name"):
+                replace(config, policy=p["policy_name"]).limits()
+        rows = [{"priority": i, "include_subdomains": False, **p} for i, p in enumerate(policies)]
+        policies = spark.createDataFrame([tuple(float(v) if isinstance(v, int) and not isinstance(v, bool) and f != "priority" else v for f, v in ((f, r.get(f)) for f in fields_of)) for r in rows], POLICY)
+    absent = [f for f in POLICY.split(", ") if f.strip().partition(" ")[0] not in policies.columns]
+    policies = policies.withColumns({f.strip().partition(" ")[0]: F.lit(None).cast(f.strip().partition(" ")[2]) for f in absent}) if absent else policies
+    own = first_policy(pages.select("page_id", "url", "html", U.host(F.col("url")).alias("host")), policies)
+
+    def preset(which: int) -> F.Column:
+        found = F.create_map(*(F.lit(x) for row in POLICY_PRESETS for x in (row[0], float(row[which]))))
+        named = F.when(F.col("policy_name") == "moderate", "normal").otherwise(F.col("policy_name"))
+        return F.coalesce(F.try_element_at(found, named), F.lit(replace(config, strict=False).limits()[which - 1]))
+
+    strict = F.coalesce("strict", F.lit(config.strict))
+    limits = S.thresholds(F.coalesce("block_threshold", preset(1)), F.coalesce("warn_threshold", preset(2)), strict)
+    own = held(own, "__limits", limits)
+    given = {name: F.array(*map(F.lit, getattr(config, name))).cast("array<string>") for name in ("blocked_selectors", "unwrap_selectors", "blocked_tags", "allowed_tags")}
+    rules = F.struct(*(F.coalesce(F.col(name), value).alias(name) for name, value in given.items()))
+    custom = custom_patterns(list(config.custom_patterns))
+    docs = P.documents(own, F.col("__limits.block"), F.col("__limits.warn"), config.advanced_security, custom, rules, keep=("domain", "notes"))
+    return docs.select(*(c for c in docs.columns if c not in ("domain", "notes")), "domain", "notes")
 
 
 def serialised(docs: DataFrame, config: Config = Config(), content: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from re import _parser
 from urllib.parse import unquote
 
 from pagewright.functions import fixed as V
@@ -14,29 +15,87 @@ PATTERN_LENGTH = 10_000
 #: A rule file is refused beyond this size.
 RULES_BYTES = 10 << 20
 
-_QUANTIFIED = r"\s*(?:[*+]|\{\d+,?\d*\})"
-_BACKTRACKS = [
-    re.compile(x)
-    for x in (
-        r"\((?:[^()\\]|\\.)*[*+](?:[^()\\]|\\.)*\)" + _QUANTIFIED,  # a quantified group that holds a quantifier
-        r"\(\s*\([^)]*[*+][^)]*\)\s*[*+]",
-        r"\.[*+]\s*\.[*+]",
-        r"\.[*+]\{\d+,?\d*\}",
-        r"\([^)]*\?\)" + _QUANTIFIED,
-    )
-]
-_ALTERNATIVES = re.compile(r"\(([^()]*)\)" + _QUANTIFIED)
+#: Repeats of more than so many times count as unbounded ones.
+MANY_TIMES = 20
+
+
+def _children(op: object, arg: object) -> list[list]:
+    """The sequences that an item of a parsed expression holds."""
+    name = str(op)
+    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        return [list(arg[2])]
+    if name == "SUBPATTERN":
+        return [list(arg[3])]
+    if name == "BRANCH":
+        return [list(x) for x in arg[1]]
+    if name in ("ASSERT", "ASSERT_NOT"):
+        return [list(arg[1])]
+    return [list(arg)] if name == "ATOMIC_GROUP" else [list(x) for x in arg[1:] if x] if name == "GROUPREF_EXISTS" else []
+
+
+def _least(sequence: list) -> int:
+    """Characters that a parsed sequence takes at least."""
+    total = 0
+    for op, arg in sequence:
+        parts = [_least(x) for x in _children(op, arg)]
+        if str(op).endswith("_REPEAT"):
+            total += arg[0] * parts[0]
+        elif not str(op).startswith("ASSERT"):
+            total += min(parts) if parts else int(str(op) != "AT")
+    return total
+
+
+def _first(sequence: list) -> set[str] | None:
+    """What a parsed sequence can begin with, as texts of its items; None if that is anything."""
+    out: set[str] = set()
+    for op, arg in sequence:
+        if str(op) == "AT" or str(op).startswith("ASSERT"):
+            continue
+        if str(op) in ("ANY", "GROUPREF", "GROUPREF_EXISTS", "NOT_LITERAL"):
+            return None
+        inner = _children(op, arg)
+        if inner:
+            for part in inner:
+                found = _first(part)
+                if found is None:
+                    return None
+                out |= found
+        else:
+            items = arg if str(op) == "IN" else [(op, arg)]
+            if any(str(o) in ("NEGATE", "CATEGORY", "RANGE") for o, _ in items):
+                return None
+            out |= {f"{o}:{x}" for o, x in items}
+        if _least([(op, arg)]) > 0:
+            break
+    return out
+
+
+def _wide(op: object, arg: object) -> bool:
+    return str(op) in ("MAX_REPEAT", "MIN_REPEAT") and (arg[1] > MANY_TIMES)
 
 
 def may_backtrack(pattern: str) -> bool:
-    """Whether a regular expression has a form that can take time exponential in the text."""
-    if any(x.search(pattern) for x in _BACKTRACKS):
-        return True
-    for body in _ALTERNATIVES.findall(pattern):
-        parts = sorted(x.strip() for x in body.split("|") if x.strip())
-        # Of sorted parts, one that begins another stands right before some part that it begins.
-        if any(b.startswith(a) for a, b in zip(parts, parts[1:], strict=False)):
-            return True
+    """Whether a regular expression can take time exponential, or of a high power, in the text.
+
+    Its parsed form is walked: a repeat without bound that holds another one, or something that may be empty, or
+    alternatives that can begin alike; and two such repeats of anything, one after the other.
+    """
+    waiting = [(list(_parser.parse(pattern)), False)]
+    while waiting:
+        sequence, repeated = waiting.pop()
+        for (op, arg), (after, more) in zip(sequence, [*sequence[1:], (None, None)], strict=False):
+            if _wide(op, arg) and after is not None and _wide(after, more) and _first(list(arg[2])) is None and _first(list(more[2])) is None and str(list(arg[2])) == str(list(more[2])):
+                return True
+            if repeated and str(op) in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] > 1:
+                return True
+            if repeated and str(op) == "BRANCH":
+                firsts = [_first(x) for x in _children(op, arg)]
+                if any(x is None for x in firsts) or any(_least(x) == 0 for x in _children(op, arg)) or sum(map(len, firsts)) > len(set().union(*firsts)):
+                    return True
+            again = (_wide(op, arg) or str(op) in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 1) and str(op) != "POSSESSIVE_REPEAT"
+            if again and _least(list(arg[2])) == 0:
+                return True
+            waiting += [(x, repeated or again) for x in _children(op, arg)]
     return False
 
 

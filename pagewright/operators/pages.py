@@ -10,7 +10,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import dom as D
 from pagewright.functions import fixed as V
+from pagewright.functions import resolution as R
 from pagewright.functions import security as S
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
@@ -26,9 +26,12 @@ from pagewright.functions.fixed import ZERO_WIDTH
 BLOCK = "struct<block_type:string,level:int,text:string,markdown:string,structural_hash:string,metadata:struct<tag:string,rows:int,columns:int,language:string>>"
 PAGE = (
     f"title string, text string, markdown string, structural_hash string, blocks array<{BLOCK}>, removed_tags map<string,int>, removed_hidden int, "
-    "sanitized map<string,int>, rules_changed int, anchors array<string>, internal array<string>, external array<string>, error string"
+    "sanitized map<string,int>, rules_changed int, hrefs array<string>, base_href string, error string"
 )
-METADATA = "author string, published string, modified string, description string, keywords string, site_name string, canonical_url string, language string, content_type string"
+METADATA = (
+    "author string, published string, modified string, description string, keywords string, site_name string, canonical array<string>, base_href string, language string, content_type string, error string"
+)
+RULES = "blocked_selectors array<string>, unwrap_selectors array<string>, blocked_tags array<string>, allowed_tags array<string>"
 
 # Meta names by field, in order of preference, and what tells the kind of a page.
 _META = {
@@ -56,50 +59,79 @@ def clean_markdown(markdown: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", out).strip(" ") + "\n"
 
 
-def _page(html: str | None, url: str | None, rules: dict) -> dict:
+def _page(html: str | None, rules: dict) -> dict:
     if not (html or "").strip():
         return {"error": "empty html"}
     try:
         root = D.parse(html)
         title = root.find("title")
-        out = {"title": title.text() if title else None, "removed_hidden": D.remove_hidden(root)}
+        out = {"title": title.text() if title else None, "base_href": D.base_href(root), "removed_hidden": D.remove_hidden(root)}
         content = D.main_content(root)
         removed = D.remove_tags(content, D.UNWANTED)
         out["rules_changed"] = D.apply_rules(content, **rules)
-        out |= {"removed_tags": removed, "sanitized": D.sanitize(content), "text": content.text(), "blocks": D.blocks(content)}
-        out["markdown"] = clean_markdown("\n\n".join(b["markdown"] for b in out["blocks"]))
+        out |= {"removed_tags": removed, "sanitized": D.sanitize(content), "text": content.text()}
+        parts = D.content(content)
+        out["blocks"] = [x for x in parts if isinstance(x, dict)]
+        out["markdown"] = clean_markdown("\n\n".join(x if isinstance(x, str) else x["markdown"] for x in parts))
         out["structural_hash"] = hashlib.sha256(D.structure(out["markdown"]).encode()).hexdigest()
-        return out | D.link_lists(content, url or "")
+        return out | {"hrefs": D.hrefs(content)}
     except (RecursionError, ValueError, AssertionError) as e:
         return {"error": f"{type(e).__name__}: {e}"}
 
 
-def parsed(pages: DataFrame, **rules) -> DataFrame:
-    """The input with a column ``page``; ``rules``: blocked_selectors, unwrap_selectors, blocked_tags, allowed_tags."""
-    names = [f.split(" ")[0] for f in PAGE.split(", ")]
+def _rules(given: dict) -> dict:
+    """A page's rules as lists; a null struct or field has none."""
+    held = {f.split(" ")[0]: given.get(f.split(" ")[0]) for f in RULES.split(", ")}
+    return {k: [] if x is None or isinstance(x, float) else [y for y in x if y] for k, x in held.items()}
 
-    @F.pandas_udf(PAGE)
-    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_page(h, u, rules) for h, u in zip(html, url, strict=True)], columns=names, index=html.index).astype(object).where(lambda x: x.notna(), None)
 
-    return pages.withColumn("page", run("html", "url"))
+def parsed(pages: DataFrame, rules: Column | None = None, **same) -> DataFrame:
+    """The input with a column ``page``: one parse of each page.
 
+    ``rules``: a struct column of ``RULES``, each page's own (null: none); or blocked_selectors, unwrap_selectors,
+    blocked_tags and allowed_tags as values for all pages.
+    """
+    names = [f.split(" ")[0] for f in PAGE.split(", ")]
+    if rules is None:
+        rules = F.struct(*((F.array(*map(F.lit, same.get(f.split(" ")[0], ()))).cast("array<string>")).alias(f.split(" ")[0]) for f in RULES.split(", ")))
 
-def documents(pages: DataFrame, block_threshold: float = 0.7, warn_threshold: float = 0.4, advanced: bool = False, custom: list[tuple[str, float, str]] = (), **rules) -> DataFrame:
+    @F.pandas_udf(PAGE)
+    def run(html: pd.Series, rules: pd.DataFrame) -> pd.DataFrame:
+        own = rules.to_dict("records")
+        return pd.DataFrame([_page(h, _rules(r)) for h, r in zip(html, own, strict=True)], columns=names, index=html.index).astype(object).where(lambda x: x.notna(), None)
+
+    out = pages.withColumn("page", run("html", rules))
+    url = F.coalesce("url", F.lit(""))
+    out = R.held(out, "__base", R.effective_base(url, F.col("page.base_href")))
+    out = R.held(out, "__links", R.link_lists(F.col("page.hrefs"), F.col("__base"), url))
+    page = F.col("page")
+    for name in ("anchors", "internal", "external"):
+        page = page.withField(name, F.col(f"__links.{name}"))
+    return out.withColumn("page", page.dropFields("hrefs", "base_href")).drop("__base", "__links")
+
+
+def documents(
+    pages: DataFrame, block_threshold: Column | float = 0.7, warn_threshold: Column | float = 0.4, advanced: bool = False, custom: list[tuple[str, float, str]] = (), rules: Column | None = None, keep: tuple[str, ...] = (), **same
+) -> DataFrame:
     """page_id, url, title, Markdown, hashes, sizes, tokens, links, score, flags, risk and policy action of each page.
 
-    ``advanced`` lets keyword rules count; ``custom``: a user's patterns, from ``guards.custom_patterns``.
+    Thresholds may be columns, each page's own; ``rules`` and the names in ``same`` are those of ``parsed``; ``keep``:
+    further columns of ``pages`` that the result has. ``advanced`` lets keyword rules count; ``custom``: a user's
+    patterns, from ``guards.custom_patterns``.
     """
-    rows = parsed(pages, **rules).select("page_id", "url", "html", "page.*")
+    limits = {"__block": block_threshold, "__warn": warn_threshold}
+    given = pages.withColumns({k: x if isinstance(x, Column) else F.lit(float(x)) for k, x in limits.items()})
+    block, warn = F.col("__block"), F.col("__warn")
+    rows = parsed(given, rules, **same).select("page_id", "url", "html", *keep, *limits, "page.*")
     hidden = F.coalesce(F.col("removed_hidden"), F.lit(0)) > 0
     scanned = S.scanned(rows, patterns=[*V.INJECTION_PATTERNS, *custom])
-    rows = S.scored(scanned, hidden, advanced, block=F.lit(block_threshold), warn=F.lit(warn_threshold), custom=list(custom))
+    rows = S.scored(scanned, hidden, advanced, block=block, warn=warn, custom=list(custom))
     changed = F.coalesce(F.col("rules_changed"), F.lit(0)) > 0
     rows = rows.withColumn("flags", F.array_compact(F.concat("flags", F.array(F.when(changed, F.lit("domain_rules_applied"))))))
-    action = S.action(F.col("injection_score"), F.lit(block_threshold), F.lit(warn_threshold))
+    action = S.action(F.col("injection_score"), block, warn)
     html_tokens, tokens = T.tokens_about(F.col("html")), T.tokens_about(F.col("markdown"))
     return rows.select(
-        "page_id", "url", "title", "markdown", "blocks", "removed_tags", "removed_hidden", "sanitized", "anchors", "internal", "external", "error",
+        *keep, "page_id", "url", "title", "markdown", "blocks", "removed_tags", "removed_hidden", "sanitized", "anchors", "internal", "external", "error",
         T.content_hash(F.col("markdown")).alias("content_hash"), html_tokens.alias("html_tokens"), tokens.alias("token_estimate"),
         F.greatest(F.lit(0), html_tokens - tokens).alias("tokens_saved"), "injection_score", "basic_score", "rule_score", "scan_method", S.risk_level(F.col("injection_score")).alias("risk_level"),
         F.when(action == "block", F.array_union("flags", F.array(F.lit("policy_block")))).otherwise(F.col("flags")).alias("flags"), action.alias("policy_action"), "explanation",
@@ -124,13 +156,13 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def _json_ld(root: D.Node) -> list[dict]:
-    """Objects of a page's linked data, to a bounded number."""
+    """Objects of a page's linked data, to a bounded number; a script that isn't JSON, or is nested too deep, has none."""
     out: list[dict] = []
     for node in root.nodes():
         if node.tag == "script" and node.attrs.get("type") == "application/ld+json":
             try:
                 waiting = [json.loads("".join(c for c in node.children if isinstance(c, str)))]
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             while waiting and len(out) < 10_000:
                 item = waiting.pop()
@@ -142,42 +174,67 @@ def _json_ld(root: D.Node) -> list[dict]:
     return out
 
 
-def _metadata(html: str | None, url: str | None) -> dict:
-    root = D.parse(html or "")
+def _said(value: object) -> str | None:
+    """Text of what linked data has for a field: a text, a number, an object's name, or the first of a list that has one."""
+    waiting = [value]
+    while waiting:
+        item = waiting.pop()
+        if isinstance(item, list):
+            waiting += reversed(item)
+        elif isinstance(item, dict):
+            waiting.append(item.get("name"))
+        elif isinstance(item, (str, int, float)) and not isinstance(item, bool) and str(item).strip():
+            return str(item).strip()
+    return None
+
+
+def _metadata(html: str | None) -> dict:
+    try:
+        return _declared(D.parse(html or ""))
+    except (RecursionError, ValueError, AssertionError) as e:
+        return {"error": f"{type(e).__name__}: {e}"}
+
+
+def _declared(root: D.Node) -> dict:
+    nodes = list(root.nodes())
     meta: dict[str, list[str]] = {}
-    for node in root.nodes():
-        if node.tag == "meta" and (name := node.attrs.get("name") or node.attrs.get("property")) and node.attrs.get("content", "").strip():
+    for node in nodes:
+        name = node.attrs.get("name") or node.attrs.get("property") or node.attrs.get("http-equiv")
+        if node.tag == "meta" and name and node.attrs.get("content", "").strip():
             meta.setdefault(name, []).append(node.attrs["content"].strip())
     out = {field: next((meta[n][0] for n in names if n in meta), None) for field, names in _META.items()}
     linked = _json_ld(root)
     for field, key in (("author", "author"), ("published", "datePublished"), ("modified", "dateModified")):
-        value = out[field] or next((x[key] for x in linked if x.get(key)), None)
-        while isinstance(value, list):
-            value = value[0] if value else None
-        out[field] = value.get("name") if isinstance(value, dict) else value
+        out[field] = out[field] or next((text for x in linked if (text := _said(x.get(key)))), None)
     out["keywords"] = next(iter(meta.get("keywords", [])), None) or ", ".join(meta.get("article:tag", [])) or None
-    base = next((n.attrs.get("href", "") for n in root.nodes() if n.tag == "base"), "") or url or ""
-    canonical = next((n.attrs.get("href", "").strip() for n in root.nodes() if n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split()), "") or next(iter(meta.get("og:url", [])), "")
-    resolved = urljoin(base, canonical) if canonical else ""
-    out["canonical_url"] = resolved if re.match("https?://", resolved) else url
+    out["base_href"] = D.base_href(root)
+    out["canonical"] = [n.attrs["href"] for n in nodes if n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href", "").strip()]
+    out["canonical"] += meta.get("og:url", [])
     html_node = root.find("html")
     declared = (html_node.attrs.get("lang", "") if html_node else "") or next(iter(meta.get("content-language", [])), "")
     out["language"] = declared.lower().split(",")[0].split("-")[0].strip() or None
-    nodes = list(root.nodes())
     is_article = "article" in meta.get("og:type", [])
     out["content_type"] = "article" if is_article else next((k for k, selectors in _KINDS if any(D.matches(n, s) for s in selectors.split() for n in nodes)), "webpage")
     return out
 
 
 def metadata(pages: DataFrame) -> DataFrame:
-    """page_id and the metadata that a page declares: meta elements, linked data, canonical address, language, kind."""
+    """page_id and the metadata that a page declares: meta elements, linked data, canonical address, language, kind.
+
+    The canonical address is the first that a link or og:url gives which resolves to a web address, or else the page's
+    own. A page that can't be read has a row with ``error``, null otherwise, and its own address.
+    """
     names = [f.split(" ")[0] for f in METADATA.split(", ")]
 
     @F.pandas_udf(METADATA)
-    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_metadata(h, u) for h, u in zip(html, url, strict=True)], columns=names, index=html.index)
-
-    return pages.select("page_id", run("html", "url").alias("m")).select("page_id", "m.*")
+    def run(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_metadata(h) for h in html], columns=names, index=html.index).astype(object).where(lambda x: x.notna(), None)
+
+    rows = pages.select("page_id", "url", run("html").alias("m")).select("page_id", "url", "m.*")
+    base = R.parts(R.effective_base(F.coalesce("url", F.lit("")), F.col("base_href")))
+    urls = R.let(base, lambda b: F.transform("canonical", lambda x: R.resolved(b, x)))
+    found = F.coalesce(F.get(F.filter(urls, R.is_web), F.lit(0)), F.col("url"))
+    return rows.select("page_id", *(found.alias("canonical_url") if n == "canonical" else F.col(n) for n in names if n != "base_href"))
 
 
 def security_report(docs: DataFrame) -> DataFrame:

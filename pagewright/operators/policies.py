@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Policies up to which their table is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 100_000
-
 
 def suffixes(host: F.Column) -> F.Column:
     """a.b.c gives a.b.c, b.c and c."""
@@ -19,10 +16,9 @@ def first_policy(pages: DataFrame, policies: DataFrame) -> DataFrame:
     """Every page (page_id, host) with its policy's columns, null if none matches; list order (priority) decides.
 
     A suffix match is an equi-join on the host's suffixes, so no page meets a policy that doesn't match. Pages that share
-    a host share the result, so hosts are joined, not pages.
+    a host share the result, so hosts are joined, not pages. Spark broadcasts the policies if their size in bytes allows.
     """
     hosts = pages.where("host is not null").select("host").distinct().select("host", F.posexplode(suffixes(F.col("host"))).alias("depth", "domain"))
-    small = F.broadcast(policies) if policies.count() <= BROADCAST_ROWS else policies
-    matched = hosts.join(small, "domain").where("depth = 0 or include_subdomains")
+    matched = hosts.join(policies, "domain").where("depth = 0 or include_subdomains")
     first = matched.groupBy("host").agg(F.min_by(F.struct(*policies.columns), "priority").alias("p")).select("host", "p.*")
     return pages.join(first, "host", "left")

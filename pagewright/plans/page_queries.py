@@ -15,7 +15,7 @@ _PARTS = '<nav>menu</nav><header><p>kept</p></header><script>x()</script><applet
 _TABLE = '<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><pre><code class="language-python">print(1)</code></pre>'
 
 
-def _augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with one of three additions to their article, and with enough text there for it to be the main content."""
     more = F.when(F.col("page_id") % 3 == 0, _HIDDEN).when(F.col("page_id") % 3 == 1, _TABLE).otherwise(_PARTS)
     html = F.replace("html", F.lit("</article>"), F.concat(F.lit(_SENTENCE), more, F.lit("</article>")))
@@ -27,16 +27,16 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.blocks(P.parsed(_augmented(spark, sf_dir)).select("page_id", "page.blocks")).select("page_id", "ordinal", "block_type", "level", "text", "structural_hash")
+    return P.blocks(P.parsed(augmented(spark, sf_dir)).select("page_id", "page.blocks")).select("page_id", "ordinal", "block_type", "level", "text", "structural_hash")
 
 
 def block_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.blocks(P.parsed(_augmented(spark, sf_dir)).select("page_id", "page.blocks"))
+    rows = P.blocks(P.parsed(augmented(spark, sf_dir)).select("page_id", "page.blocks"))
     return rows.where("block_type in ('table', 'code', 'heading')").groupBy("block_type").agg(F.countDistinct("page_id").alias("pages"))
 
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunks(P.parsed(_augmented(spark, sf_dir)).select("page_id", "page.blocks"), "heading", 1000, 100)
+    return C.chunks(P.parsed(augmented(spark, sf_dir)).select("page_id", "page.blocks"), "heading", 1000, 100)
 
 
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,21 +48,21 @@ def declared_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_removed_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.documents(_augmented(spark, sf_dir)).groupBy("removed_hidden").agg(F.count("*").alias("pages"), F.count_if(F.array_contains("flags", "hidden_content")).alias("flagged"))
+    return P.documents(augmented(spark, sf_dir)).groupBy("removed_hidden").agg(F.count("*").alias("pages"), F.count_if(F.array_contains("flags", "hidden_content")).alias("flagged"))
 
 
 def attr_sanitize_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = P.parsed(_augmented(spark, sf_dir)).select(F.explode("page.sanitized").alias("kind", "n"))
+    counts = P.parsed(augmented(spark, sf_dir)).select(F.explode("page.sanitized").alias("kind", "n"))
     return counts.groupBy("kind").agg(F.sum("n").cast("bigint").alias("removed"))
 
 
 def dom_removed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = P.parsed(_augmented(spark, sf_dir)).select(F.explode("page.removed_tags").alias("tag", "n"))
+    counts = P.parsed(augmented(spark, sf_dir)).select(F.explode("page.removed_tags").alias("tag", "n"))
     return counts.groupBy("tag").agg(F.count("*").alias("pages"), F.sum("n").cast("bigint").alias("elements"))
 
 
 def page_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.documents(_augmented(spark, sf_dir)).groupBy("risk_level", "policy_action").agg(F.count("*").alias("pages"))
+    return P.documents(augmented(spark, sf_dir)).groupBy("risk_level", "policy_action").agg(F.count("*").alias("pages"))
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dom_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.links(P.documents(_augmented(spark, sf_dir)))
+    return P.links(P.documents(augmented(spark, sf_dir)))
 
 
 def extractor_compare(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import dom as D
 from pagewright.functions import fixed as V
+from pagewright.functions import resolution as R
 from pagewright.functions import urls as U
 from pagewright.operators.policies import first_policy
 from pagewright.plans.augment import read
 
-_HOST = "regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]*$', ''), '[.]+$', '')"
+HOST_SQL = "regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]*$', ''), '[.]+$', '')"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
 
@@ -103,16 +104,31 @@ def _links(pages: DataFrame) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages, resolved against the page, with their kind."""
     rows = _links(read(spark, sf_dir, "pages"))
-    origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    target = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(origin, F.col("href"))).otherwise(F.concat(origin, F.lit("/"), F.col("href")))
-    kind = F.when(F.col("href").startswith("#"), "anchor").when(U.host(target) == U.host(F.col("url")), "internal").otherwise("external")
-    return rows.select("page_id", F.col("position").cast("bigint").alias("position"), target.alias("target"), kind.alias("kind"))
+    rows = R.held(rows, "target", R.resolved(R.parts(F.col("url")), F.col("href")))
+    return rows.select("page_id", F.col("position").cast("bigint").alias("position"), "target", R.link_kind(F.col("href"), F.col("target"), U.host(F.col("url"))).alias("kind"))
+
+
+#: References of each form that RFC 3986 has, and some that browsers accept.
+_REFERENCES = (
+    "x", "../x", "./a/../b", "a/./b/", "..", ".", "?q=1", "", "#top", "/abs/./y/..", "//cdn.org/x/../y", "https://other.org/a/../b?c#d", "../../../../up/", "g;x=1/../y", "HTTPS:rel", "  sp\tace  ",
+    "mailto:a@b.org", "javascript:void(0)", "?q=../x#../y", "a//b/../c", "tel:1", "ftp://f.org/x", "/", "g?y/./x",
+)
+_BASES = ("", "https://b.org/d/e", "sub/", "../up?z", "ftp://no.org/", "//c.org")
+
+
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with a base of one of six forms, and references of all forms: what they mean, and their kind."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1), F.lit("/d/e/f?q")).alias("url"))
+    declared = F.element_at(F.array(*map(F.lit, _BASES)), (F.col("page_id") % len(_BASES) + 1).cast("int"))
+    rows = pages.select("page_id", "url", R.effective_base(F.col("url"), declared).alias("base")).select("page_id", "url", R.parts(F.col("base")).alias("base"), F.posexplode(F.array(*map(F.lit, _REFERENCES))).alias("form", "href"))
+    rows = R.held(rows, "target", R.resolved(F.col("base"), F.col("href")))
+    return rows.select("page_id", F.col("form").cast("bigint").alias("form"), "target", R.link_kind(F.col("href"), F.col("target"), U.host(F.col("url"))).alias("kind"))
 
 
 def links_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct links by host of the page and path's first letter class."""
-    rows = _links(read(spark, sf_dir, "pages")).select("page_id", U.host(F.col("url")).alias("host"), "href").distinct()
-    return rows.groupBy("host").agg(F.count("*").alias("links"), F.countDistinct("href").alias("distinct_links"))
+    """Links of pages, each once a page, by the host that they lead to; anchors don't count."""
+    rows = page_links(spark, sf_dir).where("kind in ('internal', 'external')").select("page_id", "target").distinct()
+    return rows.groupBy(U.host(F.col("target")).alias("host")).agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
 
 
 def removed_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,37 +187,53 @@ _RANGES = ", ".join(f"('{x}', {U.range_bounds(x)[0]}, {U.range_bounds(x)[1]})" f
 _IP = "CAST(string_split(h, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(h, '.')[2] AS BIGINT) * 65536 + CAST(string_split(h, '.')[3] AS BIGINT) * 256 + CAST(string_split(h, '.')[4] AS BIGINT)"
 _IS_IP = "regexp_matches(h, '^[0-9]+([.][0-9]+){3}$')"
 _TAGS = D.UNWANTED
+# The table's references are absolute, begin with / or #, or are relative without dots.
+_LINKS_SQL = f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS f FROM pages), e AS (SELECT page_id, url AS page_url, unnest(f) AS href, generate_subscripts(f, 1) - 1 AS position FROM l),
+    t AS (SELECT *, regexp_extract(page_url, '^([A-Za-z]+:)', 1) AS scheme, regexp_extract(page_url, '^([A-Za-z]+://[^/?#]*)', 1) AS origin, regexp_extract(page_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM e WHERE trim(href) <> ''),
+    u AS (SELECT page_id, position, href, page_url, CASE WHEN regexp_matches(href, '^[A-Za-z]+:') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN starts_with(href, '/') THEN origin || href
+        WHEN starts_with(href, '#') THEN regexp_replace(page_url, '#.*$', '') || href ELSE origin || regexp_extract(path || '/', '^(/.*/|/)', 1) || href END AS target FROM t),
+    k AS (SELECT page_id, position, target, CASE WHEN starts_with(href, '#') THEN 'anchor' WHEN NOT regexp_matches(lower(target), '^https?://.') THEN NULL
+        WHEN {HOST_SQL.replace('url', 'target')} = {HOST_SQL.replace('url', 'page_url')} THEN 'internal' ELSE 'external' END AS kind FROM u)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
-        url_identity, tracking_params, url_nonhtml_auth, ssrf_check, cidr_range_join, domain_policy_join, resource_block_stats, page_title_lang, page_links,
+        url_identity, tracking_params, url_nonhtml_auth, ssrf_check, cidr_range_join, domain_policy_join, resource_block_stats, page_title_lang, page_links, resolved_links,
         links_by_domain, removed_tag_counts, meta_regex, token_savings, host_round_robin, host_soft_cap, unique_urls_first_seen, url_drop_reasons,
     )
 }
 
 ORACLE_SQL = {
-    "url_identity": f"WITH {_VARIED_SQL} SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END AS identity FROM v",
+    "url_identity": f"WITH {_VARIED_SQL} SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || {HOST_SQL} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END AS identity FROM v",
     "tracking_params": f"WITH {_VARIED_SQL}, s AS (SELECT page_id, url, {_split_sql(_QUERY)} AS kept, len(string_split({_QUERY}, '&')) AS n FROM v) SELECT page_id, CASE WHEN len(kept) = n THEN url ELSE regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END || regexp_extract(url, '(#.*)$', 1) END AS url FROM s",
     "url_nonhtml_auth": "SELECT page_id, page_id % 5 IN (0, 4) AS is_non_html, page_id % 5 IN (1, 3) AS is_auth FROM pages",
-    "ssrf_check": f"WITH {_REQUESTED_SQL}, h AS (SELECT page_id, url, {_HOST} AS h FROM q) SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?:') THEN 'scheme' WHEN h IN ('localhost', 'metadata.google.internal') THEN 'blocked host' WHEN {_IS_IP} AND EXISTS (SELECT 1 FROM (VALUES {_RANGES}) AS r(c, lo, hi) WHERE CASE WHEN {_IS_IP} THEN {_IP} END BETWEEN lo AND hi) THEN 'blocked address' END AS refusal FROM h",
-    "cidr_range_join": f"WITH {_REQUESTED_SQL}, h AS (SELECT page_id, {_HOST} AS h FROM q), i AS (SELECT page_id, {_IP} AS ip FROM h WHERE {_IS_IP}) SELECT page_id, ip, cidr FROM i JOIN (VALUES {_RANGES}) AS r(cidr, lo, hi) ON ip BETWEEN lo AND hi",
+    "ssrf_check": f"WITH {_REQUESTED_SQL}, h AS (SELECT page_id, url, {HOST_SQL} AS h FROM q) SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?:') THEN 'scheme' WHEN h IN ('localhost', 'metadata.google.internal') THEN 'blocked host' WHEN {_IS_IP} AND EXISTS (SELECT 1 FROM (VALUES {_RANGES}) AS r(c, lo, hi) WHERE CASE WHEN {_IS_IP} THEN {_IP} END BETWEEN lo AND hi) THEN 'blocked address' END AS refusal FROM h",
+    "cidr_range_join": f"WITH {_REQUESTED_SQL}, h AS (SELECT page_id, {HOST_SQL} AS h FROM q), i AS (SELECT page_id, {_IP} AS ip FROM h WHERE {_IS_IP}) SELECT page_id, ip, cidr FROM i JOIN (VALUES {_RANGES}) AS r(cidr, lo, hi) ON ip BETWEEN lo AND hi",
     "domain_policy_join": f"""WITH p AS (SELECT * FROM (VALUES (0, 'blog.tionble.example.com', false, 'strict'), (1, 'example.org', true, 'paranoid'), (2, 'example.com', true, 'normal'), (3, 'tionsh.example.net', false, 'permissive'), (4, 'example.net', true, 'normal')) AS t(priority, domain, sub, policy_name)),
-        h AS (SELECT page_id, {_HOST} AS h FROM pages), m AS (SELECT page_id, domain, policy_name, row_number() OVER (PARTITION BY page_id ORDER BY priority) AS k FROM h LEFT JOIN p ON h = domain OR sub AND ends_with(h, '.' || domain))
+        h AS (SELECT page_id, {HOST_SQL} AS h FROM pages), m AS (SELECT page_id, domain, policy_name, row_number() OVER (PARTITION BY page_id ORDER BY priority) AS k FROM h LEFT JOIN p ON h = domain OR sub AND ends_with(h, '.' || domain))
         SELECT page_id, domain, policy_name FROM m WHERE k = 1""",
     "resource_block_stats": """WITH r AS (SELECT ['script', 'image', 'font', 'xhr', 'media'][page_id % 5 + 1] AS resource_type,
         ['google-analytics.com', 'hotjar.com', NULL, 'ads.', '/pixel/', 'facebook.com/tr', NULL, 'criteo.com'][page_id % 8 + 1] AS m FROM pages)
         SELECT resource_type, CASE WHEN resource_type IN ('image', 'font', 'media') THEN NULL ELSE m END AS matched, count(*) AS requests, count(*) FILTER (WHERE resource_type IN ('image', 'font', 'media') OR m IS NOT NULL) AS blocked FROM r GROUP BY ALL""",
     "page_title_lang": "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, string_split(string_split(lower(regexp_extract(html, '(?i)<html[^>]*\\blang=\"([^\"]*)\"', 1)), ',')[1], '-')[1] AS lang FROM pages",
-    "page_links": f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS f FROM pages), e AS (SELECT page_id, url, unnest(f) AS href, generate_subscripts(f, 1) - 1 AS position FROM l),
-        t AS (SELECT page_id, url AS page_url, href, position, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/' || href END AS target FROM e WHERE trim(href) <> '')
-        SELECT page_id, position, target, CASE WHEN starts_with(href, '#') THEN 'anchor' WHEN {_HOST.replace('url', 'target')} = {_HOST.replace('url', 'page_url')} THEN 'internal' ELSE 'external' END AS kind FROM t""",
-    "links_by_domain": f"""WITH e AS (SELECT DISTINCT page_id, {_HOST} AS host, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT host, count(*) AS links, count(DISTINCT href) AS distinct_links FROM e WHERE trim(href) <> '' GROUP BY host""",
+    "page_links": _LINKS_SQL + " SELECT page_id, position, target, kind FROM k",
+    "links_by_domain": _LINKS_SQL + f" SELECT {HOST_SQL.replace('url', 'target')} AS host, count(DISTINCT page_id || ' ' || target) AS links, count(DISTINCT page_id) AS pages FROM k WHERE kind IN ('internal', 'external') GROUP BY 1",
+    "resolved_links": f"""WITH p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) AS s, regexp_extract(url, '^[A-Za-z]+:(//[^/?#]*)', 1) AS a FROM pages),
+        b AS (SELECT page_id, s AS ps, a AS pa, CASE WHEN page_id % 6 = 1 THEN 'https' ELSE s END AS s, CASE page_id % 6 WHEN 1 THEN '//b.org' WHEN 5 THEN '//c.org' ELSE a END AS a,
+            ['/d/e/', '/d/', '/d/e/sub/', '/d/', '/d/e/', '/'][page_id % 6 + 1] AS folder, ['/d/', '/', '/d/e/', '/', '/d/', '/'][page_id % 6 + 1] AS above,
+            ['/d/e/f', '/d/e', '/d/e/sub/', '/d/up', '/d/e/f', ''][page_id % 6 + 1] AS path, ['?q', '', '', '?z', '?q', ''][page_id % 6 + 1] AS query FROM p),
+        t AS (SELECT *, s || ':' || a AS o FROM b),
+        r AS (SELECT page_id, ps, pa, [o || folder || 'x', o || above || 'x', o || folder || 'b', o || folder || 'a/b/', o || above, o || folder, o || path || '?q=1', o || path || query, o || path || query || '#top', o || '/abs/',
+            s || '://cdn.org/y', 'https://other.org/b?c#d', o || '/up/', o || folder || 'y', CASE WHEN s = 'https' THEN o || folder || 'rel' ELSE 'https:rel' END, o || folder || 'space', 'mailto:a@b.org', 'javascript:void(0)',
+            o || path || '?q=../x#../y', o || folder || 'a//c', 'tel:1', 'ftp://f.org/x', o || '/', o || folder || 'g?y/./x'] AS targets FROM t),
+        e AS (SELECT page_id, ps, pa, unnest(targets) AS target, generate_subscripts(targets, 1) - 1 AS form FROM r)
+        SELECT page_id, form, target, CASE WHEN form = 8 THEN 'anchor' WHEN form IN (7, 16, 17, 20, 21) OR target = 'https:rel' THEN NULL
+            WHEN lower(regexp_replace(regexp_extract(target, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', '')) = lower(regexp_replace(pa[3:], ':[0-9]*$', '')) THEN 'internal' ELSE 'external' END AS kind FROM e""",
     "removed_tag_counts": "SELECT tag, count(*) AS pages, CAST(sum(n) AS BIGINT) AS elements FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, len(regexp_extract_all(html, '(?i)<{t}[ >]')) AS n FROM pages" for t in _TAGS) + ") WHERE n > 0 GROUP BY tag",
     "meta_regex": "SELECT page_id, nullif(regexp_extract(html, '(?i)<meta\\s+charset=\"([^\"]*)\"', 1), '') AS charset, len(regexp_extract_all(html, '(?i)<meta\\b')) AS metas FROM pages",
     "token_savings": "WITH t AS (SELECT page_id, len(regexp_extract_all(html, '[A-Za-z0-9_]+')) AS html_tokens, len(regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g'), '[A-Za-z0-9_]+')) AS text_tokens FROM pages) SELECT page_id, html_tokens, text_tokens, greatest(html_tokens - text_tokens, 0) AS saved, CASE WHEN html_tokens > 0 THEN greatest(html_tokens - text_tokens, 0) * 10000 // html_tokens ELSE 0 END AS saved_basis_points FROM t",
-    "host_round_robin": f"SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS turn, min(page_id) OVER (PARTITION BY {_HOST}) AS host_first FROM pages",
-    "host_soft_cap": f"WITH r AS (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS turn, min(page_id) OVER (PARTITION BY {_HOST}) AS host_first FROM pages) SELECT page_id, host FROM r ORDER BY turn, host_first LIMIT 100",
-    "unique_urls_first_seen": f"WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || {_HOST} || '/' || (page_id % 10) AS url FROM pages) SELECT url, min(page_id) AS first_page_id, count(*) AS seen FROM u GROUP BY url",
+    "host_round_robin": f"SELECT page_id, {HOST_SQL} AS host, row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id) AS turn, min(page_id) OVER (PARTITION BY {HOST_SQL}) AS host_first FROM pages",
+    "host_soft_cap": f"WITH r AS (SELECT page_id, {HOST_SQL} AS host, row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id) AS turn, min(page_id) OVER (PARTITION BY {HOST_SQL}) AS host_first FROM pages) SELECT page_id, host FROM r ORDER BY turn, host_first LIMIT 100",
+    "unique_urls_first_seen": f"WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || {HOST_SQL} || '/' || (page_id % 10) AS url FROM pages) SELECT url, min(page_id) AS first_page_id, count(*) AS seen FROM u GROUP BY url",
     "url_drop_reasons": f"WITH {_REQUESTED_SQL} SELECT CASE WHEN NOT regexp_matches(lower(url), '^https?:') THEN 'unsupported scheme' ELSE 'kept' END AS reason, count(*) AS urls FROM q GROUP BY ALL",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POLICY = (
-    "priority int, domain string, include_subdomains boolean, mode string, policy_name string, block_threshold double, warn_threshold double, "
+    "priority int, domain string, include_subdomains boolean, mode string, policy_name string, strict boolean, block_threshold double, warn_threshold double, "
     "request_interval double, allowed_tags array<string>, blocked_tags array<string>, blocked_selectors array<string>, unwrap_selectors array<string>, notes string"
 )
 
