@@ -92,6 +92,10 @@ BLOCKED_RANGES = (
     "192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4"
 ).split()
 
+# IPv6 ranges that aren't public, and the public ones inside them.
+BLOCKED_RANGES_V6 = "::/3 2001::/23 2001:db8::/32 2002::/16 3fff::/20 4000::/2 8000::/1".split()
+PUBLIC_RANGES_V6 = "2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
+
 # Hosts and paths of trackers and adverts.
 TRACKER_HOSTS = (
     "google-analytics.com googletagmanager.com facebook.net scorecardresearch.com quantserve.com hotjar.com "

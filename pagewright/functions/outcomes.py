@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed as V
+from pagewright.functions.addresses import address, is_internal
+from pagewright.functions.resolution import let
 from pagewright.functions import urls as U
 
 
@@ -65,10 +67,8 @@ def skip_render(tokens: Column, threshold: Column, url: Column, has_browser: Col
 
 
 def pinned_address(addresses: Column) -> Column:
-    """The first of a host's IPv4 addresses if every one of them is public; else null."""
-    values = F.transform(addresses, U.ipv4_value)
-    bounds = [U.range_bounds(x) for x in V.BLOCKED_RANGES]
-    public = F.forall(values, lambda ip: ip.isNotNull() & ~reduce(lambda a, b: a | b, [ip.between(lo, hi) for lo, hi in bounds]))
+    """The first of a host's addresses, of either kind, if every one of them is public; else null."""
+    public = F.forall(addresses, lambda x: F.coalesce(~let(address(x), is_internal), F.lit(False)))
     return F.when((F.size(addresses) > 0) & public, F.get(addresses, F.lit(0)))
 
 

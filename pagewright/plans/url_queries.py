@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import addresses as A
 from pagewright.functions import dom as D
 from pagewright.functions import fixed as V
 from pagewright.functions import resolution as R
@@ -56,7 +57,7 @@ _REQUESTED_SQL = """
 
 
 def ssrf_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requested(read(spark, sf_dir, "pages")).select("page_id", U.fetch_refusal(F.col("url")).alias("refusal"))
+    return _requested(read(spark, sf_dir, "pages")).select("page_id", A.fetch_refusal(F.col("url")).alias("refusal"))
 
 
 def cidr_ranges(spark: SparkSession) -> DataFrame:
@@ -70,6 +71,27 @@ def cidr_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(ranges, (rows["ip"] >= ranges["lo"]) & (rows["ip"] <= ranges["hi"])).select("page_id", "ip", "cidr")
 
 
+#: Ranges that overlap, touch and hold one another.
+_WATCHED = ("10.0.0.0/8", "10.1.0.0/16", "11.0.0.0/8", "128.0.0.0/2", "200.7.0.0/16", "fd00::/9", "fd40::/10", "2001:db8::/32", "fe80::/10")
+
+
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds in eight forms: their digits, the watched range that holds them, whether they are internal."""
+    n = (F.col("event_id") * 2654435761) % (1 << 32)
+    octets = [F.shiftright(n, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)]
+    dotted = F.concat_ws(".", *(o.cast("string") for o in octets))
+    groups = F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(F.lit(65535)))))
+    forms = [
+        dotted, F.concat(F.lit("::ffff:"), dotted), F.concat(F.lit("[::FFFF:"), groups, F.lit("]")), F.concat_ws(".", *(F.concat(F.lit("0"), F.conv(o, 10, 8)) for o in octets)),
+        F.concat_ws(".", *(F.concat(F.lit("0x"), F.lower(F.hex(o))) for o in octets)), F.concat_ws(".", octets[0].cast("string"), octets[1].cast("string"), n.bitwiseAND(F.lit(65535)).cast("string")),
+        F.concat(F.element_at(F.array(*map(F.lit, ("fd7f", "fd80", "2001:db8", "2606:4700", "fe80"))), (n % 5 + 1).cast("int")), F.lit("::"), groups, F.lit("%eth0")), F.concat(dotted, F.lit(".1")),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = A.held(read(spark, sf_dir, "events").select("event_id", text.alias("text")), "address", A.address(F.col("text")))
+    ranges = spark.createDataFrame([A.cidr_bounds(x) for x in _WATCHED], "lo string, hi string")
+    return A.in_ranges(rows, ranges).select("event_id", "address", "range_lo", A.is_internal(F.col("address")).alias("internal"))
+
+
 def policy_table(spark: SparkSession) -> DataFrame:
     rows = [(0, "blog.tionble.example.com", False, "strict", 0.5), (1, "example.org", True, "paranoid", 0.3), (2, "example.com", True, "normal", 0.7), (3, "tionsh.example.net", False, "permissive", 0.9), (4, "example.net", True, "normal", None)]
     return spark.createDataFrame(rows, "priority int, domain string, include_subdomains boolean, policy_name string, block_threshold double")
@@ -198,7 +220,7 @@ _LINKS_SQL = f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s
 QUERIES = {
     f.__name__: f
     for f in (
-        url_identity, tracking_params, url_nonhtml_auth, ssrf_check, cidr_range_join, domain_policy_join, resource_block_stats, page_title_lang, page_links, resolved_links,
+        url_identity, tracking_params, url_nonhtml_auth, ssrf_check, cidr_range_join, address_ranges, domain_policy_join, resource_block_stats, page_title_lang, page_links, resolved_links,
         links_by_domain, removed_tag_counts, meta_regex, token_savings, host_round_robin, host_soft_cap, unique_urls_first_seen, url_drop_reasons,
     )
 }
@@ -209,6 +231,11 @@ ORACLE_SQL = {
     "url_nonhtml_auth": "SELECT page_id, page_id % 5 IN (0, 4) AS is_non_html, page_id % 5 IN (1, 3) AS is_auth FROM pages",
     "ssrf_check": f"WITH {_REQUESTED_SQL}, h AS (SELECT page_id, url, {HOST_SQL} AS h FROM q) SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?:') THEN 'scheme' WHEN h IN ('localhost', 'metadata.google.internal') THEN 'blocked host' WHEN {_IS_IP} AND EXISTS (SELECT 1 FROM (VALUES {_RANGES}) AS r(c, lo, hi) WHERE CASE WHEN {_IS_IP} THEN {_IP} END BETWEEN lo AND hi) THEN 'blocked address' END AS refusal FROM h",
     "cidr_range_join": f"WITH {_REQUESTED_SQL}, h AS (SELECT page_id, {HOST_SQL} AS h FROM q), i AS (SELECT page_id, {_IP} AS ip FROM h WHERE {_IS_IP}) SELECT page_id, ip, cidr FROM i JOIN (VALUES {_RANGES}) AS r(cidr, lo, hi) ON ip BETWEEN lo AND hi",
+    "address_ranges": """WITH n AS (SELECT event_id, event_id % 8 AS form, event_id * 2654435761 % 4294967296 AS n FROM events), a AS (SELECT event_id, form, n, n % 5 AS k, CASE WHEN form < 6 THEN repeat('0', 20) || 'ffff' || printf('%08x', n)
+        WHEN form = 6 THEN ['fd7f0000', 'fd800000', '20010db8', '26064700', 'fe800000'][n % 5 + 1] || repeat('0', 16) || printf('%08x', n) END AS address FROM n)
+        SELECT event_id, address, CASE WHEN form < 6 THEN repeat('0', 20) || 'ffff' || CASE WHEN n >> 24 IN (10, 11) OR n >> 30 = 2 THEN printf('%02x000000', n >> 24) WHEN n >> 16 = 51207 THEN 'c8070000' END
+            WHEN form = 6 THEN CASE k WHEN 0 THEN 'fd7f' || repeat('0', 28) WHEN 2 THEN '20010db8' || repeat('0', 24) WHEN 4 THEN 'fe80' || repeat('0', 28) END END AS range_lo,
+            CASE WHEN form = 6 THEN k <> 3 WHEN form < 6 THEN n >> 24 IN (0, 10, 127) OR n >> 24 >= 224 OR n >> 22 = 401 OR n >> 16 = 43518 OR n >> 20 = 2753 OR n >> 16 = 49320 OR n >> 17 = 25353 OR n >> 8 IN (12582912, 12582914, 12989284, 13303921) END AS internal FROM a""",
     "domain_policy_join": f"""WITH p AS (SELECT * FROM (VALUES (0, 'blog.tionble.example.com', false, 'strict'), (1, 'example.org', true, 'paranoid'), (2, 'example.com', true, 'normal'), (3, 'tionsh.example.net', false, 'permissive'), (4, 'example.net', true, 'normal')) AS t(priority, domain, sub, policy_name)),
         h AS (SELECT page_id, {HOST_SQL} AS h FROM pages), m AS (SELECT page_id, domain, policy_name, row_number() OVER (PARTITION BY page_id ORDER BY priority) AS k FROM h LEFT JOIN p ON h = domain OR sub AND ends_with(h, '.' || domain))
         SELECT page_id, domain, policy_name FROM m WHERE k = 1""",

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pagewright.functions import addresses as A
 from pagewright.functions import security as S
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
@@ -65,10 +66,12 @@ def test_urls(spark):
     assert of(U.identity, "HTTP://u@Ex.COM:80?a=1#f") == "http://u@ex.com/?a=1"
     assert of(U.identity, "https://e.com:8443/x") == "https://e.com:8443/x"
     assert of(U.without_tracking, "http://e/x?utm_source=a&b=1#f") == "http://e/x?b=1#f"
-    assert of(U.fetch_refusal, "http://127.0.0.1/") == "blocked address"
-    assert of(U.fetch_refusal, "http://2130706433/") == "numeric host"
-    assert of(U.fetch_refusal, "https://example.com/") is None
-    assert of(U.fetch_refusal, None) == "empty"
-    assert of(U.is_blocked_ip, "::ffff:10.0.0.1") is True
-    assert of(U.is_blocked_ip, "8.8.8.8") is False
-    assert of(U.is_blocked_ip, "no") is None
+    assert of(A.fetch_refusal, "http://127.0.0.1/") == "blocked address"
+    assert of(A.fetch_refusal, "http://2130706433/") == "numeric host"
+    assert of(A.fetch_refusal, "https://example.com/") is None
+    assert of(A.fetch_refusal, None) == "empty"
+    assert of(A.fetch_refusal, "http://[fe80::1%25eth0]/") == of(A.fetch_refusal, "http://0177.1/") == of(A.fetch_refusal, "http://[::ffff:7f00:1]:80/") == "blocked address"
+    assert of(A.fetch_refusal, "http://[2606:4700::1111]/") is None
+    assert of(lambda c: A.is_internal(A.address(c)), "::ffff:10.0.0.1") is True
+    assert of(lambda c: A.is_internal(A.address(c)), "8.8.8.8") is False
+    assert of(lambda c: A.is_internal(A.address(c)), "no") is None
