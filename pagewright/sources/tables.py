@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.sources.charsets import decoded
+
 POLICY = (
     "priority int, domain string, include_subdomains boolean, mode string, policy_name string, strict boolean, block_threshold double, warn_threshold double, "
     "request_interval double, allowed_tags array<string>, blocked_tags array<string>, blocked_selectors array<string>, unwrap_selectors array<string>, notes string"
@@ -17,9 +19,9 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, path: str) -> DataFrame:
-    """url (the file's own) and html of HTML files; bytes that aren't UTF-8 are replaced."""
+    """url (the file's own) and html of HTML files, in the charset that their bytes tell: see ``sources.charsets``."""
     rows = spark.read.format("binaryFile").load(path)
-    return rows.select(F.monotonically_increasing_id().alias("page_id"), F.col("path").alias("url"), F.expr("cast(content as string)").alias("html"))
+    return rows.select(F.monotonically_increasing_id().alias("page_id"), F.col("path").alias("url"), decoded(F.col("content")).alias("html"))
 
 
 def policies(spark: SparkSession, path: str) -> DataFrame:
