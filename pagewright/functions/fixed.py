@@ -105,10 +105,11 @@ AD_HOSTS = "doubleclick.net googlesyndication.com adservice.google adnxs.com ads
 TRACKER_LABELS, AD_LABELS = ["analytics", "tracker", "telemetry"], ["ads"]
 TRACKER_PATHS = ["/tracking.", "/tracking/", "/pixel.", "/pixel/", "/beacon.", "/beacon/", "/beacon?"]
 
-# A literal that every match of a pattern holds, in lower case, by place in INJECTION_PATTERNS.
+# Of each pattern, literals in lower case: a text that it matches holds one of every group.
 PATTERN_GATES = [
-    ["ignore"], ["system"], ["mode"], ["reveal"], ["you"], ["override"], ["disregard", "forget", "reset"], ["act"], ["pretend"],
-    ["instruction"], ["instruction"], ["instruction"], ["instruction"], ["jailbreak"], ["dan"], ["mode"], ["out"], ["simulate", "imagine"],
+    [["ignore "], ["instruction", "prompt", "command"]], [["system "], [" prompt"]], [["developer ", "admin ", "debug "], [" mode"]], [["reveal "], [" secret", " password", " key", " token"]],
+    [["you "], [" are "]], [["override "]], [["disregard ", "forget ", "reset "]], [["act "], [" as "]], [["pretend "]], [["instruction"], ["<"]], [["instruction"], ["<"]], [["instruction"], ["<"]],
+    [["instruction"], ["<"]], [["jailbreak"]], [["dan"]], [["sudo ", "root "], [" mode"]], [["escape ", "break "], [" out"]], [["simulate ", "imagine "], [" you", " being"]],
 ]
 
 # Content types of pages, job states.

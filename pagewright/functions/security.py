@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,46 +10,53 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import fixed as V
 from pagewright.functions import text as T
+from pagewright.functions.resolution import let
 
 
 def pattern_counts(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
-    """An array with the number of matches of each pattern in a folded text.
+    """An array with the number of matches of each pattern in a text of ``text.for_matching``.
 
-    Only texts that hold a literal of the pattern are searched for it.
+    Only texts that hold a literal of each group that the pattern needs are searched for it.
     """
     known = V.PATTERN_GATES if list(patterns[: len(V.INJECTION_PATTERNS)]) == V.INJECTION_PATTERNS else []
     gates = known + [None] * (len(patterns) - len(known))
 
-    def count(pattern: str, gate: list[str] | None, low: Column) -> Column:
+    def count(pattern: str, gate: list[list[str]] | None, low: Column) -> Column:
         found = F.regexp_count(text, F.lit(f"(?i){pattern}"))
-        return found if gate is None else F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in gate]), found).otherwise(0)
-
-    # The lower-case text is made once, as the variable of a function over an array of one.
-    return F.transform(F.array(F.lower(text)), lambda low: F.array(*[count(p, g, low) for (p, _, _), g in zip(patterns, gates, strict=True)]))[0]
-
-
-def pattern_matches(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
-    """An array of (pattern, weight, occurrences, samples) of the patterns that match."""
-    one = [
-        F.when(
-            F.regexp_count(text, F.lit(f"(?i){p}")) > 0,
-            F.struct(
-                F.lit(name).alias("pattern"),
-                F.lit(w).alias("weight"),
-                F.regexp_count(text, F.lit(f"(?i){p}")).alias("occurrences"),
-                F.slice(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0)), 1, 3).alias("samples"),
-            ),
-        )
-        for p, w, name in patterns
-    ]
-    return F.array_compact(F.array(*one))
+        if gate is None:
+            return found
+        may = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in group]) for group in gate])
+        return F.when(may, found).otherwise(0)
+
+    return let(F.lower(text), lambda low: F.array(*[count(p, g, low) for (p, _, _), g in zip(patterns, gates, strict=True)]))
+
+
+def pattern_matches(text: Column, patterns=V.INJECTION_PATTERNS, samples: int = 3) -> Column:
+    """An array of (pattern, weight, occurrences, samples) of the patterns that match.
+
+    A sample is what the pattern's groups took, in their order, or the whole match of one without groups; the first
+    ``samples`` of them in the text.
+    """
+
+    def taken(pattern: str) -> Column:
+        groups = re.compile(pattern).groups
+        each = [F.slice(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(i)), 1, samples) for i in (range(1, groups + 1) if groups else [0])]
+        return F.transform(each[0], lambda x, i: F.array(x, *(F.get(more, i) for more in each[1:])))
+
+    def matched(counts: Column) -> Column:
+        one = [
+            F.when(F.get(counts, F.lit(i)) > 0, F.struct(F.lit(name).alias("pattern"), F.lit(w).alias("weight"), F.get(counts, F.lit(i)).alias("occurrences"), taken(p).alias("samples")))
+            for i, (p, w, name) in enumerate(patterns)
+        ]
+        return F.array_compact(F.array(*one))
+
+    return let(pattern_counts(text, patterns), matched)
 
 
 def imperative_density(text: Column) -> Column:
-    """Imperative verbs as a share of the words of a folded text; 0 without words."""
-    words = F.regexp_count(text, F.lit(r"\w+"))
-    verbs = F.regexp_count(F.lower(text), F.lit(r"\b(?:" + "|".join(V.IMPERATIVE_VERBS) + r")\b"))
-    return F.when(words > 0, verbs / words).otherwise(F.lit(0.0))
+    """Imperative verbs as a share of the words of a folded text; 0 without words. The text is cut into words once."""
+    words = F.filter(F.split(F.lower(text), r"\W+"), lambda x: x != "")
+    return let(words, lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.isin(*V.IMPERATIVE_VERBS))) / F.size(w)).otherwise(F.lit(0.0)))
 
 
 def score(counts: Column, density: Column, hidden: Column, patterns=V.INJECTION_PATTERNS, too_deep: Column | bool = False) -> Column:

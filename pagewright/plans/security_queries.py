@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,18 @@ def scored(docs: DataFrame) -> DataFrame:
     return counted.withColumn("score", value).withColumn("risk_level", S.risk_level(F.col("score")))
 
 
+def _samples_sql() -> str:
+    """A row for each pattern: its groups, or all of it, at the first three matches."""
+
+    def one(pattern: str, name: str) -> str:
+        parts = [f"regexp_extract_all(t, '(?i){pattern}', {i})" for i in (range(1, re.compile(pattern).groups + 1) or [0])]
+        joined = " || '|' || ".join(f"{p}[i]" for p in parts)
+        samples = f"array_to_string(list_transform(range(1, least(3, len({parts[0]})) + 1), lambda i: {joined}), ';')"
+        return f"SELECT doc_id, '{name}' AS pattern, len({parts[0]}) AS occurrences, {samples} AS samples FROM f WHERE len({parts[0]}) > 0"
+
+    return f"WITH f AS (SELECT doc_id, {FOLDED_SQL} AS t FROM documents) " + " UNION ALL ".join(one(p, name) for p, _, name in V.INJECTION_PATTERNS)
+
+
 def _scored_sql() -> str:
     parts = " + ".join(
         f"CASE WHEN c{i} > 0 THEN CAST({w} AS DOUBLE) * (1 + CAST({V.LOG_FACTOR} AS DOUBLE) * log2(CAST(c{i} AS DOUBLE))) ELSE 0 END"
@@ -102,6 +116,14 @@ def pattern_merge_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pattern_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the groups of each pattern took at its first three matches in a document."""
+    folded = read(spark, sf_dir, "documents").select("doc_id", T.for_matching(augmented_text()).alias("t"))
+    each = folded.select("doc_id", F.explode(S.pattern_matches(F.col("t"))).alias("m"))
+    taken = F.array_join(F.transform("m.samples", lambda x: F.array_join(x, "|")), ";")
+    return each.select("doc_id", F.col("m.pattern").alias("pattern"), F.col("m.occurrences").cast("bigint").alias("occurrences"), taken.alias("samples"))
+
+
 def ascii_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.ascii_fold(F.col("text")).alias("folded"))
 
@@ -161,12 +183,13 @@ _PAT_SQL = " UNION ALL ".join(f"SELECT '{name}' AS pattern, c{i} AS n FROM c" fo
 QUERIES = {
     f.__name__: f
     for f in (
-        injection_scan_augmented, pattern_counts_augmented, imperative_density, risk_policy_matrix, policy_thresholds, rule_scan_augmented, pattern_merge_augmented,
+        injection_scan_augmented, pattern_counts_augmented, imperative_density, risk_policy_matrix, policy_thresholds, rule_scan_augmented, pattern_merge_augmented, pattern_samples,
         ascii_fold, zero_width_strip, flags_array, content_hash, exact_duplicates, score_by_role, labelled_risk, benchmark_overlap,
     )
 }
 
 ORACLE_SQL = {
+    "pattern_samples": _samples_sql(),
     "injection_scan_augmented": f"WITH {_scored_sql()} SELECT doc_id, {_FOUND_SQL} AS patterns, CAST(floor(density * 1e6 + 0.5) AS BIGINT) AS density_millionths, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score_millionths, risk_level FROM r",
     "pattern_counts_augmented": f"WITH {_scored_sql()} SELECT pattern, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM ({_PAT_SQL}) WHERE n > 0 GROUP BY pattern",
     "imperative_density": f"WITH {_scored_sql()} SELECT doc_id, CAST(floor(density * 1e6 + 0.5) AS BIGINT) AS density_millionths FROM r",
