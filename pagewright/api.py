@@ -11,7 +11,8 @@ from pagewright.functions import outcomes as O
 from pagewright.functions import security as S
 from pagewright.functions import urls as U
 from pagewright.functions.fixed import POLICY_PRESETS
-from pagewright.functions.guards import config_of, custom_patterns, unknown_keys
+from pagewright.functions import fixed as V
+from pagewright.functions.guards import config_of, custom_patterns, keyword_rules, unknown_keys, with_weights
 from pagewright.functions.resolution import held
 from pagewright.operators import chunks as C
 from pagewright.operators import pages as P
@@ -29,6 +30,8 @@ class Config:
     chunk_overlap: int = 0
     advanced_security: bool = False
     custom_patterns: tuple[str | tuple[str, float], ...] = field(default=())
+    pattern_weights: tuple[tuple[str, float], ...] = field(default=())
+    rule_text: str = ""
     mode: str = "auto"
     extract_metadata: bool = False
     extract_links: bool = True
@@ -45,7 +48,17 @@ class Config:
         if self.chunking not in ("none", "size", "heading"):
             raise ValueError(f"unknown chunking {self.chunking!r}")
         self.limits()
-        custom_patterns(list(self.custom_patterns))
+        if self.mode not in ("auto", "fast", "render"):
+            raise ValueError(f"unknown mode {self.mode!r}")
+        self.scan()
+
+    def scan(self) -> dict:
+        """What ``documents`` searches for: the patterns with a user's weights, custom ones, keyword rules of a rule file."""
+        weighted = with_weights(V.INJECTION_PATTERNS, dict(self.pattern_weights))
+        known = len(V.INJECTION_PATTERNS)
+        custom = [*weighted[known:], *custom_patterns(list(self.custom_patterns))]
+        rules = [*V.KEYWORD_RULES, *keyword_rules(self.rule_text)] if self.rule_text else V.KEYWORD_RULES
+        return {"patterns": weighted[:known], "custom": custom, "keyword_rules": rules}
 
     @classmethod
     def of(cls, *layers: dict | None) -> Config:
@@ -66,12 +79,21 @@ class Config:
         return (min(block, 0.5), min(warn, 0.3)) if self.strict else (block, warn)
 
 
+def _documents(pages: DataFrame, config: Config, block, warn, rules=None, keep: tuple[str, ...] = (), **same) -> DataFrame:
+    """Documents with what the configuration asks for: metadata, links, mode."""
+    if config.extract_metadata:
+        pages, keep = P.with_metadata(pages), (*keep, "metadata")
+    docs = P.documents(pages, block, warn, config.advanced_security, rules=rules, keep=keep, **config.scan(), **same)
+    docs = docs.select(*(c for c in docs.columns if c not in keep), *keep)
+    docs = docs if config.extract_links else docs.drop("anchors", "internal", "external", "links_total")
+    return docs.withColumn("mode", F.lit(config.mode))
+
+
 def ingest(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """Documents of pages (page_id, url, html)."""
     block, warn = config.limits()
-    return P.documents(
-        pages, block, warn, config.advanced_security, custom_patterns(list(config.custom_patterns)), blocked_selectors=config.blocked_selectors, unwrap_selectors=config.unwrap_selectors, blocked_tags=config.blocked_tags, allowed_tags=config.allowed_tags
-    )
+    rules = {name: getattr(config, name) for name in ("blocked_selectors", "unwrap_selectors", "blocked_tags", "allowed_tags")}
+    return _documents(pages, config, block, warn, **rules)
 
 
 def ingest_by_domain(pages: DataFrame, policies: DataFrame | list[dict], config: Config = Config()) -> DataFrame:
@@ -106,17 +128,23 @@ def ingest_by_domain(pages: DataFrame, policies: DataFrame | list[dict], config:
     own = held(own, "__limits", limits)
     given = {name: F.array(*map(F.lit, getattr(config, name))).cast("array<string>") for name in ("blocked_selectors", "unwrap_selectors", "blocked_tags", "allowed_tags")}
     rules = F.struct(*(F.coalesce(F.col(name), value).alias(name) for name, value in given.items()))
-    custom = custom_patterns(list(config.custom_patterns))
-    docs = P.documents(own, F.col("__limits.block"), F.col("__limits.warn"), config.advanced_security, custom, rules, keep=("domain", "notes"))
-    return docs.select(*(c for c in docs.columns if c not in ("domain", "notes")), "domain", "notes")
+    return _documents(own, config, F.col("__limits.block"), F.col("__limits.warn"), rules, ("domain", "notes"))
 
 
 def serialised(docs: DataFrame, config: Config = Config(), content: bool = True) -> DataFrame:
-    """page_id and the document as JSON; its formats as the configuration asks, without the text if not ``content``."""
-    has = F.array_compact(F.array(F.lit("markdown"), F.when(F.lit(config.extract_blocks) & (F.size("blocks") > 0), F.lit("blocks")), F.lit("security")))
-    formats = O.emitted_formats(F.array(*[F.lit(x) for x in config.output_formats]), has)
-    kept = docs.withColumn("emitted_formats", formats)
-    kept = kept if content else kept.drop("markdown", "blocks")
+    """page_id and the document as JSON; its formats as the configuration asks, without the text if not ``content``.
+
+    With a chunking the document has its chunks.
+    """
+    kept = docs
+    if config.chunking != "none":
+        kept = kept.withColumn("chunks", C.chunk_array(F.col("blocks"), config.chunking, config.chunk_size, config.chunk_overlap))
+    names = [("markdown", F.lit(True)), ("blocks", F.lit(config.extract_blocks) & (F.size("blocks") > 0)), ("chunks", F.size("chunks") > 0 if config.chunking != "none" else F.lit(False))]
+    names += [("metadata", F.lit("metadata" in docs.columns)), ("security", F.lit(True))]
+    has = F.array_compact(F.array(*(F.when(there, F.lit(name)) for name, there in names)))
+    kept = kept.withColumn("emitted_formats", O.emitted_formats(F.array(*[F.lit(x) for x in config.output_formats]), has))
+    gone = [] if config.extract_blocks else ["blocks"]
+    kept = kept.drop(*gone) if content else kept.drop("markdown", "blocks", "chunks")
     return kept.select("page_id", F.to_json(F.struct(*(c for c in kept.columns if c != "page_id"))).alias("document_json"))
 
 

@@ -18,8 +18,8 @@ def pattern_counts(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
 
     Only texts that hold a literal of each group that the pattern needs are searched for it.
     """
-    known = V.PATTERN_GATES if list(patterns[: len(V.INJECTION_PATTERNS)]) == V.INJECTION_PATTERNS else []
-    gates = known + [None] * (len(patterns) - len(known))
+    known = {p: gate for (p, _, _), gate in zip(V.INJECTION_PATTERNS, V.PATTERN_GATES, strict=True)}
+    gates = [known.get(p) for p, _, _ in patterns]
 
     def count(pattern: str, gate: list[list[str]] | None, low: Column) -> Column:
         found = F.regexp_count(text, F.lit(f"(?i){pattern}"))
@@ -99,10 +99,10 @@ def matched_rules(text: Column, rules=V.KEYWORD_RULES) -> Column:
     def holds(alternatives: list[list[str]]) -> Column:
         return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(low, F.lit(k)) for k in every]) for every in alternatives])
 
-    return F.array_compact(F.array(*[F.when(holds(alt), F.lit(name)) for name, _, _, alt in rules]))
+    return F.array_compact(F.array(*[F.when(holds(alt), F.lit(name)) for name, _, _, alt in rules if alt])) if rules else F.array().cast("array<string>")
 
 
-def scanned(rows: DataFrame, text_col: str = "text", patterns=V.INJECTION_PATTERNS) -> DataFrame:
+def scanned(rows: DataFrame, text_col: str = "text", patterns=V.INJECTION_PATTERNS, rules=V.KEYWORD_RULES) -> DataFrame:
     """``rows`` with what patterns find: counts, density, too_deep, and rules, the names of keyword rules that hold.
 
     Patterns are counted in the text with its encodings undone; if that took too many rounds, in the text as it is as
@@ -114,11 +114,11 @@ def scanned(rows: DataFrame, text_col: str = "text", patterns=V.INJECTION_PATTER
     out = out.withColumn("__own", F.when(changed, T.for_matching(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.col("__bare")))
     own = F.when(F.col("too_deep"), pattern_counts(F.col("__own"), patterns))
     both = F.zip_with(pattern_counts(F.col("__bare"), patterns), F.coalesce(own, F.array()), lambda a, b: F.greatest(a, b))
-    out = out.withColumn("counts", both).withColumn("density", imperative_density(F.col("__own"))).withColumn("rules", matched_rules(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.withColumn("counts", both).withColumn("density", imperative_density(F.col("__own"))).withColumn("rules", matched_rules(F.coalesce(F.col(text_col), F.lit("")), rules))
     return out.drop("__decoded", "__bare", "__own")
 
 
-def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = False, patterns=V.INJECTION_PATTERNS, block: Column | float = 0.7, warn: Column | float = 0.4, custom: list[tuple[str, float, str]] = ()) -> DataFrame:
+def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = False, patterns=V.INJECTION_PATTERNS, block: Column | float = 0.7, warn: Column | float = 0.4, custom: list[tuple[str, float, str]] = (), rules=V.KEYWORD_RULES) -> DataFrame:
     """``rows`` of ``scanned`` with basic_score, rule_score, injection_score, flags, scan_method and explanation.
 
     With ``advanced`` a keyword rule that holds counts with its confidence, and the larger score is the document's.
@@ -142,7 +142,7 @@ def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = Fals
         own = F.array_distinct(F.concat(own, flags(extra, F.col("density"), hidden, F.col("too_deep")), F.coalesce(many, F.array().cast("array<string>"))))
     if advanced:
         named = F.transform("rules", lambda r: F.concat(F.lit("rule:"), r))
-        kinds = F.array_compact(F.array(*[F.when(F.array_contains("rules", n), F.lit(f"category:{kind}")) for n, _, kind, _ in V.KEYWORD_RULES]))
+        kinds = F.array_compact(F.array(*[F.when(F.array_contains("rules", n), F.lit(f"category:{kind}")) for n, _, kind, _ in rules]))
         severity = F.when(F.col("rule_score") >= 0.7, "high").when(F.col("rule_score") >= 0.3, "medium").otherwise("low")
         own = F.array_distinct(F.concat(own, F.when(held, F.concat(named, kinds, F.array(F.concat(F.lit("severity:"), severity)))).otherwise(F.array().cast("array<string>"))))
     out = out.withColumn("flags", own)

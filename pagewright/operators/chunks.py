@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.resolution import let
+from pagewright.functions.text import tokens_about
+
 SEPARATOR = "\n\n---\n\n"
 
 
@@ -45,38 +48,48 @@ def groups(blocks: Column, size: int, at_headings: bool = False) -> Column:
     return F.aggregate(blocks, zero, step, lambda s: F.when(s["count"] > 0, F.concat(s["done"], current(s))).otherwise(s["done"]))
 
 
+def chunk_array(blocks: Column, strategy: str = "size", size: int = 2000, overlap: int = 0) -> Column:
+    """The chunks of an array of blocks, in order, as structs: see ``chunks``."""
+    validate(size, overlap)
+
+    def joined(group: Column, field: str, between: str) -> Column:
+        return F.array_join(F.transform(F.slice(blocks, group["first"] + 1, group["count"]), lambda b: b[field]), between)
+
+    def one(prefix: Column, g: Column, n: Column) -> Column:
+        return F.struct(
+            n.alias("n"),
+            F.concat(F.lit("chunk-"), (n + 1).cast("string")).alias("chunk_id"),
+            F.concat(prefix, joined(g, "text", "\n\n")).alias("text"),
+            F.concat(prefix, joined(g, "markdown", "\n\n")).alias("markdown"),
+            F.sequence(g["first"], g["first"] + g["count"] - 1).alias("block_ordinals"),
+            F.concat(F.lit("sha256:"), F.sha2(joined(g, "structural_hash", "\n"), 256)).alias("structural_hash"),
+            F.greatest(F.lit(0), g["start"] - F.length(prefix)).alias("char_start"),
+            (g["start"] + g["length"]).alias("char_end"),
+            tokens_about(F.concat(prefix, joined(g, "text", "\n\n"))).alias("token_estimate"),
+        )
+
+    def all_of(found: Column) -> Column:
+        def prefix(n: Column) -> Column:
+            if not overlap:
+                return F.lit("")
+            before = joined(F.element_at(found, F.greatest(n, F.lit(1))), "text", "\n\n")
+            return F.when(n > 0, F.concat(F.substring(before, -overlap, overlap), F.lit(SEPARATOR))).otherwise("")
+
+        return F.transform(found, lambda g, n: let(prefix(n), lambda p: one(p, g, n)))
+
+    return let(groups(blocks, size, strategy == "heading"), all_of)
+
+
 def chunks(rows: DataFrame, strategy: str = "size", size: int = 2000, overlap: int = 0, blocks: str = "blocks") -> DataFrame:
-    """One row per chunk: the other columns, n, chunk_id, text, markdown, block_ordinals, structural_hash, char_start, char_end.
+    """One row per chunk: the other columns, n, chunk_id, text, markdown, block_ordinals, structural_hash, char_start, char_end, token_estimate.
 
     ``strategy`` is none (no rows), size or heading. With ``overlap`` a chunk begins with the last characters of the
     chunk before, as it was without overlap, and a separator; its start shifts by that length.
     """
-    validate(size, overlap)
     rest = [c for c in rows.columns if c != blocks]
     if strategy == "none":
         rows = rows.where(F.lit(False))
-    found = rows.withColumn("_groups", groups(F.col(blocks), size, strategy == "heading"))
-    found = found.select(*rest, blocks, "_groups", F.posexplode("_groups").alias("n", "_g"))
-
-    def joined(group: Column, field: str, between: str) -> Column:
-        return F.array_join(F.transform(F.slice(F.col(blocks), group["first"] + 1, group["count"]), lambda b: b[field]), between)
-
-    prefix = F.lit("")
-    if overlap:
-        before = joined(F.element_at("_groups", F.greatest(F.col("n"), F.lit(1))), "text", "\n\n")
-        prefix = F.when(F.col("n") > 0, F.concat(F.substring(before, -overlap, overlap), F.lit(SEPARATOR))).otherwise("")
-    found = found.withColumn("_prefix", prefix)
-    return found.select(
-        *rest,
-        "n",
-        F.concat(F.lit("chunk-"), (F.col("n") + 1).cast("string")).alias("chunk_id"),
-        F.concat("_prefix", joined(F.col("_g"), "text", "\n\n")).alias("text"),
-        F.concat("_prefix", joined(F.col("_g"), "markdown", "\n\n")).alias("markdown"),
-        F.sequence(F.col("_g.first"), F.col("_g.first") + F.col("_g.count") - 1).alias("block_ordinals"),
-        F.concat(F.lit("sha256:"), F.sha2(joined(F.col("_g"), "structural_hash", "\n"), 256)).alias("structural_hash"),
-        F.greatest(F.lit(0), F.col("_g.start") - F.length("_prefix")).alias("char_start"),
-        (F.col("_g.start") + F.col("_g.length")).alias("char_end"),
-    )
+    return rows.select(*rest, F.explode(chunk_array(F.col(blocks), strategy, size, overlap)).alias("_c")).select(*rest, "_c.*")
 
 
 def line_blocks(text: Column) -> Column:

@@ -111,21 +111,22 @@ def parsed(pages: DataFrame, rules: Column | None = None, **same) -> DataFrame:
 
 
 def documents(
-    pages: DataFrame, block_threshold: Column | float = 0.7, warn_threshold: Column | float = 0.4, advanced: bool = False, custom: list[tuple[str, float, str]] = (), rules: Column | None = None, keep: tuple[str, ...] = (), **same
+    pages: DataFrame, block_threshold: Column | float = 0.7, warn_threshold: Column | float = 0.4, advanced: bool = False, custom: list[tuple[str, float, str]] = (), rules: Column | None = None, keep: tuple[str, ...] = (),
+    patterns: list[tuple[str, float, str]] = V.INJECTION_PATTERNS, keyword_rules: list[tuple] = V.KEYWORD_RULES, **same,
 ) -> DataFrame:
     """page_id, url, title, Markdown, hashes, sizes, tokens, links, score, flags, risk and policy action of each page.
 
     Thresholds may be columns, each page's own; ``rules`` and the names in ``same`` are those of ``parsed``; ``keep``:
     further columns of ``pages`` that the result has. ``advanced`` lets keyword rules count; ``custom``: a user's
-    patterns, from ``guards.custom_patterns``.
+    patterns, from ``guards.custom_patterns``; ``patterns`` and ``keyword_rules``: others instead of the fixed ones.
     """
     limits = {"__block": block_threshold, "__warn": warn_threshold}
     given = pages.withColumns({k: x if isinstance(x, Column) else F.lit(float(x)) for k, x in limits.items()})
     block, warn = F.col("__block"), F.col("__warn")
     rows = parsed(given, rules, **same).select("page_id", "url", "html", *keep, *limits, "page.*")
     hidden = F.coalesce(F.col("removed_hidden"), F.lit(0)) > 0
-    scanned = S.scanned(rows, patterns=[*V.INJECTION_PATTERNS, *custom])
-    rows = S.scored(scanned, hidden, advanced, block=block, warn=warn, custom=list(custom))
+    scanned = S.scanned(rows, patterns=[*patterns, *custom], rules=keyword_rules)
+    rows = S.scored(scanned, hidden, advanced, patterns, block=block, warn=warn, custom=list(custom), rules=keyword_rules)
     changed = F.coalesce(F.col("rules_changed"), F.lit(0)) > 0
     rows = rows.withColumn("flags", F.array_compact(F.concat("flags", F.array(F.when(changed, F.lit("domain_rules_applied"))))))
     action = S.action(F.col("injection_score"), block, warn)
@@ -219,7 +220,12 @@ def _declared(root: D.Node) -> dict:
 
 
 def metadata(pages: DataFrame) -> DataFrame:
-    """page_id and the metadata that a page declares: meta elements, linked data, canonical address, language, kind.
+    """page_id and ``with_metadata``'s fields."""
+    return with_metadata(pages.select("page_id", "url", "html")).select("page_id", "metadata.*")
+
+
+def with_metadata(pages: DataFrame) -> DataFrame:
+    """The input with a column ``metadata``: meta elements, linked data, canonical address, language, kind of a page.
 
     The canonical address is the first that a link or og:url gives which resolves to a web address, or else the page's
     own. A page that can't be read has a row with ``error``, null otherwise, and its own address.
@@ -230,11 +236,12 @@ def metadata(pages: DataFrame) -> DataFrame:
     def run(html: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_metadata(h) for h in html], columns=names, index=html.index).astype(object).where(lambda x: x.notna(), None)
 
-    rows = pages.select("page_id", "url", run("html").alias("m")).select("page_id", "url", "m.*")
-    base = R.parts(R.effective_base(F.coalesce("url", F.lit("")), F.col("base_href")))
-    urls = R.let(base, lambda b: F.transform("canonical", lambda x: R.resolved(b, x)))
+    rows = R.held(pages, "__said", run("html"))
+    base = R.parts(R.effective_base(F.coalesce("url", F.lit("")), F.col("__said.base_href")))
+    urls = R.let(base, lambda b: F.transform("__said.canonical", lambda x: R.resolved(b, x)))
     found = F.coalesce(F.get(F.filter(urls, R.is_web), F.lit(0)), F.col("url"))
-    return rows.select("page_id", *(found.alias("canonical_url") if n == "canonical" else F.col(n) for n in names if n != "base_href"))
+    fields = [found.alias("canonical_url") if n == "canonical" else F.col(f"__said.{n}").alias(n) for n in names if n != "base_href"]
+    return R.held(rows, "metadata", F.struct(*fields)).drop("__said")
 
 
 def security_report(docs: DataFrame) -> DataFrame:

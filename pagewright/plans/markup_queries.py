@@ -129,13 +129,24 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (made_markdown, main_contents, style_values, policy_documents)}
+def configured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON under a profile with a rule file and weights of a user's own: what of it is there."""
+    rules = 'rule Menu { meta: severity = "high" category = "own" keywords: $a = "enough words" $b = "nowhere" condition: $a and not_used or $b }'
+    config = api.Config.of({"output_profile": "rag_chunkable", "rule_text": rules, "advanced_security": True, "pattern_weights": ((r"\bword5\b", 0.5),), "output_formats": ("metadata", "chunks")})
+    rows = api.serialised(api.ingest(augmented(spark, sf_dir), config), config)
+    said = {"formats": "$.emitted_formats", "author": "$.metadata.author", "language": "$.metadata.language", "mode": "$.mode", "chunk": "$.chunks[0].chunk_id", "table": "$.blocks[*].block_type"}
+    got = rows.select("page_id", *(F.get_json_object("document_json", path).alias(name) for name, path in said.items()))
+    return got.select("page_id", "formats", "language", "mode", "chunk", F.contains("table", F.lit('"table"')).alias("has_table"))
+
+
+QUERIES = {f.__name__: f for f in (configured_documents, made_markdown, main_contents, style_values, policy_documents)}
 
 _KEPT = "length(regexp_replace(text, '\\s', '', 'g'))"
 _SIZE = len(_SENTENCE.replace(" ", ""))
 _HIDDEN = ", ".join("1" if hidden else "0" for _, hidden in STYLES)
 
 ORACLE_SQL = {
+    "configured_documents": """SELECT page_id, '["metadata","chunks","markdown","blocks","security"]' AS formats, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, 'auto' AS mode, 'chunk-1' AS chunk, page_id % 3 = 1 AS has_table FROM pages""",
     "made_markdown": rf"""WITH l AS (SELECT doc_id, {_LINES_SQL} AS lines FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS i FROM l)
         SELECT doc_id AS page_id, CAST(0 AS BIGINT) AS ordinal, 'heading' AS block_type, '# Page' AS markdown FROM l UNION ALL
         SELECT doc_id, CAST(i + 1 AS BIGINT), ['paragraph', 'quote', 'list', 'code', 'table'][i % 5 + 1], replace(CASE i % 5 WHEN 0 THEN x WHEN 1 THEN '> > ' || x || '~>~> out **' || i || '**'

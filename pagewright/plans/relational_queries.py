@@ -148,7 +148,9 @@ def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.explode(R.retry_schedule(8, 30, 180)).alias("x")).select("x.*")
+    """Of each request, which is in one of eight attempts, how long it may take and how long it waits before."""
+    attempt = (F.col("index") % 8).cast("int")
+    return _outcomes(spark, sf_dir).select("index", F.get(R.retry_schedule(8, 30, 180), attempt).alias("x")).select("index", "x.*")
 
 
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +255,7 @@ ORACLE_SQL = {
     "scenario_allocation": f"WITH {_OUT} SELECT CASE WHEN index % 8 < 5 THEN 'fast' WHEN index % 8 < 7 THEN 'render' ELSE 'strict' END AS scenario, count(*) AS n, count(*) FILTER (WHERE ok) AS ok FROM o GROUP BY ALL",
     "host_slot_window": f"WITH {_OUT}, n AS (SELECT index, client % 50 AS host, t, row_number() OVER (PARTITION BY client % 50 ORDER BY t, index) - 1 AS n FROM o) SELECT index, CAST(host AS BIGINT) AS host, CAST(max(t - n * 600) OVER (PARTITION BY host ORDER BY n ROWS UNBOUNDED PRECEDING) + n * 600 AS BIGINT) AS slot FROM n",
     "rate_limit_window": f"WITH {_OUT}, c AS (SELECT index, client % 20 AS client, t FROM o), w AS (SELECT index, client, count(*) OVER (PARTITION BY client ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS calls FROM c) SELECT index, client, calls, calls > 3 AS limited FROM w",
-    "retry_schedule": "SELECT CAST(n AS INTEGER) AS attempt, CAST(least(180, 30 + n * 30) AS INTEGER) AS timeout, CAST(least(pow(2, n), 60) AS INTEGER) AS wait FROM range(8) AS r(n)",
+    "retry_schedule": f"WITH {_OUT} SELECT index, CAST(index % 8 AS INTEGER) AS attempt, CAST(least(180, 30 + index % 8 * 30) AS INTEGER) AS timeout, CAST(least(pow(2, index % 8), 60) AS INTEGER) AS wait FROM o",
     "retry_after": f"WITH {_OUT}, d AS (SELECT DISTINCT CAST(index % 2 * 74 + 429 AS INTEGER) AS status, CAST(index % 5 AS INTEGER) AS attempt FROM o) SELECT status, attempt, CASE WHEN status = 429 THEN least(CAST(10 AS DOUBLE), 1.5 * pow(2, attempt)) ELSE least(CAST(2 AS DOUBLE), CAST(0.5 AS DOUBLE) * (attempt + 1)) END AS seconds FROM d",
     "report_filenames": f"WITH {_OUT}, s AS (SELECT index, strftime(to_timestamp((t // 86400) * 86400) AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ') || '-h' || (client % 50) AS stem FROM o), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY index) AS n FROM s) SELECT index, stem || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.json' AS name FROM n",
     "fast_vs_render_winner": f"WITH {_OUT}, f AS (SELECT url, max(ms) AS fast_tokens FROM o WHERE mode = 'fast' GROUP BY url), r AS (SELECT url, max(ms) AS render_tokens FROM o WHERE mode = 'render' GROUP BY url) SELECT url, fast_tokens, render_tokens, CASE WHEN render_tokens >= fast_tokens + greatest(1, CAST(floor(fast_tokens / 10) AS BIGINT)) THEN 'render' ELSE 'fast' END AS winner FROM f JOIN r USING (url)",

@@ -96,9 +96,12 @@ _THRESHOLD_SQL = f"""
 
 
 def policy_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = presets(spark).select("policy_name", F.explode(F.array(F.lit(False), F.lit(True))).alias("strict"), "block", "warn")
-    limits = kinds.select("policy_name", "strict", S.thresholds(F.col("block"), F.col("warn"), F.col("strict")).alias("x"))
-    return limits.select("policy_name", "strict", _round6(F.col("x.block")).alias("block_millionths"), _round6(F.col("x.warn")).alias("warn_millionths"))
+    """Limits that customers set, some missing, out of range or the wrong way round, made safe."""
+    id_ = F.col("c_custkey")
+    block = F.when(id_ % 11 > 0, (id_ % 130) / 100.0)
+    warn = F.when(id_ % 7 > 0, (id_ % 90) / 100.0 - 0.1)
+    rows = read(spark, sf_dir, "customer").select("c_custkey", S.thresholds(block, warn, id_ % 3 == 0).alias("x"))
+    return rows.select("c_custkey", _round6(F.col("x.block")).alias("block_millionths"), _round6(F.col("x.warn")).alias("warn_millionths"))
 
 
 def rule_scan_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +197,11 @@ ORACLE_SQL = {
     "pattern_counts_augmented": f"WITH {_scored_sql()} SELECT pattern, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM ({_PAT_SQL}) WHERE n > 0 GROUP BY pattern",
     "imperative_density": f"WITH {_scored_sql()} SELECT doc_id, CAST(floor(density * 1e6 + 0.5) AS BIGINT) AS density_millionths FROM r",
     "risk_policy_matrix": f"WITH {_scored_sql()}, {_THRESHOLD_SQL} SELECT policy_name, strict, risk_level, CASE WHEN score >= block THEN 'block' WHEN score >= warn THEN 'warn' ELSE 'allow' END AS policy_action, count(*) AS documents FROM r CROSS JOIN l GROUP BY ALL",
-    "policy_thresholds": f"WITH {_THRESHOLD_SQL} SELECT policy_name, strict, CAST(floor(block * 1e6 + 0.5) AS BIGINT) AS block_millionths, CAST(floor(warn * 1e6 + 0.5) AS BIGINT) AS warn_millionths FROM l",
+    "policy_thresholds": """WITH g AS (SELECT c_custkey, c_custkey % 3 = 0 AS strict, coalesce(least(1, greatest(0, CASE WHEN c_custkey % 11 > 0 THEN CAST(c_custkey % 130 AS DOUBLE) / 100 END)), 1) AS block,
+            coalesce(CASE WHEN c_custkey % 7 > 0 THEN least(1, greatest(0, CAST(c_custkey % 90 AS DOUBLE) / 100 - CAST(0.1 AS DOUBLE))) END, CAST(0.5 AS DOUBLE)) AS warn,
+            CASE WHEN c_custkey % 11 > 0 THEN 1 ELSE 0 END AS set FROM customer),
+        c AS (SELECT c_custkey, CASE WHEN set = 0 THEN CASE WHEN strict THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END WHEN strict THEN least(block, CAST(0.5 AS DOUBLE)) ELSE block END AS block, CASE WHEN strict THEN least(warn, CAST(0.3 AS DOUBLE)) ELSE warn END AS warn FROM g)
+        SELECT c_custkey, CAST(floor(block * 1000000 + 0.5) AS BIGINT) AS block_millionths, CAST(floor(CASE WHEN warn >= block THEN CASE WHEN block > CAST(0.01 AS DOUBLE) THEN block - CAST(0.01 AS DOUBLE) WHEN block > 0 THEN block * CAST(0.9 AS DOUBLE) ELSE 0 END ELSE warn END * 1000000 + 0.5) AS BIGINT) AS warn_millionths FROM c""",
     "rule_scan_augmented": f"SELECT doc_id, array_to_string(rules, ',') AS rules, CAST(len(rules) AS BIGINT) AS n_rules FROM (SELECT doc_id, list_filter([{_RULES_SQL}], lambda x: x IS NOT NULL) AS rules FROM (SELECT doc_id, {AUGMENTED_SQL} AS t FROM documents)) WHERE len(rules) > 0",
     "pattern_merge_augmented": f"WITH f AS (SELECT doc_id, {FOLDED_SQL} AS t FROM documents) SELECT doc_id, pattern, CAST(sum(n) AS BIGINT) AS occurrences, max(weight) AS weight FROM ({_MERGE_SQL}) WHERE n > 0 GROUP BY ALL",
     "ascii_fold": "SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents",

@@ -51,10 +51,26 @@ def test_profiles_and_serialised_documents(spark):
         api.Config.of({"colour": 1})
     docs = api.ingest(pages(spark, ("https://a.org/", "")))
     whole = json.loads(api.serialised(docs, config).first()["document_json"])
-    assert whole["emitted_formats"] == ["markdown", "blocks", "security"] and whole["markdown"]
+    assert whole["emitted_formats"] == ["markdown", "blocks", "chunks", "security"] and whole["markdown"] and whole["chunks"][0]["token_estimate"] > 5
     assert "markdown" not in json.loads(api.serialised(docs, config, content=False).first()["document_json"])
 
 
+def test_settings_take_effect(spark):
+    """Metadata and mode come into the document, links leave it, weights and rules of a user's own count."""
+    given = pages(spark, ("https://a.org/", "<p>jailbreak and xyzzy with plugh</p><a href='/x'>l</a>"))
+    rules = 'rule Own { meta: severity = "high" category = "mine" keywords: $a = "xyzzy" $b = "plugh" condition: $a and $b }'
+    config = api.Config.of({"extract_metadata": True, "extract_links": False, "mode": "fast", "rule_text": rules, "advanced_security": True, "pattern_weights": ((r"\bjailbreak\b", 0.25), ("xyzzy", 0.1)), "chunking": "size", "chunk_size": 60})
+    row = api.ingest(given, config).first()
+    assert row["mode"] == "fast" and row["metadata"]["canonical_url"] == "https://a.org/" and "internal" not in row.asDict()
+    assert row["basic_score"] == 0.25 and {"rule:Own", "category:mine"} <= set(row["flags"])
+    whole = json.loads(api.serialised(api.ingest(given, config), config).first()["document_json"])
+    assert whole["emitted_formats"] == ["markdown", "blocks", "chunks", "metadata", "security"] and [c["n"] for c in whole["chunks"]] == list(range(len(whole["chunks"]))) and len(whole["chunks"]) > 1
+    assert api.ingest(given).first()["basic_score"] > 0.8
+    for bad in ({"mode": "slow"}, {"pattern_weights": (("(a+)+", 0.5),)}, {"rule_text": "rule X {"}):
+        with pytest.raises(ValueError):
+            api.Config.of(bad)
+
+
 @pytest.mark.parametrize("pattern,unsafe", [("(a+)+", True), ("(a|aa)+", True), (".*.*", True), ("(a?){3,}", True), (r"\\bsafe\\s+words?\\b", False), ("(a|b)+", False)])
 def test_backtracking(pattern, unsafe):
     assert G.may_backtrack(pattern) is unsafe
