@@ -96,6 +96,9 @@ BLOCKED_RANGES = (
 BLOCKED_RANGES_V6 = "::/3 2001::/23 2001:db8::/32 2002::/16 3fff::/20 4000::/2 8000::/1".split()
 PUBLIC_RANGES_V6 = "2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
 
+# Schemes that a browser resolves itself.
+BROWSER_SCHEMES = ("about", "blob", "data")
+
 # Hosts and paths of trackers and adverts.
 TRACKER_HOSTS = (
     "google-analytics.com googletagmanager.com facebook.net scorecardresearch.com quantserve.com hotjar.com "

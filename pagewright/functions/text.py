@@ -18,11 +18,6 @@ from pagewright.functions.fixed import DIRECTION_MARKS, LOOKALIKE_PAIR, LOOKALIK
 DECODE_ROUNDS = 10
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 class _Folds(dict):
     """What each character becomes, found when it is met first: compatibility form, decomposed, without what isn't ASCII.
 

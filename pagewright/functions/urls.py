@@ -86,24 +86,3 @@ def ipv4_value(text: Column) -> Column:
     each = [F.element_at(octets, i + 1).try_cast("bigint") for i in range(4)]
     fine = text.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
     return F.when(fine, each[0] * 16777216 + each[1] * 65536 + each[2] * 256 + each[3])
-
-
-def resource_block(kind: Column, url: Column) -> Column:
-    """(blocked, matched): whether a page's resource is left out, and the name that decided it."""
-    name, where = host(url), F.concat(F.when(path(url) == "", "/").otherwise(path(url)), F.when(query(url) == "", "").otherwise(F.concat(F.lit("?"), query(url))))
-    labels = F.split(name, r"\.")
-
-    def by_host(hosts: list[str]) -> Column:
-        return F.coalesce(*[F.when((name == h) | name.endswith(f".{h}"), h) for h in hosts])
-
-    facebook = F.when(((name == "facebook.com") | name.endswith(".facebook.com")) & ((path(url) == "/tr") | path(url).startswith("/tr/")), "facebook.com/tr")
-    tracker = F.coalesce(
-        by_host(V.TRACKER_HOSTS),
-        facebook,
-        *[F.when(F.array_contains(labels, x), f"{x}.") for x in V.TRACKER_LABELS],
-        *[F.when(F.contains(where, F.lit(p)), p) for p in V.TRACKER_PATHS],
-    )
-    advert = F.coalesce(by_host(V.AD_HOSTS), *[F.when(F.array_contains(labels, x), f"{x}.") for x in V.AD_LABELS])
-    matched = F.coalesce(tracker, advert)
-    by_kind = kind.isin("image", "font", "media")
-    return F.struct((by_kind | matched.isNotNull() | (name == "")).alias("blocked"), F.when(~by_kind, matched).alias("matched"))

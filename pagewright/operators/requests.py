@@ -147,3 +147,14 @@ def scenario_of(index: Column, weights: list[tuple[str, int]]) -> Column:
         upto += w
         out = F.when(rest < upto, name) if out is None else out.when(rest < upto, name)
     return out
+
+
+def campaign(outcomes: DataFrame) -> DataFrame:
+    """By scenario, and over all of them in a row of a null scenario: requests, what came of them, seconds, requests a second.
+
+    ``outcomes``: scenario, ok, warned, t. A second of no length gives no rate.
+    """
+    rows = outcomes.rollup("scenario").agg(
+        F.count("*").alias("processed"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("errors"), F.count_if(F.col("ok") & F.col("warned")).alias("warnings"), (F.max("t") - F.min("t")).alias("seconds")
+    )
+    return rows.withColumn("per_second", F.when(F.col("seconds") > 0, F.col("processed") / F.col("seconds")))

@@ -137,6 +137,12 @@ def scenario_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcomes(spark, sf_dir).groupBy(name.alias("scenario")).agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
 
 
+def campaign_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = R.scenario_of(F.col("index"), [("fast", 5), ("render", 2), ("strict", 1)])
+    rows = R.campaign(_outcomes(spark, sf_dir).select(name.alias("scenario"), "ok", (F.col("index") % 9 == 0).alias("warned"), "t"))
+    return rows.select("scenario", "processed", "ok", "errors", "warnings", F.col("seconds").cast("bigint").alias("seconds"), F.floor(F.col("per_second") * 1e9).cast("bigint").alias("per_second_billionths"))
+
+
 def host_slot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _outcomes(spark, sf_dir).select("index", F.expr("cast(client % 50 as bigint)").alias("host"), "t")
     return R.host_slots(rows, 600).select("index", "host", F.col("slot").cast("bigint").alias("slot"))
@@ -230,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         leader_follower, follower_results, cache_hit_semi, cache_miss_anti, cache_upsert, lru_top_n, batch_summary, errors_by_url, error_classes, mode_stats,
-        benchmark_stats, counters, job_latest_state, job_illegal_moves, job_ttl_visibility, active_jobs, scenario_allocation, host_slot_window, rate_limit_window,
+        benchmark_stats, counters, job_latest_state, job_illegal_moves, job_ttl_visibility, active_jobs, scenario_allocation, campaign_totals, host_slot_window, rate_limit_window,
         retry_schedule, retry_after, report_filenames, fast_vs_render_winner, batch_rows, resume_pending, chunk_offsets,
     )
 } | {"chunk_size": chunk_size, "chunk_heading": chunk_heading, "chunk_overlap": chunk_overlap}
@@ -253,6 +259,7 @@ ORACLE_SQL = {
     "job_ttl_visibility": f"WITH {_OUT}, {_JOBS}, {_STATE} SELECT job_id, status FROM s WHERE status IN ('queued', 'running') OR 1707000000 <= ts + (job_id % 9) * 86400",
     "active_jobs": f"WITH {_OUT}, {_JOBS}, {_STATE} SELECT count(*) FILTER (WHERE status IN ('queued', 'running')) AS active, count(*) FILTER (WHERE status = 'queued') AS pending FROM s",
     "scenario_allocation": f"WITH {_OUT} SELECT CASE WHEN index % 8 < 5 THEN 'fast' WHEN index % 8 < 7 THEN 'render' ELSE 'strict' END AS scenario, count(*) AS n, count(*) FILTER (WHERE ok) AS ok FROM o GROUP BY ALL",
+    "campaign_totals": f"WITH {_OUT}, s AS (SELECT *, CASE WHEN index % 8 < 5 THEN 'fast' WHEN index % 8 < 7 THEN 'render' ELSE 'strict' END AS scenario FROM o) SELECT scenario, count(*) AS processed, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS errors, count(*) FILTER (WHERE ok AND index % 9 = 0) AS warnings, CAST(max(t) - min(t) AS BIGINT) AS seconds, CAST(floor(CAST(count(*) AS DOUBLE) / (max(t) - min(t)) * 1e9) AS BIGINT) AS per_second_billionths FROM s GROUP BY ROLLUP (scenario)",
     "host_slot_window": f"WITH {_OUT}, n AS (SELECT index, client % 50 AS host, t, row_number() OVER (PARTITION BY client % 50 ORDER BY t, index) - 1 AS n FROM o) SELECT index, CAST(host AS BIGINT) AS host, CAST(max(t - n * 600) OVER (PARTITION BY host ORDER BY n ROWS UNBOUNDED PRECEDING) + n * 600 AS BIGINT) AS slot FROM n",
     "rate_limit_window": f"WITH {_OUT}, c AS (SELECT index, client % 20 AS client, t FROM o), w AS (SELECT index, client, count(*) OVER (PARTITION BY client ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS calls FROM c) SELECT index, client, calls, calls > 3 AS limited FROM w",
     "retry_schedule": f"WITH {_OUT} SELECT index, CAST(index % 8 AS INTEGER) AS attempt, CAST(least(180, 30 + index % 8 * 30) AS INTEGER) AS timeout, CAST(least(pow(2, index % 8), 60) AS INTEGER) AS wait FROM o",

@@ -9,6 +9,7 @@ from pagewright.functions import addresses as A
 from pagewright.functions import dom as D
 from pagewright.functions import fixed as V
 from pagewright.functions import resolution as R
+from pagewright.functions import resources as Z
 from pagewright.functions import urls as U
 from pagewright.operators.policies import first_policy
 from pagewright.plans.augment import read
@@ -108,10 +109,19 @@ def resource_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     url = F.concat(F.lit("https://"), F.element_at(F.array(*[F.lit(x) for x in hosts]), (F.col("page_id") % 8 + 1).cast("int")))
     kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("page_id") % 5 + 1).cast("int"))
-    rows = pages.select(kind.alias("resource_type"), U.resource_block(kind, url).alias("x"))
+    rows = pages.select(kind.alias("resource_type"), Z.decision(kind, url).alias("x"))
     return rows.groupBy("resource_type", F.col("x.matched").alias("matched")).agg(F.count("*").alias("requests"), F.count_if("x.blocked").alias("blocked"))
 
 
+def resource_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources of pages, one of each reason, of which most have several: the first in order counts."""
+    urls = ["ftp://ads.example.com/a", "https://hotjar.com/a", "https://x.own.example/pixel/1", "https://www.hotjar.com/a", "https://ads.example.com/a", "http://[::ffff:10.0.0.1]/x", "data:text/plain,x", "https://example.com/a"]
+    url = F.element_at(F.array(*map(F.lit, urls)), (F.col("page_id") % 8 + 1).cast("int"))
+    kind = F.when(F.col("page_id") % 8 == 1, "image").otherwise("script")
+    rows = read(spark, sf_dir, "pages").select("page_id", Z.decision(kind, url, custom=("OWN.example.",)).alias("x"))
+    return rows.select("page_id", "x.blocked", "x.matched", "x.reason")
+
+
 def page_title_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     lang = F.lower(F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]*)"', 1))
@@ -220,7 +230,7 @@ _LINKS_SQL = f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s
 QUERIES = {
     f.__name__: f
     for f in (
-        url_identity, tracking_params, url_nonhtml_auth, ssrf_check, cidr_range_join, address_ranges, domain_policy_join, resource_block_stats, page_title_lang, page_links, resolved_links,
+        url_identity, tracking_params, url_nonhtml_auth, ssrf_check, cidr_range_join, address_ranges, domain_policy_join, resource_block_stats, resource_decisions, page_title_lang, page_links, resolved_links,
         links_by_domain, removed_tag_counts, meta_regex, token_savings, host_round_robin, host_soft_cap, unique_urls_first_seen, url_drop_reasons,
     )
 }
@@ -242,6 +252,8 @@ ORACLE_SQL = {
     "resource_block_stats": """WITH r AS (SELECT ['script', 'image', 'font', 'xhr', 'media'][page_id % 5 + 1] AS resource_type,
         ['google-analytics.com', 'hotjar.com', NULL, 'ads.', '/pixel/', 'facebook.com/tr', NULL, 'criteo.com'][page_id % 8 + 1] AS m FROM pages)
         SELECT resource_type, CASE WHEN resource_type IN ('image', 'font', 'media') THEN NULL ELSE m END AS matched, count(*) AS requests, count(*) FILTER (WHERE resource_type IN ('image', 'font', 'media') OR m IS NOT NULL) AS blocked FROM r GROUP BY ALL""",
+    "resource_decisions": """SELECT page_id, page_id % 8 < 6 AS blocked, [NULL, NULL, 'own.example', 'hotjar.com', 'ads.', NULL, NULL, NULL][page_id % 8 + 1] AS matched,
+        ['scheme', 'kind', 'custom', 'tracker', 'advert', 'address', NULL, NULL][page_id % 8 + 1] AS reason FROM pages""",
     "page_title_lang": "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, string_split(string_split(lower(regexp_extract(html, '(?i)<html[^>]*\\blang=\"([^\"]*)\"', 1)), ',')[1], '-')[1] AS lang FROM pages",
     "page_links": _LINKS_SQL + " SELECT page_id, position, target, kind FROM k",
     "links_by_domain": _LINKS_SQL + f" SELECT {HOST_SQL.replace('url', 'target')} AS host, count(DISTINCT page_id || ' ' || target) AS links, count(DISTINCT page_id) AS pages FROM k WHERE kind IN ('internal', 'external') GROUP BY 1",

@@ -42,7 +42,3 @@ def write_markdown(docs: DataFrame, path: str) -> None:
 def write_batch_json(docs: DataFrame, path: str) -> None:
     """A JSON line for each page, results and errors alike."""
     docs.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key string, document string, created_at double, expires_at double").parquet(path)

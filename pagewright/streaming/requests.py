@@ -1,4 +1,4 @@
-"""Streams of requests: duplicates, host rates, circuit breakers, windows.
+"""Streams of requests: host rates, circuit breakers, windows.
 
 State lives per key in Spark's state store. Times are the events' own, never the clock. The batch forms of the same
 rules are in ``operators.requests`` and below, so a stream's result can be held against them.
@@ -17,11 +17,6 @@ SLOT = "host string, index long, t double, slot double"
 BREAKER = "host string, index long, t double, ok boolean, admitted boolean, failures int, open_until double"
 
 
-def deduplicated(requests: DataFrame, key: str = "request_key", at: str = "ts", delay: str = "15 minutes") -> DataFrame:
-    """The first request of each key; keys are forgotten ``delay`` after they were seen."""
-    return requests.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
-
-
 def tumbling(events: DataFrame, key: str, width: str = "1 day", delay: str = "1 day", at: str = "ts") -> DataFrame:
     windows = events.withWatermark(at, delay).groupBy(F.window(at, width).alias("w"), key)
     return windows.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
