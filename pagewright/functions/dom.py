@@ -29,6 +29,8 @@ CONTENT_WORDS = frozenset("article body content entry main page post story text"
 ASIDE_WORDS = frozenset("ad ads advert banner breadcrumb comment comments cookie footer menu nav newsletter pagination promo related share sidebar social sponsor widget".split())
 #: Elements that count as paragraphs, from so many characters on; what an article has at least.
 SCORED, LEAST_SCORED, LEAST_CONTENT = frozenset("p pre td blockquote li dd".split()), 25, 50
+#: Commas that count in one paragraph.
+MOST_COMMAS = 10
 #: Elements that are part of an article, never its whole.
 WITHIN = frozenset("p pre blockquote ul ol li dl dt dd table tbody thead tfoot tr h1 h2 h3 h4 h5 h6 a span b i em strong".split())
 #: Indentation and quote marks before a line end their growth at so many characters, however deep the blocks lie.
@@ -310,7 +312,8 @@ def main_content(root: Node) -> Node:
         size = texts.all.get(id(node), 0)
         if node.tag not in SCORED or size < LEAST_SCORED:
             continue
-        value = 1.0 + min(size // 100, 3) + sum(c.count(",") for c in node.children if isinstance(c, str))
+        commas = sum(c.count(",") for c in node.children if isinstance(c, str))
+        value = 1.0 + min(size // 100, 3) + min(commas, size // 25, MOST_COMMAS)
         up, share = node.parent, 1.0
         while up is not None and up.tag and share >= 0.25:
             if up.tag in WITHIN and up is not body:
@@ -342,7 +345,7 @@ def _belongs(node: Node, final: dict[int, float], texts: _Texts, most: float, to
     size, density = texts.all[id(node)], texts.density(node)
     if size == 0 or node.tag in UNWANTED or _prior(node) <= -25.0:
         return False
-    same = bool(node.attrs.get("class")) and node.attrs.get("class") == top.attrs.get("class")
+    same = node.attrs.get("class") == top.attrs.get("class") and (bool(node.attrs.get("class")) or node.tag == top.tag and node.tag in ("section", "article"))
     if final.get(id(node), 0.0) + (most / 5 if same else 0.0) >= max(10.0, most / 5):
         return True
     if node.tag in ("p", "blockquote"):
