@@ -7,7 +7,7 @@ import pytest
 from pagewright.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents pages benchmark labels conversations".split()
+TABLES = "customer events documents pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
