@@ -85,12 +85,16 @@ def test_an_empty_table(spark, folder):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_covers_its_table(spark, name):
-    """One row for each row of the table, but for searches and pieces."""
+    """One row for each row of the table, but for searches, pieces and the audit, which has one for each part, order and step."""
     got = QUERIES[name](spark, SF)
-    source = "embeddings" if name.startswith("op4") else "pages" if name.startswith(("op5", "op7")) else "documents"
+    source = "embeddings" if name.startswith(("op4", "op11")) else "pages" if name.startswith(("op5", "op7")) else "documents"
     n = spark.read.parquet(f"{SF}/{source}.parquet").count()
     if name.startswith("op4"):
         assert got.select("query_id").distinct().count() == spark.read.parquet(f"{SF}/{source}.parquet").where("vec_id % 50 = 0").count()
+    elif name.startswith("op11"):
+        assert got.select("anchor_id").distinct().count() == spark.read.parquet(f"{SF}/{source}.parquet").where("vec_id % 50 = 0").count()
+    elif name.startswith("op12"):
+        assert got.count() == 600 * spark.read.parquet(f"{SF}/{source}.parquet").select("source").distinct().count()
     elif name.startswith("op8"):
         assert got.select("doc_id").distinct().count() == n
     else:
@@ -102,7 +106,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     wanted = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in wanted.description]
