@@ -22,14 +22,14 @@
 
 Components spread by smallest label with pointer jumping, every round written to the shared folder.
 
-What stays quadratic: members of one list that differ in component are compared inside the join, and pairs whose true
-similarity is just below the threshold reach the exact check; no method that loses no link is known to avoid either.
+What stays quadratic: members of one list that differ in component are compared inside the join, where a long list is
+dealt in parts of ``MEMBERS``, each beside a copy of the list; and pairs whose true similarity is just below the
+threshold reach the exact check. No method that loses no link is known to avoid either.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
-fewer words than the shingle width make one shingle; rows with equal sets are always linked; rows that repeat an id
-share its component; a row with a null id has the smallest id of its component, or null if that has none (as for an
-empty set), and is not kept; a set that only rows with null ids have is linked with no other set; extra columns are not
-read.
+fewer words than the shingle width make one shingle; rows with equal sets are always linked; rows that repeat an id and
+have words share its component, whatever their texts; a row with a null id is linked as others are, has the smallest id
+of its component, or null if that has none (as for an empty set), and is not kept; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ TOP_BIT = np.uint64(1 << 63)
 HEAD = 64
 #: Pairs that meet one copy of a node's text, set or sketch.
 PAIRS = 200
+#: Members of a list in the cross pass that one part of it holds.
+MEMBERS = 2_000
 
 
 def needed(k: int, percent: int, miss: float = MISS) -> int:
@@ -78,9 +80,9 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, width: int, k: int | None) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sketch (its k smallest hashes; None: all).
+    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sketch (its k smallest hashes; None: all), text_hash.
 
-    A third column of ``docs``, text_hash, is carried along.
+    ``docs`` has doc_id, text and text_hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +100,23 @@ def signatures(docs: DataFrame, width: int, k: int | None) -> DataFrame:
                 sizes[r + 1] = len(kept[-1])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
             s1, s2 = (pa.array(mix64(x + n.astype(np.uint64)).view(np.int64)) for x in names)
-            more = [batch.column(2)] if hashed else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), s1, s2, lists, *more], names=["doc_id", "n", "s1", "s2", "sketch", "text_hash"][: 5 + hashed])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), s1, s2, lists, batch.column(2)], names=["doc_id", "n", "s1", "s2", "sketch", "text_hash"])
 
-    hashed = "text_hash" in docs.columns
-    return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, sketch array<long>" + ", text_hash long" * hashed)
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, sketch array<long>, text_hash long")
+
+
+def _row() -> Column:
+    """Which row a set is read from: its id (0 if null) and its text's hash, as rows that repeat an id can differ in text."""
+    return F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+
+
+def _same_id(marked: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows that repeat an id: each with the id's smallest."""
+    sets = marked.where("n > 0 and doc_id is not null").select("doc_id", "s1")
+    several = cut(sets.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
+    out = cut(sets.join(several, "doc_id").where("a <> s1").select("a", F.col("s1").alias("b")).distinct(), "links")
+    remove(marked.sparkSession, several)
+    return out
 
 
 def _list_values(nodes: DataFrame, k: int | None, need: int, percent: int) -> DataFrame:
@@ -149,14 +163,16 @@ def _met(listed: DataFrame, percent: int) -> DataFrame:
     after = F.when(F.col("last_a") <= F.col("last_b"), F.col("after_a")).otherwise(F.col("after_b"))
     common = F.array_intersect("head_a", "head_b")
     by_heads = (100 + percent) * (F.size(common) + after) >= least
-    first = F.coalesce(F.get(common, F.lit(0)) == left["v"], F.lit(True))
-    met = left.join(right, (left["v"] == right["v"]) & (left["label_a"] < right["label_b"]) & by_place & by_heads & first)
+    first = lambda v: F.coalesce(F.get(common, F.lit(0)) == v, F.lit(True))
+    left, many = _dealt(left, "v", "node_a", MEMBERS)
+    right = _copies(right, "v", many)
+    met = left.join(right, (left["v"] == right["v"]) & (left["part"] == right["part"]) & (left["label_a"] < right["label_b"]) & by_place & by_heads & first(left["v"]))
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _dealt(pairs: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs with ``part``, and (key, parts) of the keys that have more than one part of about ``PAIRS`` pairs."""
-    many = pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 1")
+def _dealt(pairs: DataFrame, key: str, other: str, size: int = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """The pairs with ``part``, and (key, parts) of the keys that have more than one part of about ``size`` pairs."""
+    many = pairs.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("parts")).where("parts > 1")
     dealt = pairs.join(many, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int"))
     return dealt.drop("parts"), many
 
@@ -199,14 +215,14 @@ def _still_open(open_nodes: DataFrame, nodes: DataFrame, k: int, need: int, perc
     return shared.where(F.col("c") >= F.least(F.lit(need), F.ceil(F.col("n") * percent / 100))).select("node", "label")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ra and rb are ids of documents that have the sets."""
-    ids = cut(pairs.select(F.col("ra").alias("id")).union(pairs.select(F.col("rb").alias("id"))).distinct(), "ids")
-    _, found = split(docs.withColumnRenamed("doc_id", "id"), ["id"], ids)
-    texts = found.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_set("text").alias("t"))
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ra and rb are the rows (see ``_row``) that have the sets."""
+    keys = cut(pairs.select(F.col("ra").alias("row")).union(pairs.select(F.col("rb").alias("row"))).distinct(), "rows")
+    _, found = split(rows, ["row"], keys)
+    # Rows of one id and hash have one text, of which each task sends one.
+    texts = found.join(keys, "row", "left_semi").groupBy("row").agg(F.first("text").alias("t"))
     joined = _with_both(pairs.select("a", "b", "ra", "rb"), ("ra", texts.toDF("ra", "ta")), ("rb", texts.toDF("rb", "tb")))
-    # An id whose rows differ in text has several texts; any two that link will do.
-    joined = joined.select("a", "b", F.explode("ta").alias("ta"), "tb").select("a", "b", "ta", F.explode("tb").alias("tb"))
+    joined = joined.select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,36 +256,36 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKET
     arrow_rows(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     need = needed(k, percent)
-    own = docs.withColumn("text_hash", F.xxhash64("text")) if hashed else docs
-    marked = cut(signatures(own, width, k), "signatures")
-    nodes = cut(
-        marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).withColumnRenamed("s1", "node"),
-        "classes",
-    )
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    by_row = docs.withColumn("row", _row())
+    marked = cut(signatures(docs, width, k), "signatures")
+    classes = marked.where("n > 0").groupBy("s1", "s2", "n")
+    nodes = cut(classes.agg(F.min("doc_id").alias("smallest"), F.min(_row()).alias("rep"), F.first("sketch").alias("sketch")).withColumnRenamed("s1", "node"), "classes")
+    same_id = _same_id(marked)
     listed = cut(_list_values(nodes, k, need, percent), "lists")
 
     central = listed.groupBy("v").agg(F.max_by("node", F.struct("central", "node")).alias("b"))
     seen = cut(listed.join(central, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "seen")
     nearest_of = lambda pairs: pairs.groupBy("a").agg(F.max_by(F.struct("b", "ra", "rb"), "near").alias("x")).select("a", "x.*")
     star = cut(nearest_of(_estimated(seen, nodes, k, need, percent)), "star")
-    of_star = cut(_verified(star, docs, width, percent), "links")
-    label = connected_components(of_star)
+    of_star = cut(_verified(star, by_row, width, percent), "links")
+    label = connected_components(of_star.unionByName(same_id))
 
     member = listed.join(label, "node", "left").select("v", "node", F.coalesce("label", "node").alias("label"))
     mixed = member.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
     in_mixed = cut(member.join(mixed, "v").select("node", "label").distinct(), "mixed")
     open_nodes = cut(_still_open(in_mixed, nodes, k, need, percent), "open")
-    reps = cut(open_nodes.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")), "reps")
-    full = signatures(split(docs, ["doc_id"], reps)[1], width, None).withColumnRenamed("s1", "node")
+    reps = cut(open_nodes.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("row")), "reps")
+    full = signatures(split(by_row, ["row"], reps)[1], width, None).withColumnRenamed("s1", "node")
     full = cut(full.join(open_nodes, "node").select("node", "n", "sketch", "label").dropDuplicates(["node"]), "sets")
     crossed = cut(_list_values(full, None, need, percent), "crossed")
     paired = cut(_met(crossed, percent), "paired")
     across = cut(_verified_sets(paired, full, k, need, percent), "links")
-    final = connected_components(of_star.unionByName(across))
-    remove(spark, listed, seen, star, of_star, label, in_mixed, open_nodes, reps, full, crossed, paired, across)
+    final = connected_components(of_star.unionByName(across).unionByName(same_id))
+    remove(spark, listed, seen, star, of_star, same_id, label, in_mixed, open_nodes, reps, full, crossed, paired, across)
 
-    reached = nodes.select("node", "s2", "n", "rep").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = reached.groupBy("label").agg(F.min("rep").alias("component_id"))
+    reached = nodes.select("node", "s2", "n", "smallest").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = reached.groupBy("label").agg(F.min("smallest").alias("component_id"))
     by_set = reached.join(smallest, "label").select(F.col("node").alias("s1"), "s2", "n", "component_id")
     # s1 is null for empty sets, which no class has: they are their own component.
     named = ["text_hash"] if hashed else []

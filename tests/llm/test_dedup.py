@@ -1,9 +1,11 @@
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.llm import near_dedup as near_dedup_module
 from pagewright.llm.components import connected_components
 from pagewright.llm.exact_dedup import exact_dedup
 from pagewright.llm.near_dedup import near_dedup, needed
@@ -106,6 +108,38 @@ def test_near_edges(spark):
     assert near_dedup(docs(spark, [long, long + "end"])).select("component_id").distinct().count() == 2
 
 
+def test_near_repeated_and_null_ids(spark):
+    """Rows of one id share its component, and a set's own text is what is compared, whichever row of its id comes first."""
+    rng = random.Random(5)
+    t, u, other = (" ".join(f"w{rng.getrandbits(40)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, t), (5, t), (5, u), (7, u + " more"), (8, other), (8, None), (9, None), (None, other + " end"), (2, "alone"), (None, "nobody")]
+    got = near_dedup(docs(spark, [x for _, x in rows], [i for i, _ in rows])).collect()
+    key = lambda x: (str(x[0]), x[1], str(x[2]))
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=key)
+    expected = [(1, 56, 1, True), (5, 56, 1, False), (5, 56, 1, False), (7, 57, 1, False), (8, 56, 8, True), (8, 0, 8, True), (9, 0, 9, True)]
+    expected += [(None, 57, 8, False), (2, 1, 2, True), (None, 1, None, False)]
+    assert found == sorted(expected, key=key)
+
+
+
+def test_near_deals_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup_module, "MEMBERS", 3)
+    monkeypatch.setattr(near_dedup_module, "PAIRS", 4)
+    texts = corpus(6)
+    got = near_dedup(docs(spark, texts), width=4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute_near(texts, 4, 80)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="the test tables aren't here")
+def test_near_equals_brute_force_on_a_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect())
+    ids = [i for i, _ in rows]
+    expected = [(ids[i], n, ids[c], kept) for i, n, c, kept in brute_near([t for _, t in rows], 4, 80)]
+    got = near_dedup(table, width=4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == expected
+
+
 def test_needed_is_a_tail_bound():
     assert 20 < needed(48, 80) < 30 and needed(48, 100) == 48
 
