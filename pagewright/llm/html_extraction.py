@@ -1,7 +1,9 @@
 """Main text of pages by site style trees.
 
-The element trees of a site's pages are merged: elements with the same path of tags, classes and ids from the root are
-one node, which knows in how many pages it occurs, how often each sequence of children (its style) and each text block
+The element trees of a site's pages are merged: elements with the same path of tags, classes, ids and roles from the root
+are one node (words with digits, and what ``html`` and ``body`` are called, differ from page to page and don't count; a
+node's name is a hash of its parent's name and its own label, so a page takes memory by its elements, however deep they
+lie), which knows in how many pages it occurs, how often each sequence of children (its style) and each text block
 occurs. For a node of m > 1 pages
 
 * presentation importance is the entropy, to base m, of its styles over those pages (1 if every page differs, 0 if all
@@ -33,12 +35,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from pagewright.llm.base import arrow_rows, cut, remove
 
@@ -50,6 +54,8 @@ PRIOR = 1
 NAMED = 0.5
 #: Parts into which the rows of one node of a site, or of one layout, are dealt.
 SALTS = 16
+#: Name of what stands outside all elements.
+ROOT = 0
 #: Nodes (8 bytes each) of all layouts' lists up to which these are broadcast.
 BROADCAST_KEYS = 1_000_000
 
@@ -76,6 +82,7 @@ _CLOSES = {  # an opening tag ends these if they are innermost
 }
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_DIGIT = re.compile(r"\d")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -85,20 +92,27 @@ def _telling(name: str) -> bool:
 
 
 class Block(NamedTuple):
-    node: str  # path of the element that holds the text
-    parent: str
+    node: int  # name of the element that holds the text: a hash of its path
+    parent: int
     named: bool  # the markup names the branch as something other than the article
     text: str
 
 
-def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
+def _name(text: str, parent: int = 0) -> int:
+    """A 63-bit name; of an element, from its label and its parent's name."""
+    return xxh64_intdigest(text, parent) >> 1
+
+
+def parse(html: str) -> tuple[list[Block], dict[int, set[str]]]:
     """The text blocks of a page in order, and for each node the styles (children's sequences) it has in the page."""
     blocks: list[Block] = []
-    styles: dict[str, set[str]] = {}
-    stack: list[tuple[str, str, bool, list[str]]] = [("", "", False, [])]  # tag, path, named, children
+    styles: dict[int, set[str]] = {}
+    stack: list[tuple[str, int, bool, list[str]]] = [("", ROOT, False, [])]  # tag, node, named, children
+    held: Counter[str] = Counter()  # tags in the stack
     words: list[str] = []
     hidden, depth, endless = "", 0, False
     inside: list[str] = []  # blocks open in the hidden element
+    within: Counter[str] = Counter()  # their tags
     ends: dict[str, tuple[int, int]] = {}
 
     def end_of(tag: str) -> tuple[int, int]:
@@ -116,11 +130,12 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            blocks.append(Block(stack[-1][1], stack[-2][1] if len(stack) > 1 else "", stack[-1][2], text))
+            blocks.append(Block(stack[-1][1], stack[-2][1] if len(stack) > 1 else ROOT, stack[-1][2], text))
 
     def pop() -> None:
-        _, path, _, children = stack.pop()
-        styles.setdefault(path, set()).add(" ".join(children))
+        tag, node, _, children = stack.pop()
+        held[tag] -= 1
+        styles.setdefault(node, set()).add(" ".join(children))
 
     at = 0
     while True:
@@ -141,21 +156,26 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
                 depth += -1 if closing else 1
                 hidden = hidden if depth else ""
                 continue
-            if closing and tag in inside:
-                while inside.pop() != tag:
-                    pass
+            if closing and within[tag]:
+                while True:
+                    last = inside.pop()
+                    within[last] -= 1
+                    if last == tag:
+                        break
                 continue
             # It ends with an element around it; if it has no end tag of its own, also at the next block or of its kind.
-            if closing and tag in _BLOCK and any(x[0] == tag for x in stack[1:]) or not closing and endless and (tag in _BLOCK or tag == hidden):
+            if closing and tag in _BLOCK and held[tag] or not closing and endless and (tag in _BLOCK or tag == hidden):
                 hidden = ""
             else:
                 if not closing and tag in _BLOCK and tag not in _VOID:
                     inside.append(tag)
+                    within[tag] += 1
                 continue
         if tag in _HIDDEN or tag in _RAW:
             if not closing and not rest.rstrip().endswith("/"):
                 hidden, depth, endless = tag, 1, unclosed(tag)
                 inside.clear()
+                within.clear()
             continue
         if tag == "br":
             words.append(" ")
@@ -163,7 +183,7 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
             continue
         flush()
         if closing:
-            if any(x[0] == tag for x in stack[1:]):
+            if held[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -171,17 +191,18 @@ def parse(html: str) -> tuple[list[Block], dict[str, set[str]]]:
         while len(stack) > 1 and stack[-1][0] in _CLOSES.get(tag, {"p"}):
             pop()
         names = sorted({x for _, value in _NAMES.findall(rest) for x in re.findall(r"[^\W_]+", value.lower())}) if rest else []
-        label = tag + "".join(f".{x}" for x in names)
+        label = tag + "".join(f".{x}" for x in names if tag not in ("html", "body") and not _DIGIT.search(x))
         stack[-1][3].append(label)
         if tag in _VOID or rest.rstrip().endswith("/"):
             continue
         # A class, id or role tells if all its words do: neither "with-sidebar" nor "ad-free-article" names a sidebar or ad.
         telling = bool(names) and any(_telling(x) for _, value in _NAMES.findall(rest) for x in value.strip("\"'").lower().split())
-        in_article = any(x[0] in ("article", "main") for x in stack)
+        in_article = held["article"] or held["main"]
         named = stack[-1][2] or tag in _NAMED_TAGS or tag == "header" and not in_article or telling
         if tag in _CONTENT:
             named = tag == "article" and stack[-1][2]
-        stack.append((tag, f"{stack[-1][1]}/{label}", named, []))
+        held[tag] += 1
+        stack.append((tag, _name(label, stack[-1][1]), named, []))
     flush()
     while stack:
         pop()
@@ -201,26 +222,21 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     Of each block: its key, which is the node, or ~node (negative) if the markup names the branch; its node's parent; the
     text's hash; the text. Of each node: its name and the hash of its styles.
     """
-    from xxhash import xxh64_intdigest
-
-    name = lambda x: xxh64_intdigest(x) >> 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, parents, features, texts, styled, styles, of_page = [], [], [], [], [], [], []
             at, styled_at = [0], [0]
             for html in batch.column(3).to_pylist():
                 blocks, own = parse(html or "")
-                named = {x: name(x) for x in own}
-                of_page.append(name(html or ""))
+                of_page.append(_name(html or ""))
                 for b in blocks:
-                    keys.append(~named[b.node] if b.named else named[b.node])
-                    parents.append(named[b.parent])
-                    features.append(name(b.text))
+                    keys.append(~b.node if b.named else b.node)
+                    parents.append(b.parent)
+                    features.append(_name(b.text))
                     texts.append(b.text)
                 for node, children in own.items():
-                    styled.append(named[node])
-                    styles.append(name(" | ".join(sorted(children))))
+                    styled.append(node)
+                    styles.append(_name(" | ".join(sorted(children))))
                 at.append(len(keys))
                 styled_at.append(len(styled))
             lists = [(keys, pa.int64(), at), (parents, pa.int64(), at), (features, pa.int64(), at), (texts, pa.string(), at), (styled, pa.int64(), styled_at), (styles, pa.int64(), styled_at)]

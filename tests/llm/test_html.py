@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -200,3 +201,31 @@ def test_a_small_site_uses_its_own_tree(spark, size):
     rows = [(i, f"https://b.example.org/{i}", article(rng)) for i in range(size)]
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u, page(x, "b"), 0) for i, u, x in rows], PAGES)).collect()}
     assert got == {i: "\n\n".join([x[0], *x]) for i, _, x in rows}
+
+
+def test_classes_that_number_pages_do_not_split_nodes(spark):
+    """Body and article are numbered on every page; the repeated block has no telling name, and goes."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(20):
+        own = article(rng)
+        body = "".join(f"<p>{x}</p>" for x in own)
+        html = f'<html class="v{i} day"><body class="post postid-{i} word{"abcdefghijklmnopqrst"[i]}"><div class=low>Contact and imprint</div><article id="post-{i}"><div class=text>{body}</div></article></body></html>'
+        rows.append((i, f"https://c.example.org/{i}", own, html))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u, h, 0) for i, u, _, h in rows], PAGES)).collect()}
+    assert got == {i: "\n\n".join(own) for i, _, own, _ in rows}
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "deep", "<div class='a b'>" * 30_000 + "deep" + "</div></p></nav>" * 30_000, "<svg>" + "<div>" * 50_000 + "</p>" * 50_000 + "</svg>deep"])
+def test_deep_pages(html):
+    """Time and memory follow the number of elements, not their depth."""
+    tracemalloc.start()
+    blocks, styles = H.parse(html)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [b.text for b in blocks] == ["deep"] and len(styles) in (1, 30_001, 100_001) and peak < 200 << 20
+
+
+def test_deep_page_through_spark(spark):
+    rows = [(1, "https://d.example.org/1", "<div>" * 30_000 + "deep", 0), (2, "https://d.example.org/2", "<p>flat</p>", 0)]
+    assert {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()} == {1: "deep", 2: "flat"}
