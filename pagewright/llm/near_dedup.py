@@ -110,9 +110,9 @@ def _row() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
 
 
-def _same_id(marked: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets of rows that repeat an id: each with the id's smallest."""
-    sets = marked.where("n > 0 and doc_id is not null").select("doc_id", "s1")
+def _same_id(marked: DataFrame, wanted: bool) -> DataFrame:
+    """Links (a, b) between the sets of rows that repeat an id: each with the id's smallest; none if not ``wanted``."""
+    sets = marked.where("n > 0 and doc_id is not null" if wanted else "false").select("doc_id", "s1")
     several = cut(sets.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
     out = cut(sets.join(several, "doc_id").where("a <> s1").select("a", F.col("s1").alias("b")).distinct(), "links")
     remove(marked.sparkSession, several)
@@ -248,7 +248,8 @@ def _verified_sets(pairs: DataFrame, sets: DataFrame, k: int, need: int, percent
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
-    ``hashed`` adds text_hash, xxhash64 of the text, which tells apart rows that repeat an id with another text.
+    ``hashed`` adds text_hash, xxhash64 of the text, which tells apart rows that repeat an id with another text; such
+    rows are then linked by their texts alone.
 
     Two documents are linked if 100 * |A and B| >= ``percent`` * |A or B| over their sets of ``width``-word shingles.
     """
@@ -261,7 +262,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKET
     marked = cut(signatures(docs, width, k), "signatures")
     classes = marked.where("n > 0").groupBy("s1", "s2", "n")
     nodes = cut(classes.agg(F.min("doc_id").alias("smallest"), F.min(_row()).alias("rep"), F.first("sketch").alias("sketch")).withColumnRenamed("s1", "node"), "classes")
-    same_id = _same_id(marked)
+    same_id = _same_id(marked, not hashed)
     listed = cut(_list_values(nodes, k, need, percent), "lists")
 
     central = listed.groupBy("v").agg(F.max_by("node", F.struct("central", "node")).alias("b"))

@@ -5,9 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.llm import membership
 from pagewright.llm import near_dedup as near_dedup_module
+from pagewright.llm.base import cut
 from pagewright.llm.components import connected_components
 from pagewright.llm.exact_dedup import exact_dedup
+from pagewright.llm.membership import filter_bits, split
 from pagewright.llm.near_dedup import near_dedup, needed
 
 DOCS = "doc_id long, text string, n long, h string"
@@ -122,6 +125,11 @@ def test_near_repeated_and_null_ids(spark):
 
 
 
+def test_near_hashed_rows_are_linked_by_text_alone(spark):
+    got = near_dedup(docs(spark, ["a b c d e f", "a b c d e f", "u v w x y z"], [1, 5, 5]), hashed=True).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (5, 1, False), (5, 5, True)]
+
+
 def test_near_deals_long_lists(spark, monkeypatch):
     monkeypatch.setattr(near_dedup_module, "MEMBERS", 3)
     monkeypatch.setattr(near_dedup_module, "PAIRS", 4)
@@ -140,6 +148,23 @@ def test_near_equals_brute_force_on_a_table(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == expected
 
 
+def test_filter_grows_with_keys_and_memory():
+    gb = 1 << 30
+    assert filter_bits(0, gb) == 1 << 16 and filter_bits(10_000_000, gb) == 1 << 27
+    assert filter_bits(10_000_000, 64 * gb) >= 32 * 10_000_000 and filter_bits(10**10, 1000 * gb) == 1 << 32
+
+
+@pytest.mark.parametrize("most,passing", [(1 << 32, 600), (1 << 16, 50_000)])
+def test_filter_loses_no_key(spark, monkeypatch, most, passing):
+    """All rows with a key pass, few others while the keys fit, more of them beyond the bound; null keys are keys."""
+    monkeypatch.setattr(membership, "MOST_BITS", most)
+    rows = spark.range(60_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").alias("__held_by"))
+    keys = cut(rows.where("k is null or k % 6 = 0").select("k"), "keys")
+    without, maybe = split(rows, ["k"], keys)
+    assert maybe.where("k is null or k % 6 = 0").count() == 10_000 and without.count() + maybe.count() == 60_000
+    assert maybe.count() - 10_000 < passing and maybe.columns == ["k", "__held_by"]
+
+
 def test_needed_is_a_tail_bound():
     assert 20 < needed(48, 80) < 30 and needed(48, 100) == 48
 
