@@ -10,10 +10,13 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from pagewright.functions import dom as D
 from pagewright.functions import fixed as V
@@ -49,12 +52,32 @@ _KINDS = [
 ]
 
 
-_INVISIBLE = dict.fromkeys(map(ord, ZERO_WIDTH))
+_INVISIBLE = re.compile(f"[{re.escape(ZERO_WIDTH)}]")
+
+#: What a task parses before it hands rows on: so many pages, or fewer of so many bytes. It holds no more at once.
+SLICE_ROWS, SLICE_BYTES = 64, 1 << 20
+
+
+def _sliced(kind: pa.StructType, row: Callable[..., dict], *batches: pa.Array) -> Iterator[pa.Array]:
+    """``row`` of each place in equally long arrays, the first of which holds texts, as arrays of structs in slices."""
+    maps = [f.name for f in kind if pa.types.is_map(f.type)]
+    out: list[dict] = []
+    size = 0
+    for values in zip(*batches, strict=True):
+        plain = [v.as_py() for v in values]
+        found = row(*plain)
+        out.append(found | {m: list(found[m].items()) for m in maps if found.get(m) is not None})
+        size += len(plain[0] or "")
+        if len(out) == SLICE_ROWS or size >= SLICE_BYTES:
+            yield pa.array(out, kind)
+            out, size = [], 0
+    if out:
+        yield pa.array(out, kind)
 
 
 def clean_markdown(markdown: str) -> str:
     """NFC without invisible characters; single blanks outside code, a space after heading marks, one line end at the end."""
-    out = T.normal_lines(unicodedata.normalize("NFC", markdown).translate(_INVISIBLE))
+    out = T.normal_lines(markdown if markdown.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFC", markdown)))
     out = re.sub(r"(?m)^(#{1,6})([^#\s])", r"\1 \2", re.sub(r"(?m)[ \t]+$", "", out))
     return re.sub(r"\n{3,}", "\n\n", out).strip(" ") + "\n"
 
@@ -79,28 +102,31 @@ def _page(html: str | None, rules: dict) -> dict:
         return {"error": f"{type(e).__name__}: {e}"}
 
 
-def _rules(given: dict) -> dict:
+def _rules(given: dict | None) -> dict:
     """A page's rules as lists; a null struct or field has none."""
-    held = {f.split(" ")[0]: given.get(f.split(" ")[0]) for f in RULES.split(", ")}
-    return {k: [] if x is None or isinstance(x, float) else [y for y in x if y] for k, x in held.items()}
+    return {k: [y for y in (given or {}).get(k) or [] if y] for k in (f.split(" ")[0] for f in RULES.split(", "))}
 
 
-def parsed(pages: DataFrame, rules: Column | None = None, **same) -> DataFrame:
+def parsed(pages: DataFrame, rules: Column | None = None, links: bool = True, **same) -> DataFrame:
     """The input with a column ``page``: one parse of each page.
 
     ``rules``: a struct column of ``RULES``, each page's own (null: none); or blocked_selectors, unwrap_selectors,
-    blocked_tags and allowed_tags as values for all pages.
+    blocked_tags and allowed_tags as values for all pages. Without ``links`` none are resolved, and ``page`` has no lists
+    of them.
     """
-    names = [f.split(" ")[0] for f in PAGE.split(", ")]
     if rules is None:
         rules = F.struct(*((F.array(*map(F.lit, same.get(f.split(" ")[0], ()))).cast("array<string>")).alias(f.split(" ")[0]) for f in RULES.split(", ")))
 
-    @F.pandas_udf(PAGE)
-    def run(html: pd.Series, rules: pd.DataFrame) -> pd.DataFrame:
-        own = rules.to_dict("records")
-        return pd.DataFrame([_page(h, _rules(r)) for h, r in zip(html, own, strict=True)], columns=names, index=html.index).astype(object).where(lambda x: x.notna(), None)
+    kind = to_arrow_type(StructType.fromDDL(PAGE))
+
+    @F.arrow_udf(PAGE)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for html, own in batches:
+            yield from _sliced(kind, lambda h, r: _page(h, _rules(r)), html, own)
 
-    out = pages.withColumn("page", run("html", rules))
+    out = R.held(pages, "page", run("html", rules))  # else Spark parses again for a filter of what is exploded
+    if not links:
+        return out.withColumn("page", F.col("page").dropFields("hrefs", "base_href"))
     url = F.coalesce("url", F.lit(""))
     out = R.held(out, "__base", R.effective_base(url, F.col("page.base_href")))
     out = R.held(out, "__links", R.link_lists(F.col("page.hrefs"), F.col("__base"), url))
@@ -232,9 +258,12 @@ def with_metadata(pages: DataFrame) -> DataFrame:
     """
     names = [f.split(" ")[0] for f in METADATA.split(", ")]
 
-    @F.pandas_udf(METADATA)
-    def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_metadata(h) for h in html], columns=names, index=html.index).astype(object).where(lambda x: x.notna(), None)
+    kind = to_arrow_type(StructType.fromDDL(METADATA))
+
+    @F.arrow_udf(METADATA)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for html in batches:
+            yield from _sliced(kind, _metadata, html)
 
     rows = R.held(pages, "__said", run("html"))
     base = R.parts(R.effective_base(F.coalesce("url", F.lit("")), F.col("__said.base_href")))
@@ -253,7 +282,7 @@ def security_report(docs: DataFrame) -> DataFrame:
 
 def compare_extractors(pages: DataFrame) -> DataFrame:
     """Main content against the whole body, a row each: lengths, tokens, headings, links, fences, tables."""
-    main = parsed(pages).select("page_id", F.lit("main").alias("extractor"), "page.markdown")
+    main = parsed(pages, links=False).select("page_id", F.lit("main").alias("extractor"), "page.markdown")
     body = pages.select("page_id", F.lit("body").alias("extractor"), F.trim(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")).alias("markdown"))
     md = F.col("markdown")
     return main.unionByName(body).select(

@@ -1,9 +1,14 @@
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright import api
 from pagewright.functions import dom as D
 from pagewright.operators import chunks as C
+from pagewright.operators import pages as P
+from pagewright.plans import registry
 
 PAGE = """<html lang="en-GB"><head><title>T &amp; t</title><meta name="author" content=" Ann "><script type="application/ld+json">{"@graph":[{"datePublished":"2020-01-02"}]}</script></head>
 <body><nav>menu</nav><article><h1>One</h1><p>First <b>bold</b> <a href="/a?x=1">link</a> and enough words to be the main content of this page.<p>Second
@@ -85,3 +90,20 @@ def test_url_list(spark, tmp_path):
 
     (tmp_path / "u.txt").write_text("https://a/\n\n# no\n  https://b/ \n")
     assert [r["url"] for r in tables.url_list(spark, str(tmp_path / "u.txt")).collect()] == ["https://a/", "https://b/"]
+
+
+@pytest.mark.parametrize("name", ["made_blocks", "made_markdown", "page_blocks", "block_type_counts", "page_chunks", "dom_removed_tags", "attr_sanitize_augmented"])
+def test_pages_are_parsed_once(spark, name):
+    """A filter that Spark infers from an explode doesn't parse every page again."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"EvalPython.*run\(", plan)) == 1
+
+
+def test_tasks_hold_a_slice_of_pages():
+    """Rows go on in slices by number and by size, whatever the batch; none is lost, and their order stays."""
+    kind = pa.struct([("n", pa.int32()), ("m", pa.map_(pa.string(), pa.int32()))])
+    texts = pa.array(["x"] * 1000 + ["y" * P.SLICE_BYTES] * 3 + [None])
+    parts = list(P._sliced(kind, lambda t: {"n": len(t or ""), "m": {"k": 1} if t else None}, texts))
+    assert max(map(len, parts)) == P.SLICE_ROWS and [len(x) for x in parts[-3:]] == [1, 1, 1]
+    assert [r["n"] for x in parts for r in x.to_pylist()] == [1] * 1000 + [P.SLICE_BYTES] * 3 + [0]
+    assert parts[0][0].as_py()["m"] == [("k", 1)] and parts[-1][0].as_py()["m"] is None
