@@ -5,14 +5,16 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from pagewright.functions.fixed import DIRECTION_MARKS, LOOKALIKE_PAIR, LOOKALIKES, SPACES, ZERO_WIDTH
+from pagewright.functions.slices import sliced
 
 #: Rounds of decoding after which a text counts as encoded too deeply.
 DECODE_ROUNDS = 10
@@ -40,14 +42,19 @@ def _fold(text: str, spaces: bool) -> str:
     return _FOLDED[spaces].sub(lambda m: folds[m[0]], text)
 
 
-@F.pandas_udf(StringType())
-def _folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _fold(t, False), na_action="ignore")
+def _texts(batches: Iterator[pa.Array], of: Callable[[str], str]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield from sliced(pa.string(), lambda t: None if t is None else of(t), batch)
 
 
-@F.pandas_udf(StringType())
-def _spaced_and_folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _fold(t, True), na_action="ignore")
+@F.arrow_udf(StringType())
+def _folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _texts(batches, lambda t: _fold(t, False))
+
+
+@F.arrow_udf(StringType())
+def _spaced_and_folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _texts(batches, lambda t: _fold(t, True))
 
 
 def without_zero_width(text: Column) -> Column:
@@ -95,21 +102,25 @@ def decode_once(text: str) -> str:
     return _UTF7.sub(_utf7, text)
 
 
-def _decode(text: str | None) -> tuple[str | None, bool]:
+_DECODED = pa.struct([("text", pa.string()), ("too_deep", pa.bool_())])
+
+
+def _decode(text: str | None) -> dict:
     if text is None:
-        return None, False
+        return {"text": None, "too_deep": False}
     for _ in range(DECODE_ROUNDS):
         after = decode_once(text)
         if after == text:
-            return text, False
+            return {"text": text, "too_deep": False}
         text = after
-    return text, True
+    return {"text": text, "too_deep": True}
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("too_deep", BooleanType())]))
-def decode_fully(text: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("too_deep", BooleanType())]))
+def decode_fully(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The text decoded until nothing changes, and whether that took more rounds than allowed."""
-    return pd.DataFrame([_decode(t) for t in text], columns=["text", "too_deep"])
+    for batch in batches:
+        yield from sliced(_DECODED, _decode, batch)
 
 
 def decoded(text: Column) -> Column:
@@ -158,11 +169,11 @@ def normal_lines(text: str) -> str:
     return "\n".join(out).strip("\n")
 
 
-@F.pandas_udf(StringType())
-def normalised(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def normalised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """NFC, no invisible characters, and ``normal_lines``; null stays null."""
     gone = dict.fromkeys(map(ord, ZERO_WIDTH))
-    return text.map(lambda t: normal_lines(unicodedata.normalize("NFC", t).translate(gone)), na_action="ignore")
+    yield from _texts(batches, lambda t: normal_lines(unicodedata.normalize("NFC", t).translate(gone)))
 
 
 def tokens_about(text: Column) -> Column:

@@ -25,6 +25,7 @@ from pagewright.functions import security as S
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
 from pagewright.functions.fixed import ZERO_WIDTH
+from pagewright.functions.slices import sliced
 
 BLOCK = "struct<block_type:string,level:int,text:string,markdown:string,structural_hash:string,metadata:struct<tag:string,rows:int,columns:int,language:string>>"
 PAGE = (
@@ -54,25 +55,16 @@ _KINDS = [
 
 _INVISIBLE = re.compile(f"[{re.escape(ZERO_WIDTH)}]")
 
-#: What a task parses before it hands rows on: so many pages, or fewer of so many bytes. It holds no more at once.
-SLICE_ROWS, SLICE_BYTES = 64, 1 << 20
 
-
-def _sliced(kind: pa.StructType, row: Callable[..., dict], *batches: pa.Array) -> Iterator[pa.Array]:
-    """``row`` of each place in equally long arrays, the first of which holds texts, as arrays of structs in slices."""
+def _sliced(kind: pa.StructType, row: Callable[..., dict], *columns: pa.Array) -> Iterator[pa.Array]:
+    """``row`` of each row of the columns, as structs: see ``functions.slices``. Arrow takes maps as lists of pairs."""
     maps = [f.name for f in kind if pa.types.is_map(f.type)]
-    out: list[dict] = []
-    size = 0
-    for values in zip(*batches, strict=True):
-        plain = [v.as_py() for v in values]
-        found = row(*plain)
-        out.append(found | {m: list(found[m].items()) for m in maps if found.get(m) is not None})
-        size += len(plain[0] or "")
-        if len(out) == SLICE_ROWS or size >= SLICE_BYTES:
-            yield pa.array(out, kind)
-            out, size = [], 0
-    if out:
-        yield pa.array(out, kind)
+
+    def made(*values: object) -> dict:
+        found = row(*values)
+        return found | {m: list(found[m].items()) for m in maps if found.get(m) is not None}
+
+    return sliced(kind, made, *columns)
 
 
 def clean_markdown(markdown: str) -> str:

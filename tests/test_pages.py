@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright import api
 from pagewright.functions import dom as D
+from pagewright.functions.slices import SLICE_BYTES, SLICE_ROWS
 from pagewright.operators import chunks as C
 from pagewright.operators import pages as P
 from pagewright.plans import registry
@@ -102,8 +103,8 @@ def test_pages_are_parsed_once(spark, name):
 def test_tasks_hold_a_slice_of_pages():
     """Rows go on in slices by number and by size, whatever the batch; none is lost, and their order stays."""
     kind = pa.struct([("n", pa.int32()), ("m", pa.map_(pa.string(), pa.int32()))])
-    texts = pa.array(["x"] * 1000 + ["y" * P.SLICE_BYTES] * 3 + [None])
+    texts = pa.array(["x"] * 1000 + ["y" * SLICE_BYTES] * 3 + [None])
     parts = list(P._sliced(kind, lambda t: {"n": len(t or ""), "m": {"k": 1} if t else None}, texts))
-    assert max(map(len, parts)) == P.SLICE_ROWS and [len(x) for x in parts[-3:]] == [1, 1, 1]
-    assert [r["n"] for x in parts for r in x.to_pylist()] == [1] * 1000 + [P.SLICE_BYTES] * 3 + [0]
+    assert max(map(len, parts)) == SLICE_ROWS and [len(x) for x in parts[-3:]] == [1, 1, 1]
+    assert [r["n"] for x in parts for r in x.to_pylist()] == [1] * 1000 + [SLICE_BYTES] * 3 + [0]
     assert parts[0][0].as_py()["m"] == [("k", 1)] and parts[-1][0].as_py()["m"] is None
