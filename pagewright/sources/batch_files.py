@@ -1,4 +1,4 @@
-"""A sink of Markdown files, one for each document, with a summary: ``df.write.format("pagewright_batch")``.
+"""A sink of Markdown files, one for each document, with a summary: ``df.write.format("pagewright_batch")``; and its reader.
 
 Each task writes into a folder of its own under ``_staging``, and a job's commit gives those of the tasks that Spark
 counts, one rename each, their place; files of lost or repeated attempts go with ``_staging``. An abort leaves nothing of
@@ -11,18 +11,27 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import time
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from pagewright.functions.slices import SLICE_BYTES, SLICE_ROWS
+
 STAGING = "_staging"
+#: About as many files are one task's when they are read. Spark's own readers count a file as 4 MB, so 32 are a task.
+FILES_OF_A_TASK = 4096
+_FILE = re.compile(r"doc_(-?\d+)\.md")
+_READ = pa.schema([("n", pa.int64()), ("markdown", pa.string())])
 
 
 @dataclass
@@ -37,6 +46,12 @@ class BatchFiles(DataSource):
     def name(cls) -> str:
         return "pagewright_batch"
 
+    def schema(self) -> str:
+        return "n long, markdown string"
+
+    def reader(self, schema: StructType) -> BatchReader:
+        return BatchReader(self.options["path"].removeprefix("file://"))
+
     def writer(self, schema: StructType, overwrite: bool) -> BatchWriter:
         missing = {"n", "markdown", "error"} - set(schema.names)
         if missing:
@@ -46,6 +61,43 @@ class BatchFiles(DataSource):
         return made
 
 
+@dataclass
+class Share(InputPartition):
+    folder: str
+    which: int
+    of: int
+
+
+class BatchReader(DataSourceReader):
+    """Tasks list their folder themselves and take the files whose names fall to them; the driver only counts."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[Share]:
+        out = []
+        for folder in sorted(f.path for f in os.scandir(self.path) if f.name.startswith("part-")):
+            shares = -(-sum(1 for _ in os.scandir(folder)) // FILES_OF_A_TASK)
+            out += [Share(folder, i, shares) for i in range(shares)]
+        return out
+
+    def read(self, partition: Share | None) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, str]] = []
+        size = 0
+        for file in os.scandir(partition.folder) if partition else ():
+            found = _FILE.fullmatch(file.name)
+            if not found or zlib.crc32(file.name.encode()) % partition.of != partition.which:
+                continue
+            with open(file.path, encoding="utf-8", errors="replace", newline="") as f:
+                rows.append((int(found[1]), f.read()))
+            size += len(rows[-1][1])
+            if len(rows) == SLICE_ROWS or size >= SLICE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _READ.types, strict=True)], schema=_READ)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _READ.types, strict=True)], schema=_READ)
+
+
 class BatchWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
@@ -109,5 +161,5 @@ def write_documents(docs: DataFrame, path: str, number: str = "page_id") -> None
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(n, markdown) of the files that ``write_documents`` wrote."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "doc_*.md").load(path)
-    return files.select(F.regexp_extract("path", r"doc_(-?\d+)\.md$", 1).cast("long").alias("n"), F.decode("content", "UTF-8").alias("markdown"))
+    spark.dataSource.register(BatchFiles)
+    return spark.read.format("pagewright_batch").option("path", path).load()

@@ -87,6 +87,18 @@ def test_files(spark, tmp_path):
     assert len(list((tmp_path / "out").rglob("doc_007.md"))) == 1
 
 
+def test_tasks_read_many_files(spark, tmp_path, monkeypatch):
+    """A folder of few files is one task; shares of a larger one have each file once; a folder without any has no rows."""
+    B.write_documents(documents(spark, 200).coalesce(1), str(tmp_path / "out"))
+    assert B.read_documents(spark, str(tmp_path / "out")).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(B, "FILES_OF_A_TASK", 40)
+    reader = B.BatchReader(str(tmp_path / "out"))
+    shares = [[n for batch in reader.read(p) for n in batch["n"].to_pylist()] for p in reader.partitions()]
+    assert len(shares) == 4 and all(shares) and sorted(sum(shares, [])) == [i for i in range(200) if i % 4 != 1]
+    (tmp_path / "none").mkdir()
+    assert B.read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_a_failing_task_leaves_nothing(spark, tmp_path):
     @F.udf(StringType())
     def fails(i):
