@@ -74,7 +74,11 @@ def clean_markdown(markdown: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", out).strip(" ") + "\n"
 
 
-def _page(html: str | None, rules: dict) -> dict:
+def _page(html: str | None, rules: dict, only: tuple[str, ...] = ()) -> dict:
+    """What a page has of ``PAGE``; with ``only``, these fields and what comes on the way to them."""
+    def wanted(*names: str) -> bool:
+        return not only or not set(only).isdisjoint(names)
+
     if not (html or "").strip():
         return {"error": "empty html"}
     try:
@@ -84,12 +88,18 @@ def _page(html: str | None, rules: dict) -> dict:
         content = D.main_content(root)
         removed = D.remove_tags(content, D.UNWANTED)
         out["rules_changed"] = D.apply_rules(content, **rules)
-        out |= {"removed_tags": removed, "sanitized": D.sanitize(content), "text": content.text()}
-        parts = D.content(content)
-        out["blocks"] = [x for x in parts if isinstance(x, dict)]
-        out["markdown"] = clean_markdown("\n\n".join(x if isinstance(x, str) else x["markdown"] for x in parts))
-        out["structural_hash"] = hashlib.sha256(D.structure(out["markdown"]).encode()).hexdigest()
-        return out | {"hrefs": D.hrefs(content)}
+        out |= {"removed_tags": removed, "sanitized": D.sanitize(content)}
+        if wanted("text"):
+            out["text"] = content.text()
+        if wanted("blocks", "markdown", "structural_hash"):
+            parts = D.content(content)
+            out["blocks"] = [x for x in parts if isinstance(x, dict)]
+        if wanted("markdown", "structural_hash"):
+            out["markdown"] = clean_markdown("\n\n".join(x if isinstance(x, str) else x["markdown"] for x in parts))
+            out["structural_hash"] = hashlib.sha256(D.structure(out["markdown"]).encode()).hexdigest()
+        if wanted("hrefs"):
+            out["hrefs"] = D.hrefs(content)
+        return out
     except (RecursionError, ValueError, AssertionError) as e:
         return {"error": f"{type(e).__name__}: {e}"}
 
@@ -99,26 +109,27 @@ def _rules(given: dict | None) -> dict:
     return {k: [y for y in (given or {}).get(k) or [] if y] for k in (f.split(" ")[0] for f in RULES.split(", "))}
 
 
-def parsed(pages: DataFrame, rules: Column | None = None, links: bool = True, **same) -> DataFrame:
+def parsed(pages: DataFrame, rules: Column | None = None, only: tuple[str, ...] = (), **same) -> DataFrame:
     """The input with a column ``page``: one parse of each page.
 
     ``rules``: a struct column of ``RULES``, each page's own (null: none); or blocked_selectors, unwrap_selectors,
-    blocked_tags and allowed_tags as values for all pages. Without ``links`` none are resolved, and ``page`` has no lists
-    of them.
+    blocked_tags and allowed_tags as values for all pages. ``only``: fields of ``PAGE`` that ``page`` has and that are
+    worked out; without it, it has all, and lists of resolved links.
     """
     if rules is None:
         rules = F.struct(*((F.array(*map(F.lit, same.get(f.split(" ")[0], ()))).cast("array<string>")).alias(f.split(" ")[0]) for f in RULES.split(", ")))
+    schema = StructType.fromDDL(PAGE)
+    schema = StructType([schema[name] for name in only]) if only else schema
+    kind = to_arrow_type(schema)
 
-    kind = to_arrow_type(StructType.fromDDL(PAGE))
-
-    @F.arrow_udf(PAGE)
+    @F.arrow_udf(schema)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html, own in batches:
-            yield from _sliced(kind, lambda h, r: _page(h, _rules(r)), html, own)
+            yield from _sliced(kind, lambda h, r: _page(h, _rules(r), only), html, own)
 
     out = R.held(pages, "page", run("html", rules))  # else Spark parses again for a filter of what is exploded
-    if not links:
-        return out.withColumn("page", F.col("page").dropFields("hrefs", "base_href"))
+    if only:
+        return out
     url = F.coalesce("url", F.lit(""))
     out = R.held(out, "__base", R.effective_base(url, F.col("page.base_href")))
     out = R.held(out, "__links", R.link_lists(F.col("page.hrefs"), F.col("__base"), url))
@@ -274,7 +285,7 @@ def security_report(docs: DataFrame) -> DataFrame:
 
 def compare_extractors(pages: DataFrame) -> DataFrame:
     """Main content against the whole body, a row each: lengths, tokens, headings, links, fences, tables."""
-    main = parsed(pages, links=False).select("page_id", F.lit("main").alias("extractor"), "page.markdown")
+    main = parsed(pages, only=("markdown",)).select("page_id", F.lit("main").alias("extractor"), "page.markdown")
     body = pages.select("page_id", F.lit("body").alias("extractor"), F.trim(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")).alias("markdown"))
     md = F.col("markdown")
     return main.unionByName(body).select(

@@ -40,7 +40,7 @@ _HTML_SQL = (
 
 
 def made_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.blocks(P.parsed(made(spark, sf_dir), links=False).select("page_id", "page.blocks"))
+    rows = P.blocks(P.parsed(made(spark, sf_dir), only=("blocks",)).select("page_id", "page.blocks"))
     return rows.select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "block_type", "level", "text")
 
 

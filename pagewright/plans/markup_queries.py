@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright import api
 from pagewright.functions import dom as D
+from pagewright.functions import resolution as R
 from pagewright.functions import styles
 from pagewright.functions import urls as U
 from pagewright.operators import pages as P
@@ -48,7 +49,7 @@ def made_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array_join(F.transform(_lines(), lambda x, i: part(_escaped(x), i)), "")
     html = F.concat(F.lit("<html><body><nav>menu</nav><article><h1>Page</h1>"), parts, F.lit("</article></body></html>"))
     pages = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.lit("https://a.org/").alias("url"), html.alias("html"))
-    rows = P.blocks(P.parsed(pages, links=False).select("page_id", "page.blocks"))
+    rows = P.blocks(P.parsed(pages, only=("blocks",)).select("page_id", "page.blocks"))
     return rows.select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "block_type", "markdown")
 
 
@@ -72,7 +73,7 @@ def main_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Of a line only its place and length count in the layout; a sentence before each half makes it long enough.
     """
-    lines = _lines()
+    lines = F.col("lines")
     half = F.ceil(F.size(lines) / 2).cast("int")
 
     def paragraphs(some: F.Column) -> F.Column:
@@ -81,9 +82,10 @@ def main_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = paragraphs(F.slice(lines, 1, half)), paragraphs(F.slice(lines, half + 1, F.size(lines)))
     layout = F.split(F.element_at(F.array(*map(F.lit, LAYOUTS)), (F.col("doc_id") % len(LAYOUTS) + 1).cast("int")), "@")
     html = F.concat(F.lit("<html><body>"), layout[0], first, layout[1], second, layout[2], F.lit("</body></html>"))
-    pages = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.lit("https://a.org/").alias("url"), html.alias("html"))
+    docs = R.held(read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "lines", _lines())
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("https://a.org/").alias("url"), html.alias("html"))
     text = F.regexp_replace("page.text", r"\s", "")
-    return P.parsed(pages, links=False).select(
+    return P.parsed(pages, only=("text",)).select(
         "page_id", F.length(text).cast("bigint").alias("chars"), F.contains("page.text", F.lit("Menu entry")).alias("has_menu"), F.contains("page.text", F.lit("wrote this comment")).alias("has_comments"), F.contains("page.text", F.lit("to the sidebar")).alias("has_sidebar")
     )
 
@@ -102,7 +104,7 @@ def style_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = F.element_at(F.array(*(F.lit(s) for s, _ in STYLES)), (F.col("doc_id") % len(STYLES) + 1).cast("int"))
     body = F.concat(F.lit("<html><body><article><p>"), F.lit(_SENTENCE), F.lit('</p><div style="'), F.replace(style, F.lit('"'), F.lit("&quot;")), F.lit('"><p>'), _escaped(F.col("text")), F.lit("</p></div></article></body></html>"))
     pages = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.lit("https://a.org/").alias("url"), body.alias("html"))
-    return P.parsed(pages, links=False).select("page_id", "page.removed_hidden")
+    return P.parsed(pages, only=("removed_hidden",)).select("page_id", "page.removed_hidden")
 
 
 def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,16 +27,16 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.blocks(P.parsed(augmented(spark, sf_dir), links=False).select("page_id", "page.blocks")).select("page_id", "ordinal", "block_type", "level", "text", "structural_hash")
+    return P.blocks(P.parsed(augmented(spark, sf_dir), only=("blocks",)).select("page_id", "page.blocks")).select("page_id", "ordinal", "block_type", "level", "text", "structural_hash")
 
 
 def block_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.blocks(P.parsed(augmented(spark, sf_dir), links=False).select("page_id", "page.blocks"))
+    rows = P.blocks(P.parsed(augmented(spark, sf_dir), only=("blocks",)).select("page_id", "page.blocks"))
     return rows.where("block_type in ('table', 'code', 'heading')").groupBy("block_type").agg(F.countDistinct("page_id").alias("pages"))
 
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunks(P.parsed(augmented(spark, sf_dir), links=False).select("page_id", "page.blocks"), "heading", 1000, 100)
+    return C.chunks(P.parsed(augmented(spark, sf_dir), only=("blocks",)).select("page_id", "page.blocks"), "heading", 1000, 100)
 
 
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +52,12 @@ def hidden_removed_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attr_sanitize_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = P.parsed(augmented(spark, sf_dir), links=False).select(F.explode("page.sanitized").alias("kind", "n"))
+    counts = P.parsed(augmented(spark, sf_dir), only=("sanitized",)).select(F.explode("page.sanitized").alias("kind", "n"))
     return counts.groupBy("kind").agg(F.sum("n").cast("bigint").alias("removed"))
 
 
 def dom_removed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = P.parsed(augmented(spark, sf_dir), links=False).select(F.explode("page.removed_tags").alias("tag", "n"))
+    counts = P.parsed(augmented(spark, sf_dir), only=("removed_tags",)).select(F.explode("page.removed_tags").alias("tag", "n"))
     return counts.groupBy("tag").agg(F.count("*").alias("pages"), F.sum("n").cast("bigint").alias("elements"))
 
 

@@ -108,3 +108,16 @@ def test_tasks_hold_a_slice_of_pages():
     assert max(map(len, parts)) == SLICE_ROWS and [len(x) for x in parts[-3:]] == [1, 1, 1]
     assert [r["n"] for x in parts for r in x.to_pylist()] == [1] * 1000 + [SLICE_BYTES] * 3 + [0]
     assert parts[0][0].as_py()["m"] == [("k", 1)] and parts[-1][0].as_py()["m"] is None
+
+
+@pytest.mark.parametrize("field", ["title", "text", "markdown", "structural_hash", "blocks", "removed_tags", "removed_hidden", "sanitized", "rules_changed", "error"])
+def test_a_field_alone_is_that_of_the_whole(spark, field):
+    """A parse for one field has this field only, with the value that the whole parse gives."""
+    given = pages(spark, PAGE, None, "<p>x", PAGE.replace("<article>", "<div>"))
+    alone, whole = (P.parsed(given, only=only, blocked_tags=("table",)).orderBy("page_id").select("page").collect() for only in ((field,), ()))
+    assert [r["page"].asDict() for r in alone] == [{field: r["page"][field]} for r in whole]
+
+
+def test_lines_are_cut_once(spark):
+    plan = registry.QUERIES["main_contents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(text") == 1
