@@ -51,7 +51,8 @@ def _word_and_mask(key: Column, bits: int) -> tuple[Column, Column]:
 def split(rows: DataFrame, on: list[str], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that have none of the ``keys`` for sure, rows that may have one); ``keys`` is a written table of ``on``.
 
-    A row with a null in ``on`` may have a key.
+    A row with a null in ``on`` may have a key. Join what may have one by an inner or a left join: Spark pushes semi-joins
+    and anti-joins below the filter, so that all rows are shuffled.
     """
     spark = rows.sparkSession
     bits = filter_bits(keys.count(), _memory(spark))

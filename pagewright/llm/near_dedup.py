@@ -171,8 +171,11 @@ def _met(listed: DataFrame, percent: int) -> DataFrame:
 
 
 def _dealt(pairs: DataFrame, key: str, other: str, size: int = PAIRS) -> tuple[DataFrame, DataFrame]:
-    """The pairs with ``part``, and (key, parts) of the keys that have more than one part of about ``size`` pairs."""
-    many = pairs.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("parts")).where("parts > 1")
+    """The pairs with ``part``, and (key, parts) of the keys that have more than one part of about ``size`` pairs.
+
+    These are few and written, so that Spark knows their size before it joins them and doesn't shuffle the rest for them.
+    """
+    many = cut(pairs.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("parts")).where("parts > 1"), "many")
     dealt = pairs.join(many, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int"))
     return dealt.drop("parts"), many
 
@@ -202,14 +205,21 @@ def _estimate(na: Column, sa: Column, nb: Column, sb: Column, k: int, need: int,
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, need: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch holds enough of the intersection, with that share as ``near``."""
     side = nodes.select("node", "n", "rep", "sketch")
-    both = _with_both(pairs, ("a", side.toDF("a", "na", "ra", "sa")), ("b", side.toDF("b", "nb", "rb", "sb")))
+    left, right = (_with_key(side, pairs.select(F.col(c).alias("node"))) for c in "ab")
+    both = _with_both(pairs, ("a", left.toDF("a", "na", "ra", "sa")), ("b", right.toDF("b", "nb", "rb", "sb")))
     near, enough = _estimate(*(F.col(c) for c in ("na", "sa", "nb", "sb")), k, need, percent)
     return both.where(enough).select("a", "b", "ra", "rb", near.alias("near"))
 
 
+def _with_key(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The nodes that may be among the ``keys``, of a written table: those that surely aren't are not shuffled."""
+    return split(nodes, ["node"], keys)[1]
+
+
 def _still_open(open_nodes: DataFrame, nodes: DataFrame, k: int, need: int, percent: int) -> DataFrame:
     """(node, label) of the open nodes that share enough values of their sketches with other components to be linked."""
-    posting = open_nodes.join(nodes, "node").select("node", "label", "n", F.explode("sketch").alias("v"))
+    sketches = _with_key(nodes.select("node", "n", "sketch"), open_nodes.select("node"))
+    posting = open_nodes.join(sketches, "node").select("node", "label", "n", F.explode("sketch").alias("v"))
     mixed = posting.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
     shared = posting.join(mixed, "v").groupBy("node", "label", "n").agg(F.count("*").alias("c"))
     return shared.where(F.col("c") >= F.least(F.lit(need), F.ceil(F.col("n") * percent / 100))).select("node", "label")
@@ -219,8 +229,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     """The pairs (a, b) whose full sets are similar enough; ra and rb are the rows (see ``_row``) that have the sets."""
     keys = cut(pairs.select(F.col("ra").alias("row")).union(pairs.select(F.col("rb").alias("row"))).distinct(), "rows")
     _, found = split(rows, ["row"], keys)
-    # Rows of one id and hash have one text, of which each task sends one.
-    texts = found.join(keys, "row", "left_semi").groupBy("row").agg(F.first("text").alias("t"))
+    # Rows of one id and hash have one text, of which each task sends one. The keys are distinct; Spark would push a
+    # semi-join below the filter, and shuffle all texts.
+    texts = found.join(keys, "row").groupBy("row").agg(F.first("text").alias("t"))
     joined = _with_both(pairs.select("a", "b", "ra", "rb"), ("ra", texts.toDF("ra", "ta")), ("rb", texts.toDF("rb", "tb")))
     joined = joined.select("a", "b", "ta", "tb")
 

@@ -165,6 +165,18 @@ def test_filter_loses_no_key(spark, monkeypatch, most, passing):
     assert maybe.count() - 10_000 < passing and maybe.columns == ["k", "__held_by"]
 
 
+def test_texts_are_filtered_before_they_are_joined(spark, monkeypatch):
+    """No semi-join on the way of the texts, as Spark pushes it below the filter of keys and then shuffles all of them."""
+    rows = docs(spark, corpus(7, 20)).select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")).withColumn("row", near_dedup_module._row())
+    pairs = rows.where("doc_id < 5").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.col("row").alias("ra"), F.col("row").alias("rb"))
+    seen = []
+    with_both = near_dedup_module._with_both
+    monkeypatch.setattr(near_dedup_module, "_with_both", lambda p, a, b: seen.append(a[1]) or with_both(p, a, b))
+    near_dedup_module._verified(cut(pairs, "pairs"), rows, 4, 80)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "__held" in plan and "LeftSemi" not in plan
+
+
 def test_needed_is_a_tail_bound():
     assert 20 < needed(48, 80) < 30 and needed(48, 100) == 48
 
