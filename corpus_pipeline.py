@@ -49,7 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     dropped = near_dedup(docs, width=5, percent=80, hashed=True).where("not kept and doc_id is not null")
     dropped = cut(dropped.select("doc_id", "text_hash").distinct(), "dropped")
     kept, maybe = split(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], dropped)
-    return kept.unionByName(maybe.join(dropped, ["doc_id", "text_hash"], "left_anti")).select(COLUMNS)
+    # As an anti-join, Spark would do this below the filter, and shuffle all texts.
+    marked = maybe.join(dropped.withColumn("__dropped", F.lit(True)), ["doc_id", "text_hash"], "left")
+    return kept.unionByName(marked.where("__dropped is null").drop("__dropped")).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,3 +121,16 @@ def test_an_id_with_two_texts_loses_only_the_near_copy(spark, folder):
     rows = [(1, y, "bb", "s", 0), (2, x, "aa", "s", 0), (2, y + " more", "bb", "s", 0)]
     left = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), folder)
     assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, y), (2, x)]
+
+
+def test_near_stage_filters_texts_before_it_joins_them(spark, monkeypatch):
+    """No anti-join on the way of the texts, as Spark pushes it below the filter of keys and then shuffles all of them."""
+    from pagewright.llm import near_dedup
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (3, None)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1 AS n_chars")
+    found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr("coalesce(doc_id, 0) = 1 AND text = 'a' OR doc_id = 3").alias("kept"))
+    monkeypatch.setattr(near_dedup, "near_dedup", lambda *a, **k: found)
+    out = C.near_duplicates(spark, rows, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__held" in plan and "LeftAnti" not in plan
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, rows.where("doc_id IS NULL OR doc_id = 3 OR doc_id = 1 AND text = 'a'").select("doc_id", "text").collect()))
