@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import fixed as V
 from pagewright.functions import text as T
 from pagewright.functions.resolution import let
+from pagewright.functions.slices import small_batches
 
 
 def pattern_counts(text: Column, patterns=V.INJECTION_PATTERNS) -> Column:
@@ -108,14 +109,13 @@ def scanned(rows: DataFrame, text_col: str = "text", patterns=V.INJECTION_PATTER
     Patterns are counted in the text with its encodings undone; if that took too many rounds, in the text as it is as
     well, and the larger number counts. The density is that of the text as it is.
     """
-    out = rows.withColumn("__decoded", T.decoded(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.withColumn("too_deep", F.col("__decoded.too_deep")).withColumn("__bare", T.for_matching(F.col("__decoded.text")))
-    changed = F.col("__decoded.text") != F.coalesce(F.col(text_col), F.lit(""))
-    out = out.withColumn("__own", F.when(changed, T.for_matching(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.col("__bare")))
+    small_batches(rows.sparkSession)
+    out = rows.withColumn("__found", T.matchable(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.select("*", "__found.too_deep", F.col("__found.bare").alias("__bare"), F.col("__found.own").alias("__own"))
     own = F.when(F.col("too_deep"), pattern_counts(F.col("__own"), patterns))
     both = F.zip_with(pattern_counts(F.col("__bare"), patterns), F.coalesce(own, F.array()), lambda a, b: F.greatest(a, b))
     out = out.withColumn("counts", both).withColumn("density", imperative_density(F.col("__own"))).withColumn("rules", matched_rules(F.coalesce(F.col(text_col), F.lit("")), rules))
-    return out.drop("__decoded", "__bare", "__own")
+    return out.drop("__found", "__bare", "__own")
 
 
 def scored(rows: DataFrame, hidden: Column | bool = False, advanced: bool = False, patterns=V.INJECTION_PATTERNS, block: Column | float = 0.7, warn: Column | float = 0.4, custom: list[tuple[str, float, str]] = (), rules=V.KEYWORD_RULES) -> DataFrame:

@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: What is made before it is handed on: so many rows, or fewer of so many characters.
 SLICE_ROWS, SLICE_BYTES = 64, 1 << 20
 
+#: Rows that Spark hands to a worker at once: pages may be long, so its 10,000 would be too many.
+BATCH_ROWS = "1024"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def sliced(kind: pa.DataType, made: Callable, *columns: pa.Array) -> Iterator[pa.Array]:
     """``made`` of each row of equally long columns, the first of which holds texts, as arrays of ``kind``."""

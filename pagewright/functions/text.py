@@ -130,6 +130,34 @@ def decoded(text: Column) -> Column:
     return F.struct(F.when(plain, text).otherwise(found["text"]).alias("text"), F.coalesce(found["too_deep"], F.lit(False)).alias("too_deep"))
 
 
+_MATCHABLE = pa.struct([("bare", pa.string()), ("own", pa.string()), ("too_deep", pa.bool_())])
+
+
+def _matchable(text: str | None) -> dict | None:
+    if text is None:
+        return None
+    found = _decode(text)
+    bare = _fold(found["text"], True)
+    return {"bare": bare, "own": bare if found["text"] == text else _fold(text, True), "too_deep": found["too_deep"]}
+
+
+@F.arrow_udf(StructType([StructField("bare", StringType()), StructField("own", StringType()), StructField("too_deep", BooleanType())]))
+def _decoded_and_folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield from sliced(_MATCHABLE, _matchable, batch)
+
+
+def matchable(text: Column) -> Column:
+    """(bare, own, too_deep): ``for_matching`` of the text with its encodings undone, and of the text as it is.
+
+    All that needs Python is one call, so that a task has one worker for it; a plain text has none.
+    """
+    plain = _is_ascii(text) & ~text.rlike(r"[&%\\+]")
+    spaced = F.regexp_replace(text, r"[\t\n\x0B\f\r]", " ")
+    native = F.struct(spaced.alias("bare"), spaced.alias("own"), F.lit(False).alias("too_deep"))
+    return F.when(plain, native).otherwise(_decoded_and_folded(F.when(~plain, text)))
+
+
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})(.*)$", re.S)
 _MARKED = re.compile(r" *(?:[-*+][ \t]|\d+\.[ \t]|>)")
 _DEEP = re.compile(r" {4}|\t")

@@ -25,7 +25,7 @@ from pagewright.functions import security as S
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
 from pagewright.functions.fixed import ZERO_WIDTH
-from pagewright.functions.slices import sliced
+from pagewright.functions.slices import sliced, small_batches
 
 BLOCK = "struct<block_type:string,level:int,text:string,markdown:string,structural_hash:string,metadata:struct<tag:string,rows:int,columns:int,language:string>>"
 PAGE = (
@@ -53,6 +53,15 @@ _KINDS = [
 ]
 
 
+# What a parse must work out for a column of ``documents``, where that is not the field of the same name.
+_LINKS, _MARKDOWN, _SCANNED = ("hrefs", "base_href"), ("markdown",), ("text", "removed_hidden")
+_NEEDS = (
+    dict.fromkeys(("anchors", "internal", "external", "links_total"), _LINKS)
+    | dict.fromkeys(("content_hash", "token_estimate", "tokens_saved", "cleaned_size_bytes"), _MARKDOWN)
+    | dict.fromkeys(("injection_score", "basic_score", "rule_score", "scan_method", "risk_level", "flags", "policy_action", "explanation", "imperative_density"), _SCANNED)
+    | {"hidden_content_detected": ("removed_hidden",)}
+)
+
 _INVISIBLE = re.compile(f"[{re.escape(ZERO_WIDTH)}]")
 
 
@@ -109,13 +118,15 @@ def _rules(given: dict | None) -> dict:
     return {k: [y for y in (given or {}).get(k) or [] if y] for k in (f.split(" ")[0] for f in RULES.split(", "))}
 
 
-def parsed(pages: DataFrame, rules: Column | None = None, only: tuple[str, ...] = (), **same) -> DataFrame:
+def parsed(pages: DataFrame, rules: Column | None = None, only: tuple[str, ...] = (), made: tuple[str, ...] = (), **same) -> DataFrame:
     """The input with a column ``page``: one parse of each page.
 
     ``rules``: a struct column of ``RULES``, each page's own (null: none); or blocked_selectors, unwrap_selectors,
     blocked_tags and allowed_tags as values for all pages. ``only``: fields of ``PAGE`` that ``page`` has and that are
-    worked out; without it, it has all, and lists of resolved links.
+    worked out; without it, it has all, and lists of resolved links. ``made``: of these all, what is worked out for
+    certain; others may be null.
     """
+    small_batches(pages.sparkSession)
     if rules is None:
         rules = F.struct(*((F.array(*map(F.lit, same.get(f.split(" ")[0], ()))).cast("array<string>")).alias(f.split(" ")[0]) for f in RULES.split(", ")))
     schema = StructType.fromDDL(PAGE)
@@ -125,7 +136,7 @@ def parsed(pages: DataFrame, rules: Column | None = None, only: tuple[str, ...]
     @F.arrow_udf(schema)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html, own in batches:
-            yield from _sliced(kind, lambda h, r: _page(h, _rules(r), only), html, own)
+            yield from _sliced(kind, lambda h, r: _page(h, _rules(r), only or made), html, own)
 
     out = R.held(pages, "page", run("html", rules))  # else Spark parses again for a filter of what is exploded
     if only:
@@ -140,19 +151,21 @@ def parsed(pages: DataFrame, rules: Column | None = None, only: tuple[str, ...]
 
 
 def documents(
-    pages: DataFrame, block_threshold: Column | float = 0.7, warn_threshold: Column | float = 0.4, advanced: bool = False, custom: list[tuple[str, float, str]] = (), rules: Column | None = None, keep: tuple[str, ...] = (),
+    pages: DataFrame, block_threshold: Column | float = 0.7, warn_threshold: Column | float = 0.4, advanced: bool = False, custom: list[tuple[str, float, str]] = (), rules: Column | None = None, keep: tuple[str, ...] = (), fields: tuple[str, ...] = (),
     patterns: list[tuple[str, float, str]] = V.INJECTION_PATTERNS, keyword_rules: list[tuple] = V.KEYWORD_RULES, **same,
 ) -> DataFrame:
     """page_id, url, title, Markdown, hashes, sizes, tokens, links, score, flags, risk and policy action of each page.
 
     Thresholds may be columns, each page's own; ``rules`` and the names in ``same`` are those of ``parsed``; ``keep``:
-    further columns of ``pages`` that the result has. ``advanced`` lets keyword rules count; ``custom``: a user's
+    further columns of ``pages`` that the result has; ``fields``: the columns that are wanted of it (none: all), so that
+    a parse works out no others. ``advanced`` lets keyword rules count; ``custom``: a user's
     patterns, from ``guards.custom_patterns``; ``patterns`` and ``keyword_rules``: others instead of the fixed ones.
     """
     limits = {"__block": block_threshold, "__warn": warn_threshold}
     given = pages.withColumns({k: x if isinstance(x, Column) else F.lit(float(x)) for k, x in limits.items()})
     block, warn = F.col("__block"), F.col("__warn")
-    rows = parsed(given, rules, **same).select("page_id", "url", "html", *keep, *limits, "page.*")
+    made = tuple(sorted({x for f in fields for x in _NEEDS.get(f, (f,))}))
+    rows = parsed(given, rules, made=made, **same).select("page_id", "url", "html", *keep, *limits, "page.*")
     hidden = F.coalesce(F.col("removed_hidden"), F.lit(0)) > 0
     scanned = S.scanned(rows, patterns=[*patterns, *custom], rules=keyword_rules)
     rows = S.scored(scanned, hidden, advanced, patterns, block=block, warn=warn, custom=list(custom), rules=keyword_rules)
@@ -160,7 +173,7 @@ def documents(
     rows = rows.withColumn("flags", F.array_compact(F.concat("flags", F.array(F.when(changed, F.lit("domain_rules_applied"))))))
     action = S.action(F.col("injection_score"), block, warn)
     html_tokens, tokens = T.tokens_about(F.col("html")), T.tokens_about(F.col("markdown"))
-    return rows.select(
+    out = rows.select(
         *keep, "page_id", "url", "title", "markdown", "blocks", "removed_tags", "removed_hidden", "sanitized", "anchors", "internal", "external", "error",
         T.content_hash(F.col("markdown")).alias("content_hash"), html_tokens.alias("html_tokens"), tokens.alias("token_estimate"),
         F.greatest(F.lit(0), html_tokens - tokens).alias("tokens_saved"), "injection_score", "basic_score", "rule_score", "scan_method", S.risk_level(F.col("injection_score")).alias("risk_level"),
@@ -168,6 +181,7 @@ def documents(
         F.octet_length("html").alias("original_size_bytes"), F.octet_length("markdown").alias("cleaned_size_bytes"), F.round("density", 3).alias("imperative_density"), hidden.alias("hidden_content_detected"),
         "structural_hash", (F.size("anchors") + F.size("internal") + F.size("external")).alias("links_total"), F.coalesce("rules_changed", F.lit(0)).alias("rules_changed"),
     )
+    return out.select(*keep, *fields) if fields else out
 
 
 def external_domains(docs: DataFrame) -> DataFrame:

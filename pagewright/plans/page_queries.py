@@ -62,7 +62,7 @@ def dom_removed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.documents(augmented(spark, sf_dir)).groupBy("risk_level", "policy_action").agg(F.count("*").alias("pages"))
+    return P.documents(augmented(spark, sf_dir), fields=("risk_level", "policy_action")).groupBy("risk_level", "policy_action").agg(F.count("*").alias("pages"))
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:

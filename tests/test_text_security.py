@@ -75,3 +75,14 @@ def test_urls(spark):
     assert of(lambda c: A.is_internal(A.address(c)), "::ffff:10.0.0.1") is True
     assert of(lambda c: A.is_internal(A.address(c)), "8.8.8.8") is False
     assert of(lambda c: A.is_internal(A.address(c)), "no") is None
+
+
+def test_matchable_is_decoding_and_folding_in_one_call(spark):
+    texts = ["plain\ttext", "ign&#111;reé %69t", "café ‎x", "&" + "amp;" * 12 + "lt; é", "", None, "a%2520b\nc"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    own = T.for_matching(F.col("t"))
+    before = rows.withColumn("d", T.decoded(F.col("t"))).select("i", T.for_matching(F.col("d.text")).alias("bare"), own.alias("own"), "d.too_deep")
+    after = rows.withColumn("m", T.matchable(F.col("t"))).select("i", "m.bare", "m.own", F.coalesce("m.too_deep", F.lit(False)).alias("too_deep"))
+    assert sorted(map(str, after.collect())) == sorted(map(str, before.collect()))
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
