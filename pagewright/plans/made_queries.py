@@ -45,7 +45,7 @@ def made_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def made_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = P.documents(made(spark, sf_dir))
+    docs = P.documents(made(spark, sf_dir), fields=("page_id", "title", "removed_hidden", "internal", "external", "links_total", "original_size_bytes", "error"))
     return docs.select("page_id", "title", "removed_hidden", F.array_join("internal", " ").alias("internal"), F.array_join("external", " ").alias("external"), "links_total", "original_size_bytes", "error")
 
 
